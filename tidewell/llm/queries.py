@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import ngram_join
+from tidewell.llm import chat, hamming, mixing, ngram_join, packing
 from tidewell.llm.common import documents
 
 
@@ -27,10 +28,69 @@ SELECT n.doc_id, class_id, coalesce(copy_id, n.doc_id) AS copy_id, (SELECT count
 FROM n JOIN class USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN copies USING (h)
 """
 
+
+def op2_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS key FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+fill AS (
+  SELECT 0 AS step, (SELECT 1.5 * sum(source_size) FROM s) AS spare, list({'source': source, 'size': source_size, 'w': w, 'full': false}) AS items FROM s
+  UNION ALL
+  SELECT step + 1, spare - list_sum(list_transform(list_filter(items, lambda i: NOT i.full AND spare * i.w / open_w > 2 * i.size), lambda i: 2 * i.size)),
+    list_transform(items, lambda i: {'source': i.source, 'size': i.size, 'w': i.w, 'full': i.full OR spare * i.w / open_w > 2 * i.size})
+  FROM (SELECT *, list_sum(list_transform(items, lambda i: CASE WHEN i.full THEN 0 ELSE i.w END)) AS open_w FROM fill)
+  WHERE open_w > 0 AND len(list_filter(items, lambda i: NOT i.full AND spare * i.w / open_w > 2 * i.size)) > 0),
+last AS (SELECT spare, list_sum(list_transform(items, lambda i: CASE WHEN i.full THEN 0 ELSE i.w END)) AS open_w, unnest(items) AS i FROM fill WHERE step = (SELECT max(step) FROM fill)),
+t AS (SELECT i.source AS source, i.size::BIGINT AS source_size, CASE WHEN i.full THEN 2 * i.size ELSE spare * i.w / open_w END::DOUBLE AS target FROM last),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS rank_words FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM p)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + least(size, greatest(floor(target)::BIGINT - epochs * source_size - rank_words, 0)))::BIGINT AS taken, rank_words::BIGINT AS rank_words FROM e
+"""
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op5_exact_topk_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", hamming.sign_code("embedding").alias("code"))
+    return hamming.top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+OP5_SQL = """
+WITH c AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, r.vec_id, bit_count(xor(q.code, r.code))::INT AS distance FROM c q JOIN c r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank, vec_id, distance FROM p QUALIFY rank <= 10
+"""
+
+
+def op6_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP6_SQL = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS part FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, pos, count(*) OVER (PARTITION BY conv_id) AS n, string_agg(part, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM t),
+e AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, upto AS rendered FROM c WHERE pos = n GROUP BY n, upto)
+SELECT * FROM e WHERE rendered NOT IN (SELECT upto FROM c WHERE pos < n)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_mixing_weights": op2_mixing_weights,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_exact_topk_hamming": op5_exact_topk_hamming,
+    "op6_chat_snapshot_collapse": op6_chat_snapshot_collapse,
+}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_mixing_weights": OP2_SQL,
+    "op5_exact_topk_hamming": OP5_SQL,
+    "op6_chat_snapshot_collapse": OP6_SQL,
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
