@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, hamming, mixing, ngram_join, packing
-from tidewell.llm.common import documents
+from tidewell.llm import chat, hamming, langid, mixing, ngram_join, packing, pu_quality, toxicity
+from tidewell.llm.common import crc_fold, documents
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +78,37 @@ e AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, upto A
 SELECT * FROM e WHERE rendered NOT IN (SELECT upto FROM c WHERE pos < n)
 """
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), crc_fold("doc_id", 5) == 0
+    lexicon = toxicity.fit(docs, labels(spark, sf_dir).where(~held))
+    return toxicity.score(docs, lexicon).select("doc_id", held.alias("held_out"), "score", "predicted", "hits", "words")
+
+
+def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), crc_fold("doc_id", 4) == 2
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), crc_fold("doc_id", 3) == 1
+    model = pu_quality.fit(docs, labels(spark, sf_dir).where(~held))
+    return pu_quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mixing_weights": op2_mixing_weights,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_exact_topk_hamming": op5_exact_topk_hamming,
     "op6_chat_snapshot_collapse": op6_chat_snapshot_collapse,
+    "op7_toxicity_lexicon": op7_toxicity_lexicon,
+    "op9_language_kernel": op9_language_kernel,
+    "op10_quality_pu": op10_quality_pu,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
