@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, hamming, langid, mixing, ngram_join, packing, pu_quality, toxicity
+from tidewell.llm import chat, hamming, langid, matroska, mixing, ngram_join, packing, pii_crf, pu_quality, toxicity
 from tidewell.llm.common import crc_fold, documents
 
 
@@ -55,6 +55,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.features(matroska.with_media(documents(spark, sf_dir))).drop("error")
+
+
 def op5_exact_topk_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", hamming.sign_code("embedding").alias("code"))
     return hamming.top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
@@ -88,6 +92,10 @@ def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", held.alias("held_out"), "score", "predicted", "hits", "words")
 
 
+def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find(documents(spark, sf_dir), pii_crf.fit())
+
+
 def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), crc_fold("doc_id", 4) == 2
     model = langid.fit(docs.where(~held))
@@ -104,9 +112,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mixing_weights": op2_mixing_weights,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_media_matroska": op4_media_matroska,
     "op5_exact_topk_hamming": op5_exact_topk_hamming,
     "op6_chat_snapshot_collapse": op6_chat_snapshot_collapse,
     "op7_toxicity_lexicon": op7_toxicity_lexicon,
+    "op8_pii_crf": op8_pii_crf,
     "op9_language_kernel": op9_language_kernel,
     "op10_quality_pu": op10_quality_pu,
 }
