@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: a row for each whole time that a document is taken, and one cut to the words of the part taken.
 
-    Documents without words carry none and stay once. Rows without a doc_id are numbered for the join and keep null.
+    Documents without words carry none and stay once. Rows that share a doc_id, null included, are each taken as often as the one of them taken most.
     n_chars, where present, follows the text.
     """
     taken = mix(docs, **options).groupBy("doc_id").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
@@ -79,7 +79,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     whole = F.when(F.col("__size") > 0, F.expr("__taken div __size")).otherwise(1).cast("int")
     part = F.when(F.col("__size") > 0, F.col("__taken") % F.col("__size")).otherwise(0)
     j = j.withColumn("__copy", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
-    head = F.regexp_extract(F.col("text"), F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){"), F.col("__copy").cast("string"), F.lit("}")), 0)
+    words = F.regexp_extract_all("text", F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__copy"), F.lit(1)).cast("int")), "")
     j = j.withColumn("text", F.when(F.col("__copy") < 0, F.col("text")).otherwise(head))
     if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.when(F.col("__copy") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
