@@ -116,7 +116,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_entries: int = 5_000) -> Lexicon:
+def explaining(texts: list, neg: list[int], base: float, least: float) -> list[int]:
+    """Entries that explain toxic texts, best first: each pick halves what the texts that hold it still count, so words
+    that only come along in near copies of texts already explained fall under the bound ``least``."""
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    entry = np.concatenate([np.asarray(t, np.int64) for t in texts]) if len(doc) else np.zeros(0, np.int64)
+    left, miss, picked = np.ones(len(texts)), np.asarray(neg, float), []
+    open_ = np.ones(len(neg), bool)
+    while open_.any():
+        gain = np.bincount(entry, left[doc], len(neg))
+        n = gain + miss + 1e-12
+        ratio = gain * np.log(np.maximum(gain, 1e-12) / n / base) + miss * np.log(np.maximum(miss, 1e-12) / n / (1 - base))
+        ratio[~open_ | (gain / n <= base)] = -1
+        i = int(ratio.argmax())
+        if ratio[i] <= least:
+            break
+        picked.append(i)
+        open_[i] = False
+        left[np.unique(doc[entry == i])] /= 2
+    return picked
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries: int = 2_000) -> Lexicon:
     """Learn a lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     At most ``sample`` labelled documents are used, those with the least hash of their id; that bound also bounds what
@@ -126,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_entries:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    train = checkpointed(train)
     counts = train.mapInPandas(_count, "entry string, neg long, pos long").groupBy("entry").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     counts = checkpointed(counts.where("pos > 1 or neg > 2"))
     totals = {int(r["toxic"]): r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -137,12 +159,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_entries:
     weight = F.log((F.col("pos") + 0.5) / (pos + 1) / ((F.col("neg") + 0.5) / (neg + 1)))
     strong = counts.where(F.col("pos") / n > base).withColumns({"ratio": ratio, "weight": weight}).where((F.col("ratio") > math.log(1 + counts.count())) & (F.col("weight") > 1.5))
     best = strong.orderBy(F.desc("ratio"), F.desc(F.length("entry")), "entry").limit(4 * most_entries).collect()
+    place = {r["entry"]: i for i, r in enumerate(best)}
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"held": [[place[e] for w in set(fold(t).split()) for e in entries(w) if e in place] for t in pdf["text"]]})
+
+    texts = train.where("toxic = 1").mapInPandas(held, "held array<int>").toPandas()["held"].tolist()
     weights: dict[str, float] = {}
-    for r in best:
-        e = r["entry"]
+    for i in explaining(texts, [r["neg"] for r in best], base, math.log(1 + counts.count())):
+        e = best[i]["entry"]
         covered = any(e[:k] in weights for k in range(2, len(e) + 1)) or any(w.startswith(e) for w in weights)
         if not covered and len(weights) < most_entries:
-            weights[e] = r["weight"]
+            weights[e] = best[i]["weight"]
     heads = sorted({e for e in weights if not e.endswith(" ")})
     like = F.lit(False)
     for k in {len(h) for h in heads}:
