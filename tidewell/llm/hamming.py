@@ -22,9 +22,10 @@ def sign_code(vector: str) -> Column:
     return F.aggregate(F.slice(F.col(vector), 1, 64), F.lit(0).cast("long"), bit)
 
 
-def segments(rows: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(shift, width) of the code's segments, each about log2(rows) bits wide, so that a bucket holds about one code."""
-    m = max(2, round(bits / max(8.0, math.log2(max(rows, 2)))))
+def segments(rows: int, bits: int = 64, bucket: int = 8) -> list[tuple[int, int]]:
+    """(shift, width) of the code's segments, each about log2(rows / bucket) bits wide: a bucket holds about ``bucket``
+    codes, which travel as one array, so a query needs fewer probes than with a code for each."""
+    m = max(2, round(bits / max(8.0, math.log2(max(rows, 2) / bucket))))
     cuts = [bits * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
