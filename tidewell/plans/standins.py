@@ -33,12 +33,12 @@ SELECT thread_id, CASE WHEN max(event_id) % 3 = 0 THEN NULL ELSE max(user_id) EN
 FROM {run_events} GROUP BY thread_id""",
     "messages": """
 SELECT CAST(conv_id AS STRING) AS thread_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) END AS id, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE role END AS type, text AS content,
-  CAST(length(text) / 4 AS BIGINT) AS input_tokens, CAST(length(text) % 97 AS BIGINT) AS output_tokens
+  CAST(floor(length(text) / 4) AS BIGINT) AS input_tokens, CAST(length(text) % 97 AS BIGINT) AS output_tokens
 FROM {conversations}""",
     "tool_calls": """
 SELECT thread_id, seq AS turn, event_type AS name, CAST(k % 7 AS STRING) AS args, event_id, value FROM {run_events}""",
     "facts": """
-SELECT source AS user_id, CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 9 = 0 THEN upper(substr(text, 1, 40)) ELSE substr(text, 1, 40) END AS content, lang AS category, round(n_chars % 1000 / 1000.0, 3) AS confidence, doc_id AS pos
+SELECT source AS user_id, CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 9 = 0 THEN lower(substr(text, 1, 40)) ELSE substr(text, 1, 40) END AS content, lang AS category, round(n_chars % 100 / 100.0, 2) AS confidence, doc_id AS pos
 FROM {documents}""",
     "cases": """
 SELECT l.doc_id AS case_id, d.lang AS configuration, d.source AS strategy, l.quality, l.toxic, d.n_chars, CAST(l.doc_id % 3 AS INT) AS run_number
