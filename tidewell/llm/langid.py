@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import small_batches
+
 # Hash bits of one-, two- and three-character n-grams.
 BITS = (10, 12, 14)
 DIM = sum(1 << b for b in BITS)
@@ -81,7 +83,7 @@ def fit(docs: DataFrame, sample: int = 3000, landmarks: int = 96, ridge: float =
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "bits": packed})
 
     train = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang")), "doc_id").select("doc_id", "lang", "text")
-    got = train.mapInPandas(bits, "doc_id long, lang string, bits binary").toPandas().sort_values(["lang", "doc_id"], kind="stable")
+    got = small_batches(train).mapInPandas(bits, "doc_id long, lang string, bits binary").toPandas().sort_values(["lang", "doc_id"], kind="stable")
     packed = np.stack([np.frombuffer(b, np.uint8) for b in got["bits"]])
     y = np.array([langs.index(x) for x in got["lang"]])
     rng = np.random.default_rng(7)
@@ -116,4 +118,4 @@ def predict(docs: DataFrame, model: Model | None, batch: int = 128) -> DataFrame
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": np.clip(sure, 0, 1)})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(scored, "doc_id long, lang_pred string, score double")
+    return small_batches(ids).mapInPandas(scored, "doc_id long, lang_pred string, score double")

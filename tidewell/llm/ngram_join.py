@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORDS, checkpointed, components
+from tidewell.llm.common import WORDS, checkpointed, components, small_batches
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[str, int] = {}
@@ -42,7 +42,7 @@ def gram_hashes(text: str | None, n: int) -> np.ndarray:
     words = WORDS.findall(text or "")
     if not words:
         return np.empty(0, np.uint64)
-    if len(_cache) > 400_000:
+    if len(_cache) > 200_000:
         _cache.clear()
     ids = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
@@ -160,8 +160,8 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     """
     bands, rows = bands_for(threshold, recall)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = checkpointed(texts.mapInPandas(_signer(n, bands, rows), "doc_id long, n_grams int, set_hash long, bands array<long>"))
-    classes = signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"))
+    signed = checkpointed(small_batches(texts).mapInPandas(_signer(n, bands, rows), "doc_id long, n_grams int, set_hash long, bands array<long>"))
+    classes = checkpointed(signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")))
     members = checkpointed(signed.select("doc_id", "n_grams", "set_hash").join(classes, "set_hash", "left"))
     reps = members.where("doc_id = copy_id").select("doc_id", "copies", "n_grams").dropDuplicates(["doc_id"])
     keys = signed.join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
@@ -174,7 +174,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     slots = 1 + comps.count() // block
     cut = comps.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     grams = cut.drop("n_grams").join(texts, "doc_id")
-    grams = grams.mapInPandas(_packer(n), "doc_id long, comp long, copies long, blocks long, block long, grams binary")
+    grams = small_batches(grams).mapInPandas(_packer(n), "doc_id long, comp long, copies long, blocks long, block long, grams binary")
     pairs = grams.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     pairs = pairs.withColumn("slot", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(slots))).otherwise(F.col("comp")))

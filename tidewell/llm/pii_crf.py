@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 # The patterns of the four kinds.
@@ -374,7 +376,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             yield made
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(searched, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return small_batches(ids).mapInPandas(searched, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -400,4 +402,4 @@ def masked(docs: DataFrame, field: Field) -> DataFrame:
             pdf["text"] = new
             yield pdf
 
-    return docs.mapInPandas(replaced, schema)
+    return small_batches(docs).mapInPandas(replaced, schema)

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import small_batches
+
 FEATURES = (
     "log_words", "word_length", "distinct_words", "top_word", "adjacent_repeats", "odd_signs", "odd_word_ends", "bars", "sentence_ends",
     "capitals", "digits", "line_length", "repeated_lines", "distinct_pairs", "short_words", "long_words",
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     any_ = least(docs.where("doc_id is not null"), unlabelled, 2).withColumn("kind", F.lit(0))
     chosen = good.unionByName(any_)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
-    x = train.mapInPandas(_measured, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").select("kind", "x", "doc_id").toPandas().sort_values(["kind", "doc_id"], kind="stable")
+    x = small_batches(train).mapInPandas(_measured, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").select("kind", "x", "doc_id").toPandas().sort_values(["kind", "doc_id"], kind="stable")
     table, kind = np.stack(x["x"].to_numpy()), x["kind"].to_numpy()
     edges = np.quantile(table[kind == 0], np.linspace(0, 1, bins + 1)[1:-1], axis=0).T
     model = Model(edges, flat.weights, 0.0, prior)
@@ -154,4 +156,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype("int32")})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(scored, "doc_id long, score double, predicted int")
+    return small_batches(ids).mapInPandas(scored, "doc_id long, score double, predicted int")

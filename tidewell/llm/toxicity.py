@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import checkpointed
+from tidewell.llm.common import checkpointed, small_batches
 
 # Letters of other scripts that look like Latin ones, and what digits and signs stand for inside words.
 LOOKALIKES = {
@@ -92,13 +92,22 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * rate + self.intercept))))
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Counts of candidates in clean and toxic texts; handed on whenever ``most`` have gathered, to be summed later."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def out() -> pd.DataFrame:
+        keys = list(seen[0].keys() | seen[1].keys())
+        made = pd.DataFrame({"entry": keys, "neg": [seen[0][k] for k in keys], "pos": [seen[1][k] for k in keys]})
+        seen[0].clear(), seen[1].clear()
+        return made
+
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
             seen[int(toxic)].update(e for w in set(fold(text).split()) if len(w) >= 3 for e in entries(w))
-    keys = list(seen[0].keys() | seen[1].keys())
-    yield pd.DataFrame({"entry": keys, "neg": [seen[0][k] for k in keys], "pos": [seen[1][k] for k in keys]})
+            if len(seen[0]) + len(seen[1]) > most:
+                yield out()
+    yield out()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -148,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     train = checkpointed(train)
-    counts = train.mapInPandas(_count, "entry string, neg long, pos long").groupBy("entry").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = small_batches(train).mapInPandas(_count, "entry string, neg long, pos long").groupBy("entry").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     counts = checkpointed(counts.where("pos > 1 or neg > 2"))
     totals = {int(r["toxic"]): r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
@@ -165,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries:
         for pdf in batches:
             yield pd.DataFrame({"held": [[place[e] for w in set(fold(t).split()) for e in entries(w) if e in place] for t in pdf["text"]]})
 
-    texts = train.where("toxic = 1").mapInPandas(held, "held array<int>").toPandas()["held"].tolist()
+    texts = small_batches(train.where("toxic = 1")).mapInPandas(held, "held array<int>").toPandas()["held"].tolist()
     weights: dict[str, float] = {}
     for i in explaining(texts, [r["neg"] for r in best], base, math.log(1 + counts.count())):
         e = best[i]["entry"]
@@ -185,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries:
         for pdf in batches:
             yield pd.DataFrame({"x": [found.rate(t, m)[0] for t in pdf["text"]], "y": pdf["toxic"].astype("int32")})
 
-    xy = train.mapInPandas(rates, "x double, y int").toPandas()
+    xy = small_batches(train).mapInPandas(rates, "x double, y int").toPandas()
     slope, intercept = _logistic(xy["x"].to_numpy(), xy["y"].to_numpy(float))
     return Lexicon(weights, exceptions, slope, intercept)
 
@@ -201,7 +210,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype("int32"), "hits": [h for _, h, _ in out], "words": [w for _, _, w in out]})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(scored, "doc_id long, score double, predicted int, hits long, words long")
+    return small_batches(ids).mapInPandas(scored, "doc_id long, score double, predicted int, hits long, words long")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -214,5 +223,5 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for pdf in batches:
             yield pdf[[lexicon.probability(lexicon.rate(t, m)[0]) < 0.5 for t in pdf["text"]]]
 
-    return docs.mapInPandas(kept, schema)
+    return small_batches(docs).mapInPandas(kept, schema)
 
