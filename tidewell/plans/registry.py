@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidewell.plans import corpus, evals, events, messages, tables  # noqa: F401
+    from tidewell.plans import corpus, evals, events, files, messages, streams, tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

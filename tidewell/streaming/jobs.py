@@ -65,9 +65,11 @@ def _guard(window: int, warn: int, hard: int, tool_warn: int, tool_hard: int, id
         if state.hasTimedOut:
             state.remove()
             return
+        last = state.getCurrentWatermarkMs()
         hashes, counts = (list(state.get[0]), dict(zip(state.get[1], state.get[2]))) if state.exists else ([], {})
         for pdf in frames:
             rows = []
+            last = max(last, int(pdf["created_at"].max().timestamp() * 1000))
             for r in pdf.sort_values("turn").itertuples():
                 before = hashes[-window:].count(r.hash)
                 hashes = (hashes + [r.hash])[-window:]
@@ -78,16 +80,16 @@ def _guard(window: int, warn: int, hard: int, tool_warn: int, tool_hard: int, id
                 rows.append((key[0], r.turn, r.hash, r.name, call, tool))
             yield pd.DataFrame(rows, columns=["thread_id", "turn", "hash", "name", "call_state", "tool_state"])
         state.update((hashes, list(counts), list(counts.values())))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(last + idle_ms)
 
     return step
 
 
 def stream_loop_guard(calls: DataFrame, window: int = 20, warn: int = 3, hard: int = 5, tool_warn: int = 30, tool_hard: int = 50, idle_ms: int = 3_600_000) -> DataFrame:
-    """Repeat and frequency states of tool calls (thread_id, turn, name, hash), live. State per thread: its last
-    ``window`` hashes and a count per tool; dropped after an idle time."""
+    """Repeat and frequency states of tool calls (thread_id, turn, name, hash, created_at), live. State per thread: its last
+    ``window`` hashes and a count per tool; dropped once the watermark is an idle time past its last event."""
     shape = "hashes array<string>, tools array<string>, counts array<long>"
-    return calls.groupBy("thread_id").applyInPandasWithState(_guard(window, warn, hard, tool_warn, tool_hard, idle_ms), GUARD, shape, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.withWatermark("created_at", "10 minutes").groupBy("thread_id").applyInPandasWithState(_guard(window, warn, hard, tool_warn, tool_hard, idle_ms), GUARD, shape, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _budget(limit: int, warn: float, hard: float, idle_ms: int):
@@ -95,9 +97,11 @@ def _budget(limit: int, warn: float, hard: float, idle_ms: int):
         if state.hasTimedOut:
             state.remove()
             return
+        last = state.getCurrentWatermarkMs()
         seen, used = (dict(zip(state.get[0], state.get[1])), state.get[2]) if state.exists else ({}, 0)
         for pdf in frames:
             rows = []
+            last = max(last, int(pdf["created_at"].max().timestamp() * 1000))
             for r in pdf.sort_values("pos").itertuples():
                 grown = max(0, int(r.total_tokens) - seen.get(r.message_id, 0))
                 seen[r.message_id] = int(r.total_tokens)
@@ -105,15 +109,15 @@ def _budget(limit: int, warn: float, hard: float, idle_ms: int):
                 rows.append((key[0], r.message_id, r.pos, used, "hard" if used >= hard * limit else "warn" if used >= warn * limit > before else "ok"))
             yield pd.DataFrame(rows, columns=["run_id", "message_id", "pos", "used", "state"])
         state.update((list(seen), list(seen.values()), used))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(last + idle_ms)
 
     return step
 
 
 def stream_budget_guard(usage: DataFrame, limit: int, warn: float = 0.8, hard: float = 1.0, idle_ms: int = 3_600_000) -> DataFrame:
-    """Token budget states of runs (run_id, message_id, total_tokens, pos), live. State per run: tokens by message."""
+    """Token budget states of runs (run_id, message_id, total_tokens, pos, created_at), live. State per run: tokens by message."""
     shape = "messages array<string>, tokens array<long>, used long"
-    return usage.groupBy("run_id").applyInPandasWithState(_budget(limit, warn, hard, idle_ms), BUDGET, shape, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return usage.withWatermark("created_at", "10 minutes").groupBy("run_id").applyInPandasWithState(_budget(limit, warn, hard, idle_ms), BUDGET, shape, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
