@@ -138,6 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     chosen = good.unionByName(any_)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
     x = small_batches(train).mapInPandas(_measured, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").select("kind", "x", "doc_id").toPandas().sort_values(["kind", "doc_id"], kind="stable")
+    if not (x["kind"] == 1).any() or not (x["kind"] == 0).any():
+        return flat
     table, kind = np.stack(x["x"].to_numpy()), x["kind"].to_numpy()
     edges = np.quantile(table[kind == 0], np.linspace(0, 1, bins + 1)[1:-1], axis=0).T
     model = Model(edges, flat.weights, 0.0, prior)

@@ -107,7 +107,8 @@ def _count(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.
             seen[int(toxic)].update(e for w in set(fold(text).split()) if len(w) >= 3 for e in entries(w))
             if len(seen[0]) + len(seen[1]) > most:
                 yield out()
-    yield out()
+    if seen[0] or seen[1]:
+        yield out()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
