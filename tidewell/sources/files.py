@@ -110,7 +110,7 @@ def read_benchmark_runs(spark: SparkSession, path: str) -> DataFrame:
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Source files under path: path, language (by ending), size, text and summary (first three non-empty lines, 240
     characters); folders of dependencies, builds and caches are left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
     ending = F.lower(F.regexp_extract("path", "\\.([A-Za-z0-9]+)$", 1))
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     noise = "(^|/)(" + "|".join(map(re.escape, NOISE_DIRS)) + ")(/|$)"
