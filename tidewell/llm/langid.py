@@ -70,12 +70,16 @@ def fit(docs: DataFrame, sample: int = 3000, landmarks: int = 96, ridge: float =
     id within each language. The driver gets their presence bits, a fixed few kilobytes each, not their texts."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "lang")
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500)
-    langs = sorted(r["lang"] for r in counts.collect())
+    rows = {r["lang"]: r["count"] for r in counts.collect()}
+    langs = sorted(rows)
     if not langs:
         return None
     each = max(2, sample // len(langs))
+    # hash shares that leave about twice the rows needed of each language, so the window never meets a whole language
+    share = F.create_map(*[F.lit(x) for g in langs for x in (g, int(min(1.0, (2 * each + 50) / rows[g]) * (1 << 30)))])
     spot = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = known.where(F.col("lang").isin(langs)).withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(spot)).where(F.col("r") <= each)
+    near = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("h") < share[F.col("lang")])
+    chosen = near.withColumn("r", F.row_number().over(spot)).where(F.col("r") <= each)
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
