@@ -181,7 +181,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     pairs = pairs.withColumn("cut", F.col("blocks") > 1).drop("other")
     found = checkpointed(pairs.groupBy("cut", "slot", "lo", "hi").applyInPandas(_verifier(threshold), "doc_id long, links long, root long"))
     joined = components(found.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("copy_id"), "root")
-    links = found.groupBy(F.col("doc_id").alias("copy_id")).agg(F.sum("links").alias("links")).join(joined, "copy_id", "left")
+    links = checkpointed(found.groupBy(F.col("doc_id").alias("copy_id")).agg(F.sum("links").alias("links")).join(joined, "copy_id", "left"))
     return members.join(links, "copy_id", "left").select(
         "doc_id",
         F.coalesce("root", "copy_id", "doc_id").alias("class_id"),
