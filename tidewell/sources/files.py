@@ -118,7 +118,7 @@ def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def summary_of(text: str):
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.left(F.array_join(F.slice(lines, 1, 3), " "), F.lit(240))
 
 
