@@ -133,10 +133,10 @@ def box(df: DataFrame, category: str, value: str, least: int = 5) -> DataFrame:
 def pie(df: DataFrame, category: str, keep: int = 6) -> DataFrame:
     """Share per category; beyond ``keep`` categories the smallest ones fold into ``other``."""
     g = df.groupBy(F.col(category).cast("string").alias("category")).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("n"), F.asc_nulls_last("category"))
-    r = g.withColumns({"r": F.row_number().over(w), "k": F.count("*").over(Window.partitionBy())})
-    r = r.withColumn("category", F.when((F.col("k") > keep) & (F.col("r") >= keep), "other").otherwise(F.col("category")))
-    out = r.groupBy("category").agg(F.sum("n").alias("n"))
+    top = g.orderBy(F.desc("n"), F.asc_nulls_last("category")).limit(keep - 1).select(F.col("category").alias("c"), F.lit(True).alias("top"))
+    j = g.join(F.broadcast(top), g["category"].eqNullSafe(top["c"]), "left").join(F.broadcast(g.agg(F.count("*").alias("k"))))
+    name = F.when((F.col("k") > keep) & F.col("top").isNull(), "other").otherwise(F.col("category"))
+    out = j.groupBy(name.alias("category")).agg(F.sum("n").alias("n"))
     return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 

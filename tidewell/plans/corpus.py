@@ -9,7 +9,6 @@ from tidewell.functions import text as tx
 from tidewell.operators import corpus as ops
 from tidewell.plans.registry import query
 from tidewell.plans.standins import frame, over
-from tidewell.sources import files as src
 
 
 def docs(spark, sf_dir):
@@ -18,7 +17,7 @@ def docs(spark, sf_dir):
 
 @query("a6_scan_summary", "SELECT doc_id, left(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:3], ' '), 240) AS summary FROM documents")
 def scan_summary(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", src.summary_of("text").alias("summary"))
+    return docs(spark, sf_dir).select("doc_id", tx.summary_lines("text").alias("summary"))
 
 
 @query("b9_grep", over("files", r"SELECT path, line_number::INT AS line_number, left(line, 200) AS line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM files) WHERE regexp_matches(line, '\bthe\b') AND length(line) <= 2000 AND path LIKE '%.en' ORDER BY path, line_number LIMIT 100"))

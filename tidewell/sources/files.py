@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions.text import summary_lines
+
 EVENT_SCHEMA = "thread_id string, run_id string, user_id string, event_type string, category string, content string, metadata string, seq long, created_at timestamp"
 NOISE_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".vscode")
 LANGUAGES = {"py": "python", "go": "go", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "md": "markdown", "sql": "sql", "sh": "shell", "yaml": "yaml", "yml": "yaml", "json": "json"}
@@ -114,12 +116,7 @@ def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
     ending = F.lower(F.regexp_extract("path", "\\.([A-Za-z0-9]+)$", 1))
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     noise = "(^|/)(" + "|".join(map(re.escape, NOISE_DIRS)) + ")(/|$)"
-    return raw.withColumn("language", known[ending]).where(F.col("language").isNotNull() & ~F.col("path").rlike(noise)).withColumn("summary", summary_of("text"))
-
-
-def summary_of(text: str):
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.left(F.array_join(F.slice(lines, 1, 3), " "), F.lit(240))
+    return raw.withColumn("language", known[ending]).where(F.col("language").isNotNull() & ~F.col("path").rlike(noise)).withColumn("summary", summary_lines("text"))
 
 
 TASK_SCHEMA = "project_id string, task_id string, title string, status string, attempt_count int, max_attempts int, contexts array<struct<path:string,score:double>>, steps array<struct<name:string,status:string>>, created_at string"
