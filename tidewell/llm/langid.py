@@ -65,21 +65,24 @@ class Model:
         return kernel(presence(texts), marks) @ self.alpha
 
 
-def fit(docs: DataFrame, sample: int = 3000, landmarks: int = 96, ridge: float = 1e-2) -> Model | None:
-    """Fit on ``docs`` (doc_id, text, lang): at most ``sample`` rows with a language, those with the least hash of their
-    id within each language. The driver gets their presence bits, a fixed few kilobytes each, not their texts."""
+def fit(docs: DataFrame, sample: int = 3000, least: int = 40, landmarks: int = 96, ridge: float = 1e-2) -> Model | None:
+    """Fit on ``docs`` (doc_id, text, lang): about ``sample`` rows with a language, in proportion to their numbers but
+    ``least`` of each language at least (at most 500 languages), those with the least hash of their id.
+    The driver gets their presence bits, a fixed few kilobytes each, not their texts."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "lang")
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500)
     rows = {r["lang"]: r["count"] for r in counts.collect()}
     langs = sorted(rows)
     if not langs:
         return None
-    each = max(2, sample // len(langs))
+    total = sum(rows.values())
+    each = {g: max(least, round(sample * rows[g] / total)) for g in langs}  # in proportion, so the fit knows what is common
     # hash shares that leave about twice the rows needed of each language, so the window never meets a whole language
-    share = F.create_map(*[F.lit(x) for g in langs for x in (g, int(min(1.0, (2 * each + 50) / rows[g]) * (1 << 30)))])
+    share = F.create_map(*[F.lit(x) for g in langs for x in (g, int(min(1.0, (2 * each[g] + 50) / rows[g]) * (1 << 30)))])
+    most = F.create_map(*[F.lit(x) for g in langs for x in (g, each[g])])
     spot = Window.partitionBy("lang").orderBy("h", "doc_id")
     near = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("h") < share[F.col("lang")])
-    chosen = near.withColumn("r", F.row_number().over(spot)).where(F.col("r") <= each)
+    chosen = near.withColumn("r", F.row_number().over(spot)).where(F.col("r") <= most[F.col("lang")])
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
