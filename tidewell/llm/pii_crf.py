@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.common import small_batches
 
@@ -389,17 +390,17 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def masked(docs: DataFrame, field: Field) -> DataFrame:
-    """``docs`` with every span of its texts replaced by its kind; n_chars, where present, follows. Null texts stay."""
-    schema, count = docs.schema, "n_chars" in docs.columns
+    """``docs`` with every span of its texts replaced by its kind; n_chars, where present, follows. Null texts stay.
 
-    def replaced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+    Only the text goes to Python, and only a changed text comes back."""
+
+    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
             done = all_spans([t or "" for t in texts], field)
-            new = [None if t is None else mask(t, every) for t, (_, every) in zip(texts, done)]
-            if count:
-                pdf["n_chars"] = [c if t == u else len(u) for c, t, u in zip(pdf["n_chars"], texts, new)]
-            pdf["text"] = new
-            yield pdf
+            yield pd.Series([mask(t, every) if every else None for t, (_, every) in zip(texts, done)], dtype=object)
 
-    return small_batches(docs).mapInPandas(replaced, schema)
+    new = small_batches(docs).withColumn("__new", F.pandas_udf(replaced, T.StringType())(F.col("text").cast("string")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new = new.withColumn("n_chars", F.when(F.col("__new").isNotNull(), F.length("__new").cast(kind)).otherwise(F.col("n_chars")))
+    return new.withColumn("text", F.coalesce("__new", F.col("text").cast("string"))).select(*docs.columns)

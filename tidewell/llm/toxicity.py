@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.common import checkpointed, small_batches
 
@@ -215,14 +216,12 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` without the documents predicted toxic; columns and their order as they came. Only the verdict is added
-    beside the row in the same pass, so no text is shuffled."""
-    schema = docs.schema
+    """``docs`` without the documents predicted toxic; columns and their order as they came. Only the text goes to Python,
+    only the verdict comes back, and nothing is shuffled."""
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = lexicon.matcher()
-        for pdf in batches:
-            yield pdf[[lexicon.probability(lexicon.rate(t, m)[0]) < 0.5 for t in pdf["text"]]]
-
-    return small_batches(docs).mapInPandas(kept, schema)
+        for texts in batches:
+            yield pd.Series([lexicon.probability(lexicon.rate(t, m)[0]) < 0.5 for t in texts], dtype=bool)
 
+    return small_batches(docs).where(F.pandas_udf(clean, T.BooleanType())(F.col("text").cast("string")))
