@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
 
 from tidewell.functions import helpers as h
 from tidewell.functions import text as tx
@@ -155,3 +156,17 @@ def test_pack_facts_stops_at_the_first_over_budget(spark):
     f = spark.createDataFrame([("u", "a" * 40, "k", 0.9, 1), ("u", "b" * 400, "k", 0.8, 2), ("u", "c", "k", 0.7, 3), ("u", "g", "must", 0.1, 4)], "user_id string, content string, category string, confidence double, pos int")
     got = messages.pack_facts(f, 60, ("must",), 20).orderBy("section", "rank").collect()
     assert [(r["section"], r["line"][:16]) for r in got] == [(0, "- [must | 0.10] "), (1, "- [k | 0.90] aaa")]
+
+
+def test_hybrid_fuses_symbols_text_and_cosine(spark):
+    src = [("a.go", "x\ny\nfunc Load() {\n}\nz\nfunc LoadAll() {", "go"), ("b.go", "load load load load load load", "go"), ("c.go", "none", "go")]
+    files_ = spark.createDataFrame(src, "path string, text string, language string").withColumn("symbols", h.extract_symbols("text", "language"))
+    chunks = corpus.chunk_lines(files_, 4, 2)
+    assert sorted((r["path"], r["start_line"], r["symbols"]) for r in chunks.collect()) == [("a.go", 1, ["Load"]), ("a.go", 3, ["Load", "LoadAll"]), ("b.go", 1, []), ("c.go", 1, [])]
+    q = spark.createDataFrame([("q", ["load"])], "query_id string, terms array<string>")
+    got = corpus.hybrid_retrieve(q, chunks).orderBy("rank").collect()
+    want = [("a.go", 3, 0.4, 1.0, 0.61), ("b.go", 1, 1.0, 0.0, 0.65), ("a.go", 1, 0.2, 0.666667, 0.363333)]
+    assert [(r["path"], r["start_line"], r["lexical"], r["symbol"], r["score"]) for r in got] == sorted(want, key=lambda x: -x[4])
+    v = F.when(F.col("path") == "c.go", F.array(F.lit(1.0), F.lit(0.0))).when(F.col("path") == "b.go", F.array(F.lit(-1.0), F.lit(0.0)))
+    got = corpus.hybrid_retrieve(q.withColumn("q", F.array(F.lit(2.0), F.lit(0.0))), chunks.withColumn("embedding", v)).orderBy("rank").collect()
+    assert [(r["path"], r["start_line"], r["semantic"], r["score"]) for r in got] == [("a.go", 3, 0.0, 0.48), ("b.go", 1, 0.0, 0.45), ("a.go", 1, 0.0, 0.29), ("c.go", 1, 1.0, 0.25)]

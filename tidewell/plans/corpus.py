@@ -172,6 +172,39 @@ def lexical_retrieve(spark, sf_dir):
     return ops.lexical_retrieve(_query_rows(spark), chunks)
 
 
+def _hybrid(cosine: bool) -> str:
+    fused = "0.45 * lexical + 0.30 * symbol + 0.25 * semantic" if cosine else "0.65 * lexical + 0.35 * symbol"
+    near = "coalesce((SELECT greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))) FROM embeddings a, embeddings b WHERE a.vec_id = v AND b.vec_id = doc_id), 0)" if cosine else "0.0"
+    return f"""WITH src AS (SELECT path, doc_id, 'func the_' || (doc_id % 7) || '(x) {{' || chr(10) || text || chr(10) || 'func Que() {{' AS text FROM files), l AS (SELECT path, doc_id, string_split(text, chr(10)) AS ls FROM src), s AS (SELECT *, unnest(range(0, greatest(0, ceil((len(ls) - 6) / 4.0))::BIGINT + 1)) * 4 + 1 AS st FROM l),
+c AS (SELECT path, doc_id, st::INT AS start_line, least(st + 5, len(ls))::INT AS end_line, lower(path) AS p, lower(array_to_string(ls[st:st + 5], chr(10))) AS t, CASE WHEN st = 1 THEN ['the_' || (doc_id % 7)] ELSE [] END || CASE WHEN st + 5 >= len(ls) THEN ['que'] ELSE [] END AS syms FROM s),
+q(query_id, v, term) AS (VALUES ('q1', 0, 'the'), ('q1', 0, 'tion'), ('q1', 0, 'src1'), ('q2', 1, 'mente'), ('q2', 1, 'que'), ('q3', 2, 'ich'), ('q3', 2, 'und')),
+x AS (SELECT query_id, v, path, doc_id, start_line, end_line, sum(CASE WHEN contains(p, term) THEN 3 ELSE 0 END + least(5, (length(t) - length(replace(t, term, ''))) / length(term))) AS lex, sum(list_sum(list_transform(syms || [''], lambda y: CASE WHEN y = '' THEN 0 WHEN y = term THEN 4 WHEN contains(y, term) OR contains(term, y) THEN 2 ELSE 0 END))) AS sym FROM c CROSS JOIN q GROUP BY ALL),
+m AS (SELECT query_id, max(lex) AS ml, max(sym) AS ms FROM x GROUP BY 1),
+n AS (SELECT query_id, path, start_line, end_line, CASE WHEN ml > 0 THEN lex / ml ELSE 0 END AS lexical, CASE WHEN ms > 0 THEN sym / ms ELSE 0 END AS symbol, {near} AS semantic FROM x JOIN m USING (query_id)),
+f AS (SELECT query_id, path, start_line, end_line, round(lexical, 6) AS lexical, round(symbol, 6) AS symbol, round(semantic, 6)::DOUBLE AS semantic, round({fused}, 6) AS score FROM n WHERE {fused} > 0)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line)::INT AS rank FROM f QUALIFY rank <= 5"""
+
+
+def _chunks_with_symbols(spark, sf_dir):
+    f = frame(spark, sf_dir, "files")
+    f = f.withColumn("text", F.concat(F.lit("func the_"), (F.col("doc_id") % 7).cast("string"), F.lit("(x) {\n"), "text", F.lit("\nfunc Que() {")))
+    return f, ops.chunk_lines(f.withColumn("symbols", h.extract_symbols("text", F.lit("go"))), 6, 2)
+
+
+@query("g7_hybrid_retrieve", over("files", _hybrid(True)))
+def hybrid_retrieve(spark, sf_dir):
+    e = frame(spark, sf_dir, "embeddings")
+    f, chunks = _chunks_with_symbols(spark, sf_dir)
+    held = f.select("path", "doc_id").join(e, F.col("doc_id") == F.col("vec_id")).select("path", "embedding")
+    q = _query_rows(spark).withColumn("v", F.substring("query_id", 2, 1).cast("long") - 1).join(e.where("vec_id < 3").select(F.col("vec_id").alias("v"), F.col("embedding").alias("q")), "v", "left")
+    return ops.hybrid_retrieve(q, chunks.join(held, "path", "left"))
+
+
+@query("g7_hybrid_lexical_symbol", over("files", _hybrid(False)))
+def hybrid_lexical_symbol(spark, sf_dir):
+    return ops.hybrid_retrieve(_query_rows(spark), _chunks_with_symbols(spark, sf_dir)[1])
+
+
 @query(
     "g7_semantic_retrieve",
     """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0, least(1, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5),
