@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewell.functions import helpers as h
@@ -170,3 +171,24 @@ def test_hybrid_fuses_symbols_text_and_cosine(spark):
     v = F.when(F.col("path") == "c.go", F.array(F.lit(1.0), F.lit(0.0))).when(F.col("path") == "b.go", F.array(F.lit(-1.0), F.lit(0.0)))
     got = corpus.hybrid_retrieve(q.withColumn("q", F.array(F.lit(2.0), F.lit(0.0))), chunks.withColumn("embedding", v)).orderBy("rank").collect()
     assert [(r["path"], r["start_line"], r["semantic"], r["score"]) for r in got] == [("a.go", 3, 0.0, 0.48), ("b.go", 1, 0.0, 0.45), ("a.go", 1, 0.0, 0.29), ("c.go", 1, 1.0, 0.25)]
+
+
+def test_semantic_takes_every_fiftieth_row_in_blocks(spark, tmp_path):
+    from tidewell.plans import registry
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (460, 6)).astype(float)  # many ties, some rows of zeros
+    x[[50, 70]] = 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(460, None), (461, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (462, [1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    n = np.linalg.norm(x, axis=1)
+    want = []
+    for i in range(0, 460, 50):
+        if n[i]:
+            s = [(-round(float(max(0.0, min(1.0, x[i] @ x[j] / (n[i] * n[j])))), 6), j) for j in range(460) if n[j]]
+            want += [(i, r + 1, j, -c) for r, (c, j) in enumerate(sorted(s)[:5])]
+    got = registry.queries()["g7_semantic_retrieve_fiftieth"](spark, str(tmp_path))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == want
+    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    cut = corpus.semantic_retrieve(e.where("vec_id % 50 = 0").selectExpr("vec_id as query_id", "embedding as q"), e, query_block=3, row_block=40)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in cut.collect()) == want

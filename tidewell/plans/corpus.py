@@ -215,6 +215,16 @@ def semantic_retrieve(spark, sf_dir):
     return ops.semantic_retrieve(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e)
 
 
+@query(
+    "g7_semantic_retrieve_fiftieth",
+    """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0, least(1, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+)
+def semantic_retrieve_fiftieth(spark, sf_dir):
+    e = frame(spark, sf_dir, "embeddings")
+    return ops.semantic_retrieve(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e)
+
+
 @query(
     "f11_pack_context",
     over(
