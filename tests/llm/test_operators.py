@@ -330,6 +330,21 @@ def test_nn_risk_separates():
     assert ((neg @ w) < cut).mean() > 0.95 and ((pos @ w) > cut).mean() > 0.95 and np.isfinite(b)
 
 
+def test_quality_cut_and_edges_take_all_documents(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(("a", "tree", "houses", "1", "Wide.", "|")) * rng.randrange(1, 4) for _ in range(rng.randrange(1, 60))), "en", "s") for i in range(1200)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, int(len(rows[i][1]) > 60)) for i in range(0, 1200, 4)], "doc_id long, quality int")
+    for prior in (0.3, 0.62):
+        model = pu_quality.fit(docs, labels, prior=prior, positives=100, unlabelled=40)
+        x = pu_quality.table_of(r[1] for r in rows)
+        assert np.allclose(model.edges, np.quantile(x, np.linspace(0, 1, 11)[1:-1], axis=0).T)
+        z = np.round(model.binned(x) @ model.weights, 9)
+        shares = [(z > v).mean() for v in np.unique(z)] + [1.0]
+        share = pu_quality.score(docs, model).agg(F.avg("predicted")).first()[0]
+        assert math.isclose(abs(share - prior), min(abs(y - prior) for y in shares), abs_tol=1e-9)
+
+
 # ---- 8 personal data
 
 

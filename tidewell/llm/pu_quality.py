@@ -1,19 +1,20 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are rows labelled as good; the unlabelled set is a hash sample of all documents. A linear model over
-binned text statistics is fitted by minimising the non-negative unbiased risk pi R_p(+) + max(0, R_u(-) - pi R_p(-)) with
+Trusted positives are rows labelled as good; the unlabelled set is a hash sample of all documents. The bin edges and the
+score's threshold are exact quantiles over all documents, whatever their number. A linear model over binned text
+statistics (four significant digits) is fitted by minimising the non-negative unbiased risk pi R_p(+) + max(0, R_u(-) - pi R_p(-)) with
 the logistic loss; the class prior pi is estimated as the share of positives among labelled rows, or given.
 
 :func:`score` returns doc_id, score (0 to 1, higher: better) and predicted (score of at least 0.5). Null and empty texts
 have statistics of zero and get a score like any other. Without positives every score is the prior (0.5 if there are no
-labels at all). The score of 0.5 is set where the share of unlabelled texts above it is the prior. Repeated rows are each scored; extra columns are ignored.
+labels at all). The score of 0.5 is set where the share of all texts above it is the prior. Repeated rows are each scored; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import small_batches
+from tidewell.llm.common import checkpointed, small_batches
 
 FEATURES = (
     "log_words", "word_length", "distinct_words", "top_word", "adjacent_repeats", "odd_signs", "odd_word_ends", "bars", "sentence_ends",
@@ -65,6 +66,13 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def table_of(texts: Iterable[str | None]) -> np.ndarray:
+    """Statistics of texts, one row each, rounded to four significant digits, so that their distinct values stay few."""
+    x = np.array([statistics(t) for t in texts], float).reshape(-1, len(FEATURES))
+    unit = 10.0 ** (3 - np.floor(np.log10(np.where(x == 0, 1, np.abs(x)))))
+    return np.round(x * unit) / unit
+
+
 @dataclass
 class Model:
     edges: np.ndarray  # (features, bins - 1)
@@ -117,14 +125,59 @@ def cut_at_prior(values: np.ndarray, prior: float) -> float:
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [statistics(t) for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": list(table_of(pdf["text"]))})
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each statistic has each value in a task: feature, value, n."""
+    count = [Counter() for _ in FEATURES]
+    for pdf in batches:
+        for c, column in zip(count, np.stack(pdf["x"].to_numpy()).T if len(pdf) else ()):
+            c.update(dict(zip(*(y.tolist() for y in np.unique(column, return_counts=True)))))
+    yield pd.DataFrame([(j, v, n) for j, c in enumerate(count) for v, n in c.items()], columns=["feature", "value", "n"])
+
+
+def edges_of(measured: DataFrame, bins: int) -> np.ndarray:
+    """Quantiles of each statistic over all rows of ``measured`` (x), exact; (features, bins - 1)."""
+    counts = measured.select("x").mapInPandas(_counted, "feature int, value double, n long").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    at = np.linspace(0, 1, bins + 1)[1:-1].tolist()
+    found = counts.groupBy("feature").agg(F.percentile("value", at, F.col("n")).alias("q")).collect()
+    return np.array([r["q"] for r in sorted(found, key=lambda r: r["feature"])])
+
+
+def cut_of_all(measured: DataFrame, model: Model, prior: float) -> float:
+    """Threshold over which the share of all rows of ``measured`` (x) is the prior: midway between the two neighbouring
+    scores where the share comes nearest to it.
+
+    Scores are counted in slices of a thousandth; only the slice that holds the rank and its neighbours are counted by value."""
+
+    def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            z = model.binned(np.stack(pdf["x"].to_numpy())) @ model.weights if len(pdf) else np.zeros(0)
+            yield pd.DataFrame({"z": np.round(z, 9)})
+
+    z = checkpointed(measured.select("x").mapInPandas(rated, "z double")).withColumn("slice", F.floor(F.col("z") * 1000))
+    slices = z.groupBy("slice").count().toPandas().sort_values("slice")
+    upto = slices["count"].cumsum().to_numpy()
+    rank = upto[-1] * (1 - prior)
+    i = min(int(np.searchsorted(upto, rank)), len(upto) - 1)
+    lo, hi = max(0, i - 1), min(len(upto) - 1, i + 1)
+    near = z.where(F.col("slice").between(int(slices["slice"].iloc[lo]), int(slices["slice"].iloc[hi])))
+    values = near.groupBy("z").count().toPandas().sort_values("z")
+    v, n = values["z"].to_numpy(), values["count"].to_numpy()
+    below = (upto[lo - 1] if lo else 0) + np.append(0, n.cumsum())  # rows under each gap
+    gaps = np.concatenate([[v[0] - 1], (v[1:] + v[:-1]) / 2, [v[-1] + 1]])
+    ok = np.ones(len(gaps), bool)
+    ok[0], ok[-1] = lo == 0, hi == len(upto) - 1  # an outer gap counts only where no rows lie beyond it
+    return float(gaps[ok][np.abs(below - rank)[ok].argmin()])
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 10_000, unlabelled: int = 10_000, bins: int = 10) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality).
 
-    Uses at most ``positives`` rows labelled good and ``unlabelled`` of all documents, those with the least hash of
-    their id. The prior comes from all given labels unless it is given.
+    The weights come from at most ``positives`` rows labelled good and ``unlabelled`` of all documents, those with the
+    least hash of their id; bin edges and threshold from all documents. The prior comes from all given labels unless
+    it is given.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("quality"))
     share = known.agg(F.avg("quality"), F.sum("quality")).first()
@@ -136,16 +189,17 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     good = least(known.where("quality = 1"), positives, 1).withColumn("kind", F.lit(1))
     any_ = least(docs.where("doc_id is not null"), unlabelled, 2).withColumn("kind", F.lit(0))
     chosen = good.unionByName(any_)
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
-    x = small_batches(train).mapInPandas(_measured, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").select("kind", "x", "doc_id").toPandas().sort_values(["kind", "doc_id"], kind="stable")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    measured = checkpointed(small_batches(texts).mapInPandas(_measured, "doc_id long, x array<double>"))
+    x = measured.join(F.broadcast(chosen), "doc_id").select("kind", "x", "doc_id").toPandas().sort_values(["kind", "doc_id"], kind="stable")
     if not (x["kind"] == 1).any() or not (x["kind"] == 0).any():
         return flat
     table, kind = np.stack(x["x"].to_numpy()), x["kind"].to_numpy()
-    edges = np.quantile(table[kind == 0], np.linspace(0, 1, bins + 1)[1:-1], axis=0).T
-    model = Model(edges, flat.weights, 0.0, prior)
+    model = Model(edges_of(measured, bins), flat.weights, 0.0, prior)
     unl = model.binned(table[kind == 0])
     weights, _ = nn_risk_fit(model.binned(table[kind == 1]), unl, min(prior, 0.99))
-    return Model(edges, weights, -cut_at_prior(unl @ weights, prior), prior)
+    model = Model(model.edges, weights, 0.0, prior)
+    return Model(model.edges, weights, -cut_of_all(measured, model, prior), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -153,8 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.array([statistics(t) for t in pdf["text"]]).reshape(len(pdf), len(FEATURES))
-            p = model.probability(x)
+            p = model.probability(table_of(pdf["text"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype("int32")})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
