@@ -192,3 +192,14 @@ def test_semantic_takes_every_fiftieth_row_in_blocks(spark, tmp_path):
     e = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
     cut = corpus.semantic_retrieve(e.where("vec_id % 50 = 0").selectExpr("vec_id as query_id", "embedding as q"), e, query_block=3, row_block=40)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in cut.collect()) == want
+
+
+def test_facts_hold_the_whole_text(spark, tmp_path):
+    from tidewell.plans import registry
+
+    same = "x" * 60
+    rows = [(1, same + " the end", "en", "s", 80), (2, same, "en", "s", 60), (3, same + " more", "en", "s", 90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda name: sorted(r["id"] for r in registry.queries()[name](spark, str(tmp_path)).collect())
+    assert ids("b8_search_facts_whole") == ["1"] and ids("i6_merge_facts_whole") == ["1", "3"]
+    assert registry.queries()["c13_normalize_facts_whole"](spark, str(tmp_path)).where("id = '1'").first()["content"] == same + " the end"

@@ -268,47 +268,81 @@ def filter_for_memory(spark, sf_dir):
     return ops.filter_for_memory(m)
 
 
-@query(
-    "c13_normalize_facts",
-    over("facts", "SELECT id, trim(content, ' ' || chr(10)) AS content, CASE WHEN pos % 4 = 0 THEN 'context' ELSE category END AS category, confidence FROM facts WHERE pos % 6 NOT IN (2, 3)"),
-)
-def normalize_facts(spark, sf_dir):
+NORMALIZE_FACTS = "SELECT id, trim(content, ' ' || chr(10)) AS content, CASE WHEN pos % 4 = 0 THEN 'context' ELSE category END AS category, confidence FROM facts WHERE pos % 6 NOT IN (2, 3)"
+
+
+@query("c13_normalize_facts", over("facts", NORMALIZE_FACTS))
+def normalize_facts(spark, sf_dir, facts="facts"):
     n = F.col("confidence").cast("string")
     raw = F.when(F.col("pos") % 6 == 0, n).when(F.col("pos") % 6 == 1, F.concat(F.lit('"'), n, F.lit('"'))).when(F.col("pos") % 6 == 2, "true").when(F.col("pos") % 6 == 3, '"high"').otherwise(n)
-    f = frame(spark, sf_dir, "facts").withColumns({"confidence": raw, "category": F.when(F.col("pos") % 4 == 0, " ").otherwise(F.col("category"))})
+    f = frame(spark, sf_dir, facts).withColumns({"confidence": raw, "category": F.when(F.col("pos") % 4 == 0, " ").otherwise(F.col("category"))})
     return ops.normalize_facts(f).select("id", "content", "category", "confidence")
 
 
+@query("c13_normalize_facts_whole", over("text_facts", NORMALIZE_FACTS.replace("FROM facts", "FROM text_facts")))
+def normalize_facts_whole(spark, sf_dir):
+    return normalize_facts(spark, sf_dir, "text_facts")
+
+
 @query("d6_remove_facts", over("facts", "SELECT user_id, id FROM facts WHERE NOT (pos % 5 = 0 AND pos % 2 = 0)"))
 def remove_facts(spark, sf_dir):
     f = frame(spark, sf_dir, "facts")
     return ops.remove_facts(f, f.where("pos % 5 = 0").select("user_id", "id", (F.col("pos") % 2 == 0).alias("valid"))).select("user_id", "id")
 
 
-@query(
-    "i6_merge_facts",
-    over("facts", "WITH f AS (SELECT *, lower(trim(content, ' ' || chr(10))) AS fold FROM facts), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, fold ORDER BY pos) AS n FROM f WHERE pos % 2 = 1 AND confidence >= 0.7 AND fold <> '') SELECT user_id, id FROM n WHERE n.n = 1 AND NOT EXISTS (SELECT 1 FROM f WHERE f.pos % 2 = 0 AND f.user_id = n.user_id AND f.fold = n.fold)"),
-)
-def merge_facts(spark, sf_dir):
-    f = frame(spark, sf_dir, "facts")
+MERGE_FACTS = "WITH f AS (SELECT *, lower(trim(content, ' ' || chr(10))) AS fold FROM facts), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, fold ORDER BY pos) AS n FROM f WHERE pos % 2 = 1 AND confidence >= 0.7 AND fold <> '') SELECT user_id, id FROM n WHERE n.n = 1 AND NOT EXISTS (SELECT 1 FROM f WHERE f.pos % 2 = 0 AND f.user_id = n.user_id AND f.fold = n.fold)"
+
+
+@query("i6_merge_facts", over("facts", MERGE_FACTS))
+def merge_facts(spark, sf_dir, facts="facts"):
+    f = frame(spark, sf_dir, facts)
     return ops.merge_facts(f.where("pos % 2 = 0"), f.where("pos % 2 = 1")).select("user_id", "id")
 
 
-@query("i7_merge_sections", over("facts", "WITH u AS (SELECT user_id, category, max_by(content, pos) AS new FROM facts WHERE pos % 3 = 0 AND trim(content) <> '' GROUP BY 1, 2), s AS (SELECT DISTINCT user_id, category FROM facts) SELECT user_id, category AS section, coalesce(new, 'old') AS summary FROM s LEFT JOIN u USING (user_id, category)"))
-def merge_sections(spark, sf_dir):
-    f = frame(spark, sf_dir, "facts").withColumnRenamed("category", "section")
+@query("i6_merge_facts_whole", over("text_facts", MERGE_FACTS.replace("FROM facts", "FROM text_facts")))
+def merge_facts_whole(spark, sf_dir):
+    return merge_facts(spark, sf_dir, "text_facts")
+
+
+MERGE_SECTIONS = "WITH u AS (SELECT user_id, category, max_by(content, pos) AS new FROM facts WHERE pos % 3 = 0 AND trim(content) <> '' GROUP BY 1, 2), s AS (SELECT DISTINCT user_id, category FROM facts) SELECT user_id, category AS section, coalesce(new, 'old') AS summary FROM s LEFT JOIN u USING (user_id, category)"
+
+
+@query("i7_merge_sections", over("facts", MERGE_SECTIONS))
+def merge_sections(spark, sf_dir, facts="facts"):
+    f = frame(spark, sf_dir, facts).withColumnRenamed("category", "section")
     u = f.select("user_id", "section", F.col("content").alias("summary"), "pos", (F.col("pos") % 3 == 0).alias("should_update"))
     return ops.merge_sections(f.select("user_id", "section", F.lit("old").alias("summary")).distinct(), u)
 
 
-@query("g9_cap_facts", over("facts", "SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, pos) AS n FROM facts) WHERE n <= 30"))
-def cap_facts(spark, sf_dir):
-    return ops.cap_facts(frame(spark, sf_dir, "facts"), 30).select("user_id", "id")
+@query("i7_merge_sections_whole", over("text_facts", MERGE_SECTIONS.replace("FROM facts", "FROM text_facts")))
+def merge_sections_whole(spark, sf_dir):
+    return merge_sections(spark, sf_dir, "text_facts")
+
+
+CAP_FACTS = "SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, pos) AS n FROM facts) WHERE n <= 30"
+
+
+@query("g9_cap_facts", over("facts", CAP_FACTS))
+def cap_facts(spark, sf_dir, facts="facts"):
+    return ops.cap_facts(frame(spark, sf_dir, facts), 30).select("user_id", "id")
+
+
+@query("g9_cap_facts_whole", over("text_facts", CAP_FACTS.replace("FROM facts", "FROM text_facts")))
+def cap_facts_whole(spark, sf_dir):
+    return cap_facts(spark, sf_dir, "text_facts")
+
+
+SEARCH_FACTS = "SELECT id FROM facts WHERE contains(lower(content || ' ' || category), 'the')"
+
+
+@query("b8_search_facts", over("facts", SEARCH_FACTS))
+def search_facts(spark, sf_dir, facts="facts"):
+    return ops.search_facts(frame(spark, sf_dir, facts), "The").select("id")
 
 
-@query("b8_search_facts", over("facts", "SELECT id FROM facts WHERE contains(lower(content || ' ' || category), 'the')"))
-def search_facts(spark, sf_dir):
-    return ops.search_facts(frame(spark, sf_dir, "facts"), "The").select("id")
+@query("b8_search_facts_whole", over("text_facts", SEARCH_FACTS.replace("FROM facts", "FROM text_facts")))
+def search_facts_whole(spark, sf_dir):
+    return search_facts(spark, sf_dir, "text_facts")
 
 
 LINES = """f AS (SELECT *, CASE WHEN category = 'de' THEN 0 ELSE 1 END AS section, '- [' || category || ' | ' || printf('%.2f', confidence) || '] ' || content AS line FROM (SELECT user_id, pos, category, confidence, 'fact ' || id || repeat('x', (pos % 50)::INT) AS content FROM facts)),
