@@ -412,6 +412,21 @@ def test_field_learns_from_the_whole_table(monkeypatch):
     assert len(passes) == 100
 
 
+def test_stretches_give_the_spans_of_the_full_decode(spark, sf_dir, monkeypatch):
+    f = pii_crf.fit()
+    rng = random.Random(7)
+    texts = ["Room 55 bob [at] site [dot] com", "Room 55 is for bob [at] site [dot] com now", "1 2 a b c d e f 3 g h i (988) 555-2485"]
+    texts += [" ".join(rng.choice(("Room", "bob", "[at]", "site", "[dot]", "com", "55", "(988)", "555-2485", "call", "a,", "[x]")) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    texts += [r["text"] or "" for r in q.documents(spark, sf_dir).orderBy("doc_id").select("text").where("length(text) < 3000").limit(150).collect()]
+    near = pii_crf.field_spans(texts, f)
+    assert {i for s in pii_crf.stretches(texts[0]) for i in s} == {m.span() for m in re.finditer(r"\S+", texts[0])}
+    assert pii_crf.mask(texts[0], pii_crf.all_spans(texts[:1], f)[0][1]).endswith("[EMAIL]")
+    monkeypatch.setattr(pii_crf, "stretches", lambda t: [x] if (x := [m.span() for m in re.finditer(r"\S+", t)]) else [])
+    differ = [(t, a, b) for t, a, b in zip(texts, near, pii_crf.field_spans(texts, f)) if sorted(a) != sorted(b)]
+    assert not differ, differ[:3]
+    assert pii_crf.shape("a." * 45 + "7") == "a." * 45 + "1"
+
+
 # ---- pipeline
 
 

@@ -79,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> str:
     """Word shape: runs of letters as a or A, of digits as their number (9 and more as 9), signs as they are, runs folded."""
-    t = re.sub(r"[0-9]+", lambda m: "\0" * min(9, len(m[0])), token[:80])
+    t = re.sub(r"[0-9]+", lambda m: "\0" * min(9, len(m[0])), token)
     t = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", t)
     t = re.sub(r"\0+", lambda m: str(len(m[0])), t)
     return re.sub(r"([^\w\s])\1+", r"\1", t)
@@ -265,24 +265,29 @@ def fit(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 100
 
 
 def stretches(text: str, around: int = 4) -> list[list[tuple[int, int]]]:
-    """Token ranges near tokens with a digit, an at sign or a cue; neighbours within ``around`` tokens come along."""
+    """Token ranges near tokens with a digit, an at sign or a cue; neighbours within ``around`` tokens of each come along,
+    and ranges that meet are one."""
     found: list[list[tuple[int, int]]] = []
-    covered = -1
+    covered = cued = -1
     for m in _CUE.finditer(text):
-        if m.start() < covered or m[0] in "[({" and not _SPELT.match(text, m.start()):
+        if m.start() < cued or m[0] in "[({" and not _SPELT.match(text, m.start()):
             continue
         lo, hi = m.start(), m.end()
+        while hi < len(text) and not text[hi].isspace():
+            hi += 1
+        cued = hi  # the end of the cue's token: further cues in it add nothing
         for _ in range(around + 1):
             lo = _word_start(text, lo, covered)
-        for _ in range(around + 1):
+        for _ in range(around):
             hi = _word_end(text, hi)
+        if hi <= covered:
+            continue
         part = [t.span() for t in _TOKEN.finditer(text, max(lo, covered, 0), hi)]
-        joined = found and lo <= covered
-        if joined:
+        if found and lo <= covered:
             found[-1] += part
         else:
             found.append(part)
-        covered = max(hi, covered)
+        covered = hi
     return found
 
 
