@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,18 +29,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage, so lost executors cost no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with its session's Arrow batches cut to ``rows`` unless the session sets a size of its own: texts can be long,
-    and a Python worker holds a few copies of a batch."""
+    """Write df as a table into the shared checkpoint folder and read it back: its lineage ends there, so lost executors
+    cost no recomputation, and later plans know its real size (``checkpoint()`` keeps the plan's estimate, which the joins
+    of an iteration multiply round by round)."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, what runs at once (a checkpoint, a collect) sends at most ``rows`` rows a batch to Python, as a worker
+    holds a few copies of a batch. The session's own setting is put back after. Batches are bounded in bytes in any case, by
+    spark.sql.execution.arrow.maxBytesPerBatch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,30 +65,54 @@ def crc_fold(doc_id: str, k: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(k))
 
 
+def split_join(rows: DataFrame, table: DataFrame, key: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each key and in ``size`` the number of ``rows`` with that key.
+
+    Keys with more than a thousandth of the ``total`` rows (256 at least) are at most a thousand, so their part of the
+    table is broadcast and their rows stay where they are; all other keys meet in an ordinary join. No task gets a hot key."""
+    most = max(256, total // 1000)
+    hot, cold = table.where(F.col(size) > most), table.where(F.col(size) <= most)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
+
+
+def bit_array(rows: DataFrame, *columns: str, bits: int = 25) -> DataFrame:
+    """Bits of the hashes of the columns' values as rows (word, mask): at most 2**(bits - 6) rows, however many values
+    (half a million, or some 30 MB when broadcast)."""
+    spot = rows.select(F.pmod(F.xxhash64(*columns), F.lit(1 << bits)).alias("p"))
+    return spot.groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("mask"))
+
+
+def with_bit(rows: DataFrame, array: DataFrame, *columns: str, bits: int = 25, flag: str = "__bit") -> DataFrame:
+    """``rows`` with a flag that is false only where no value of the array equals the row's. The array is broadcast: its
+    size is bounded by its definition. Past some 10 million values more and more rows pass for nothing, none is lost."""
+    p = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+    j = rows.withColumn(flag, p).join(F.broadcast(array.withColumnRenamed("word", f"{flag}_w").withColumnRenamed("mask", f"{flag}_m")), F.shiftright(F.col(flag), 6) == F.col(f"{flag}_w"), "left")
+    hit = F.expr(f"coalesce((shiftrightunsigned({flag}_m, cast({flag} & 63 as int)) & 1L) = 1L, false)")
+    return j.withColumn(flag, hit).drop(f"{flag}_w", f"{flag}_m")
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph given as edges (u, v): rows (node, root), root the least node.
 
-    Alternates large-star and small-star steps. Each step takes the least neighbour by a grouped minimum (combined
-    before the shuffle) and joins it back, so a node with very many edges is split like any skewed join key. Every
-    round is checkpointed. Self loops are dropped; nodes without edges do not appear.
+    Alternates large-star and small-star steps until every node hangs on one root and no root on another. Each step
+    takes the least neighbour by a grouped minimum (combined before the shuffle), writes it and joins it back with hot
+    nodes split off. Every round is checkpointed. Self loops are dropped; nodes without edges do not appear.
     """
-    both = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = checkpointed(e)
-    before = None
     for _ in range(max_rounds):
-        near = both(e)
-        low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        e = near.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        n = e.count()
+        near = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = checkpointed(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).withColumn("m", F.least("u", "m")))
+        e = checkpointed(split_join(near.where("v > u"), low, "u", "size", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: every node hangs its smaller neighbours on the least of them
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        hung = e.join(low, "u")
-        e = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v")))
-        e = checkpointed(e.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == now:
+        low = checkpointed(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")))
+        hung = split_join(e, low, "u", "size", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = checkpointed(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        if ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1 and hangs > 0").isEmpty():
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -5,8 +5,9 @@ directly or through others), copy_id (least doc_id with the same n-gram set), n_
 Jaccard similarity of at least the threshold) and n_grams.
 
 Words are runs of characters other than ASCII white space, compared as they are. A text of one to four words has its
-whole word sequence as its only n-gram. A text without words (or null) has no n-grams and links to nothing. Repeated
-doc_id values are treated as separate rows of the same node. Extra columns are ignored.
+whole word sequence as its only n-gram. A text without words (or null) has no n-grams and links to nothing. Every row is
+a document of its own, also where rows share a doc_id or have none; class_id and copy_id are null where no row of the
+class has a doc_id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewell.llm.common import WORDS, checkpointed, components, small_batches
+from tidewell.llm.common import WORDS, bit_array, checkpointed, components, small_batches, split_join, with_bit
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[str, int] = {}
@@ -77,37 +79,41 @@ def _signer(n: int, bands: int, rows: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, mark, text in zip(pdf["doc_id"], pdf["mark"], pdf["text"]):
                 g = gram_hashes(text, n)
-                whole = xxhash.xxh64_intdigest(g.tobytes()) - 2**63 if len(g) else None
-                out.append((doc, len(g), whole, signature(g, a, b, bands) if len(g) else None))
-            made = pd.DataFrame(out, columns=["doc_id", "n_grams", "set_hash", "bands"])
-            made["set_hash"] = pd.array([r[2] for r in out], dtype="Int64")
+                out.append((doc, mark, len(g), set_hash(g), signature(g, a, b, bands) if len(g) else None))
+            made = pd.DataFrame(out, columns=["doc_id", "mark", "n_grams", "set_hash", "bands"])
+            made["doc_id"] = pdf["doc_id"].to_numpy()
             yield made
 
     return sign
 
 
-def _packer(n: int):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["grams"] = [gram_hashes(t, n).tobytes() for t in pdf.pop("text")]
-            yield pdf
+def set_hash(grams: np.ndarray) -> bytes | None:
+    """128-bit hash of a whole n-gram set; null for an empty one."""
+    return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
-    return pack
 
+def _packed(n: int):
+    """Column function: the packed n-grams of a text, null unless their set has the given hash."""
 
-def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs of sets with Jaccard similarity at or over the threshold (no diagonal).
+    def pack(texts: pd.Series, hashes: pd.Series) -> pd.Series:
+        grams = [gram_hashes(t, n) for t in texts]
+        return pd.Series([g.tobytes() if set_hash(g) == bytes(h) else None for g, h in zip(grams, hashes)], dtype=object)
+
+    return F.pandas_udf(pack, T.BinaryType())
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, exact.
 
-    Only n-grams that two sets share can add to an intersection, so a 0/1 matrix over those, multiplied by its
-    transpose in slices of columns, gives every exact intersection size.
+    Only values that two sets share can add to one, so a 0/1 matrix over those, multiplied by its transpose in slices of
+    columns, gives every size.
     """
-    size = np.array([len(s) for s in sets])
-    all_grams = np.concatenate(sets)
-    _, inverse, count = np.unique(all_grams, return_inverse=True, return_counts=True)
+    all_values = np.concatenate(sets)
+    _, inverse, count = np.unique(all_values, return_inverse=True, return_counts=True)
     column = np.where(count >= 2, np.cumsum(count >= 2) - 1, -1)[inverse]
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     keep = column >= 0
     column, owner = column[keep], owner[keep]
     order = np.argsort(column, kind="stable")
@@ -119,8 +125,13 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         part = np.zeros((len(sets), width), np.float32)
         part[owner[i:j], column[i:j] - lo] = 1
         shared += part @ part.T
-    union = size[:, None] + size[None, :] - shared
-    hit = shared >= threshold * union - 1e-9
+    return shared
+
+
+def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Boolean matrix of the pairs of sets with Jaccard similarity at or over the threshold (no diagonal)."""
+    size, shared = np.array([len(s) for s in sets]), overlaps(sets)
+    hit = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
     np.fill_diagonal(hit, False)
     return hit
 
@@ -138,54 +149,101 @@ def roots(hit: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def _verifier(threshold: float):
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in pdf.drop_duplicates("doc_id").groupby("comp", sort=False):
-            ids, blk, w = part["doc_id"].to_numpy(), part["block"].to_numpy(), part["copies"].to_numpy()
+        for (_, band), part in pdf.groupby(["unit", "band"], sort=False):
+            ids, blk, w = part["rid"].to_numpy(), part["block"].to_numpy(), part["copies"].to_numpy()
             hit = linked([np.frombuffer(g, np.uint64) for g in part["grams"]], threshold)
             if part["lo"].iloc[0] != part["hi"].iloc[0]:  # two blocks: pairs across them only
                 hit &= blk[:, None] != blk[None, :]
-            out.append(pd.DataFrame({"doc_id": ids, "links": hit @ w, "root": roots(hit, ids)}))
+            if band > 0 and hit.any():  # pairs that met in an earlier band were counted there
+                hit &= overlaps([np.asarray(x, np.int64) for x in part["seen"]]) == 0
+            out.append(pd.DataFrame({"rid": ids, "links": hit @ w, "root": roots(hit, ids)}))
         made = pd.concat(out)
         return made[made["links"] > 0]
 
     return verify
 
 
-def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, block: int = 256, block_bytes: int = 32 << 20) -> DataFrame:
-    """Near-duplicate classes and link counts of ``docs`` (doc_id, text, ...); see the module docstring.
+def units_of(stars: DataFrame, buckets: DataFrame, comps: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """Where each candidate is to be verified: rid, unit, band, blocks and seen.
 
-    Copies are folded into one representative by the hash of the whole n-gram set. Bands meet by a grouped minimum,
-    which yields a star per bucket instead of its pairs; the stars' components hold all candidate pairs. A component
-    is cut into blocks of bounded rows and bytes, each pair of blocks is verified in one task with exact
-    intersections, and only per-document counts and a local root leave the task, never the pairs.
+    ``stars`` (rid, band, key) and ``buckets`` (key, v, n) hold the band buckets of two rows and more, ``comps`` (rid, comp,
+    n_grams) the components of their stars. A component all of whose pairs are no more than those that met in its
+    buckets, one for each band, is one unit (band -1). Any other, such as a long chain of unlike texts, is verified bucket by bucket,
+    and ``seen`` lists a row's buckets of earlier bands, where its pairs were counted. So never more pairs are verified
+    than met in a band. A unit is cut into blocks of bounded rows and bytes.
+    """
+    cut = lambda rows, grams: F.greatest(F.ceil(F.col(rows) / block), F.ceil(F.col(grams) * 8 / block_bytes), F.lit(1)).cast("long")
+    met = buckets.join(comps.select(F.col("rid").alias("v"), "comp"), "v").groupBy("comp").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("met"))
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g")).join(met, "comp")
+    sizes = checkpointed(sizes.select("comp", "m", (F.col("m") * (F.col("m") - 1) <= F.col("met")).alias("whole"), cut("m", "g").alias("blocks")))
+    placed = checkpointed(split_join(comps, sizes, "comp", "m", comps.count()))
+    whole = placed.where("whole").select("rid", F.col("comp").alias("unit"), F.lit(-1).alias("band"), "blocks", F.array().cast("array<long>").alias("seen"))
+    own = stars.join(placed.where("not whole").select("rid", "n_grams"), "rid")
+    own = checkpointed(own.groupBy("rid", "n_grams").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("keys")))
+    own = own.select("rid", "n_grams", F.transform("keys", lambda x: x["key"]).alias("keys"), F.posexplode("keys").alias("i", "at"))
+    own = own.select("rid", "n_grams", F.col("at.key").alias("unit"), F.col("at.band").alias("band"), F.slice("keys", F.lit(1), F.col("i")).alias("seen"))
+    each = checkpointed(own.groupBy("unit").agg(F.count("*").alias("size"), F.sum("n_grams").alias("g")).select("unit", "size", cut("size", "g").alias("blocks")))
+    banded = split_join(own, each, "unit", "size", stars.count()).select("rid", "unit", "band", "blocks", "seen")
+    return whole.unionByName(banded)
+
+
+def members(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, block: int = 256, block_bytes: int = 32 << 20) -> DataFrame:
+    """Each row's class: doc_id, mark (hash of the text), n_grams, and for texts with words copies, links (of the row's
+    n-gram set) and the structs own and head: (none, doc_id, mark) of the least row with the same set and of the class.
+
+    Equal sets are folded into one representative by a 128-bit hash. Band keys that more than one representative has
+    give a star per bucket in place of its pairs. :func:`units_of` deals the stars' components, or their buckets, to
+    units of verification; a unit's blocks are verified in pairs by exact intersections, and only per-row counts and a local
+    root leave a task, never the pairs. Classes are the components of verified links alone.
     """
     bands, rows = bands_for(threshold, recall)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = checkpointed(small_batches(texts).mapInPandas(_signer(n, bands, rows), "doc_id long, n_grams int, set_hash long, bands array<long>"))
-    classes = checkpointed(signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")))
-    members = checkpointed(signed.select("doc_id", "n_grams", "set_hash").join(classes, "set_hash", "left"))
-    reps = members.where("doc_id = copy_id").select("doc_id", "copies", "n_grams").dropDuplicates(["doc_id"])
-    keys = signed.join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("top")).where("v < top").drop("top")
-    stars = keys.join(heads, "key").select(F.col("doc_id").alias("u"), "v")
-    comps = components(stars).join(reps.withColumnRenamed("doc_id", "node"), "node")
-    comps = checkpointed(comps.select(F.col("node").alias("doc_id"), F.col("root").alias("comp"), "copies", "n_grams"))
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n_grams").alias("g"))
-    sizes = sizes.select("comp", F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("g") * 8 / block_bytes)).alias("blocks"))
-    slots = 1 + comps.count() // block
-    cut = comps.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    grams = cut.drop("n_grams").join(texts, "doc_id")
-    grams = small_batches(grams).mapInPandas(_packer(n), "doc_id long, comp long, copies long, blocks long, block long, grams binary")
-    pairs = grams.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    pairs = pairs.withColumn("slot", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(slots))).otherwise(F.col("comp")))
-    pairs = pairs.withColumn("cut", F.col("blocks") > 1).drop("other")
-    found = checkpointed(pairs.groupBy("cut", "slot", "lo", "hi").applyInPandas(_verifier(threshold), "doc_id long, links long, root long"))
-    joined = components(found.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("copy_id"), "root")
-    links = checkpointed(found.groupBy(F.col("doc_id").alias("copy_id")).agg(F.sum("links").alias("links")).join(joined, "copy_id", "left"))
-    return members.join(links, "copy_id", "left").select(
+    texts = texts.withColumn("mark", F.xxhash64("text"))
+    signed = texts.mapInPandas(_signer(n, bands, rows), "doc_id long, mark long, n_grams int, set_hash binary, bands array<long>")
+    with small_batches(docs.sparkSession):
+        signed = checkpointed(signed.withColumn("rid", F.monotonically_increasing_id()))
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("own")
+    folded = signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("rid").alias("rid"), own, F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    folded = checkpointed(folded)
+    keys = folded.select("rid", F.posexplode("bands").alias("band", "key"))
+    buckets = checkpointed(keys.groupBy("key").agg(F.min("rid").alias("v"), F.count("*").alias("n")).where("n > 1"))
+    shared = with_bit(keys, bit_array(buckets, "key"), "key").where("__bit").drop("__bit")
+    stars = checkpointed(split_join(shared, buckets, "key", "n", buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("rid", "band", "key", "v"))
+    comps = components(stars.select(F.col("rid").alias("u"), "v")).select(F.col("node").alias("rid"), F.col("root").alias("comp"))
+    comps = checkpointed(comps.join(folded.select("rid", "own", "set_hash", "copies", "n_grams"), "rid"))
+    units = units_of(stars.select("rid", "band", "key"), buckets, comps.select("rid", "comp", "n_grams"), block, block_bytes)
+    units = units.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    todo = units.groupBy("rid").agg(F.collect_list(F.struct("unit", "band", "blocks", "block", "seen")).alias("units")).join(comps, "rid")
+    spot = F.coalesce("doc_id", "mark")
+    todo = checkpointed(todo.select("rid", "copies", "set_hash", "units", "n_grams", F.coalesce("own.doc_id", "own.mark").alias("spot"), F.col("own.mark").alias("mark")))
+    wanted = with_bit(texts.select(spot.alias("spot"), "mark", "text"), bit_array(todo, "spot", "mark"), "spot", "mark").where("__bit")
+    wanted = wanted.groupBy("spot", "mark").agg(F.first("text").alias("text")).join(todo, ["spot", "mark"])
+    grams = wanted.withColumn("grams", _packed(n)(F.col("text"), F.col("set_hash"))).where("grams is not null")
+    held = todo.agg(F.count("*"), F.coalesce(F.sum("n_grams"), F.lit(0))).first()
+    slots = 1 + max(held[0] // block, held[1] * 8 // block_bytes)
+    pairs = grams.select("rid", "copies", "grams", F.inline("units")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other"), "cut": F.col("blocks") > 1}).drop("other", "blocks")
+    pairs = pairs.withColumn("slot", F.when(F.col("cut"), F.xxhash64("unit", "band")).otherwise(F.pmod(F.xxhash64("unit", "band"), F.lit(slots))))
+    with small_batches(docs.sparkSession):
+        found = checkpointed(pairs.groupBy("cut", "slot", "lo", "hi").applyInPandas(_verifier(threshold), "rid long, links long, root long"))
+    roots_ = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rid"), "root")
+    links = found.groupBy("rid").agg(F.sum("links").alias("links")).join(roots_, "rid").join(folded.select("rid", "own"), "rid")
+    links = checkpointed(links)
+    heads = checkpointed(links.groupBy("root").agg(F.min("own").alias("head"), F.count("*").alias("size")))
+    links = split_join(links, heads, "root", "size", links.count()).select("rid", "links", "head")
+    folded = checkpointed(folded.select("set_hash", "rid", "own", "copies").join(links, "rid", "left").withColumn("head", F.coalesce("head", "own")).drop("rid"))
+    every = signed.select("doc_id", "mark", "n_grams", "set_hash")
+    with_words = split_join(every.where("set_hash is not null"), folded, "set_hash", "copies", every.count())
+    return with_words.unionByName(every.where("set_hash is null"), allowMissingColumns=True).drop("set_hash")
+
+
+def ngram_join(docs: DataFrame, **options) -> DataFrame:
+    """Near-duplicate classes and link counts of ``docs`` (doc_id, text, ...); see the module docstring and :func:`members`."""
+    words = F.col("n_grams") > 0
+    return members(docs, **options).select(
         "doc_id",
-        F.coalesce("root", "copy_id", "doc_id").alias("class_id"),
-        F.coalesce("copy_id", "doc_id").alias("copy_id"),
+        F.when(words, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(words, F.col("own.doc_id")).otherwise(F.col("doc_id")).alias("copy_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
         F.col("n_grams").cast("long").alias("n_grams"),
     )
@@ -194,7 +252,15 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class kept, the one with the least doc_id; columns as they came.
 
-    Rows that repeat a doc_id count as one document; rows without a doc_id all stay.
+    Rows equal in doc_id and text count as one document. Texts without words are in no class and stay. Only rows that may go,
+    by a bit array of theirs, are shuffled; all others stay where they are.
     """
-    kept = ngram_join(docs, **options).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    m = members(docs, **options)
+    goes = (F.col("n_grams") > 0) & ~(F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.mark") == F.col("mark")))
+    m = m.groupBy(F.coalesce("doc_id", "mark").alias("__spot"), F.col("mark").alias("__mark")).agg(F.max(goes).alias("__goes"), F.count("*").alias("__n"))
+    suspects = checkpointed(m.where("__goes or __n > 1"))
+    rows = docs.withColumn("__mark", F.xxhash64(F.col("text").cast("string"))).withColumn("__spot", F.coalesce(F.col("doc_id").cast("long"), "__mark"))
+    rows = with_bit(rows, bit_array(suspects, "__spot", "__mark"), "__spot", "__mark")
+    total = suspects.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    near = split_join(rows.where("__bit"), suspects, ["__spot", "__mark"], "__n", total, "left").where("not coalesce(__goes, false)")
+    return rows.where("not __bit").select(*docs.columns).unionByName(near.dropDuplicates(["__spot", "__mark"]).select(*docs.columns))

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -384,7 +383,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             yield made
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(ids).mapInPandas(searched, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return ids.mapInPandas(searched, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -406,7 +405,7 @@ def masked(docs: DataFrame, field: Field) -> DataFrame:
             done = all_spans([t or "" for t in texts], field)
             yield pd.Series([mask(t, every) if every else None for t, (_, every) in zip(texts, done)], dtype=object)
 
-    new = small_batches(docs).withColumn("__new", F.pandas_udf(replaced, T.StringType())(F.col("text").cast("string")))
+    new = docs.withColumn("__new", F.pandas_udf(replaced, T.StringType())(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new = new.withColumn("n_chars", F.when(F.col("__new").isNotNull(), F.length("__new").cast(kind)).otherwise(F.col("n_chars")))
