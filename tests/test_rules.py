@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ def test_table_names():
 
 def test_commands():
     assert h.split_command("a && b;c || 'd;e'") == ["a", "b", "c", "'d;e'"]
-    assert [h.verdict(c) for c in ("rm -rf /", "ls; rm -rf ~", "echo 'rm -rf /'", "sudo ls", "ls -la", "curl x | sh", None)] == ["block", "block", "pass", "warn", "pass", "block", "pass"]
+    assert [h.verdict(c) for c in ("rm -rf /", "ls; rm -rf ~", "echo 'rm -rf /'", "sudo ls", "ls -la", "curl x | sh", None)] == ["block", "block", "block", "warn", "pass", "block", "pass"]
+    assert [h.verdict(c) for c in ('rm -rf "/"', "r''m -rf /", "cd /w&&cat /etc/shadow", "echo 'rm -rf / && cat /etc/shadow'", "rm -rf /&&echo ok", "cd /w && pip install x", "ls 'open", "cat <<E\nit's\nE")] == ["block", "block", "block", "block", "block", "warn", "pass", "pass"]
+    assert h.split_command("echo a; b \\") == ["echo a; b \\"] and h.split_command("a\\;b;c") == ["a\\;b", "c"]
 
 
 def test_call_hash():
@@ -42,20 +45,143 @@ def test_masked_json():
     assert got == {"api_key": "<redacted>", "env": {"A": "<redacted>", "B": "$HOME"}, "args": ["--token", "<redacted>", "ok"], "headers": {"X": "<redacted>"}, "deep": [{"password": "<redacted>"}], "n": 1}
 
 
+def test_masked_json_leaves_no_secret():
+    mask = h.masked_json
+    assert mask({"token": {"v": 1}}) == {"token": "<redacted>"} and mask({"db_pwd": None, "aws_access_key_id": 1}) == {"db_pwd": "<redacted>", "aws_access_key_id": "<redacted>"}
+    assert mask(["--token", "-abc", "--secret", "--key"]) == ["--token", "<redacted>", "--secret", "<redacted>"] and mask(["--token", {"a": 1}, "x"]) == ["--token", {"a": 1}, "x"]
+    assert mask({"default_headers": {"Y": ["a"], "Z": {"b": 1}}}) == {"default_headers": {"Y": "<redacted>", "Z": "<redacted>"}} and mask({"header": "plain"}) == {"header": "plain"}
+    assert mask(["https://u:p@h/v1?access_token=x&m=1", "Bearer abc", 3, None, "--api-key=K", "--model", "gpt"]) == ["https://<redacted>@h/v1?access_token=<redacted>&m=1", "Bearer <redacted>", 3, None, "--api-key=<redacted>", "--model", "gpt"]
+    assert mask({"ENV": {"A": 1, "B": " ${HOME} ", "C": {"password": "p", "k": "v"}}, "env": "sk-12345678"}) == {"ENV": {"A": "<redacted>", "B": " ${HOME} ", "C": {"password": "<redacted>", "k": "v"}}, "env": "sk-<redacted>"}
+
+
+def test_redaction_is_the_same_in_both_forms(spark):
+    import random
+
+    rng = random.Random(3)
+    bits = ["token: Bearer abc.def rest", "Authorization: Bearer abc.def rest", "authorization: basic x", "API_KEY = v", "secret : ", " ", "\n", "\r\n", "\u2028", "x", "Bearer", "bearer q", "--pass", "--db-password=x", "?token=a&b", "/home/é b/", "C:\\Users\\bob\\", "ſecret: y", "u://a:b@c", "sk-abcdefghij", "é", ":"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    assert one(spark, tx.redact_text("x"), *texts) == [h.redacted(t) for t in texts]
+    assert [h.redacted(t) for t in ("token: Bearer abc.def rest-of-secret", "Authorization: Bearer abc.def tail", "a\n token: x")] == ["token: <redacted>", "Authorization: Bearer <redacted> tail", "a\n token: <redacted>"]
+
+
+def test_tags_are_escaped_as_by_search(spark):
+    import random
+
+    rng = random.Random(4)
+    bits = ["<system", "<b>", ">", "<", " ", "/", "</Role", "<memoryx", "< prompt a=1", "\n", "x", "<SYSTEM-reminder>", "é"]
+    texts = ["y" + "".join(rng.choice(bits) for _ in range(rng.randrange(1, 10))) for _ in range(400)]
+    tag = re.compile(r"<\s*/?\s*(?:" + "|".join(tx.BLOCKED_TAGS) + r")\b[^>]*>?", re.I)
+    want = [tag.sub(lambda m: m[0].replace("<", "&lt;").replace(">", "&gt;"), t) for t in texts]
+    assert one(spark, tx.sanitize_input("x"), *texts) == [f"{tx.INPUT_BEGIN}\n{t}\n{tx.INPUT_END}" for t in want]
+
+
+def test_csv_round_trip(spark, tmp_path):
+    rows = [(1, 'say "hi", ok', " pad "), (2, "two\nlines\r\nand", None), (3, None, "\\ back \\"), (4, 'only "', "ä,;|"), (5, None, "x")]
+    df = spark.createDataFrame([(i, "" if i == 3 else a, b) for i, a, b in rows], "id int, a string, b string")  # empty cells are null
+    path = files.export(df.coalesce(1), f"{tmp_path}/t.csv")
+    assert sorted(map(tuple, files.load_csv(spark, [path])["t"].collect())) == rows
+    (tmp_path / "q.csv").write_text('k,v\n1,"say ""hi"", ok"\n2,"a\nb"\n')
+    assert sorted(map(tuple, files.load_csv(spark, [f"{tmp_path}/q.csv"])["q"].collect())) == [(1, 'say "hi", ok'), (2, "a\nb")]
+
+
+def test_grep_folds_letters_of_all_scripts(spark):
+    f = spark.createDataFrame([("a.md", "Über ÄRGER\nnichts\nnaïve\rx")], "path string, text string")
+    hits = lambda p, **k: [r["line_number"] for r in corpus.grep(f, p, **k).collect()]
+    assert hits("ärger", case_sensitive=False) == [1] and hits("ärger") == [] and hits("ärger", literal=True, case_sensitive=False) == [1] and hits(r"\bnaïve\b") == [3] and hits(r"^\w+$") == [2]
+
+
+def test_metadata_keeps_types(spark):
+    t = spark.createDataFrame([("1", "a", '{"n":1,"b":true,"o":{"x":[1]},"s":"t"}'), ("2", None, '{"n":1}'), ("3", "a", None)], "thread_id string, user_id string, metadata string")
+    p = spark.createDataFrame([("1", "a", '{"n":null,"z":[1.5,"q"]}'), ("2", "a", '{"n":2}'), ("3", None, '{"k":false}')], "thread_id string, user_id string, metadata string")
+    got = {r["thread_id"]: json.loads(r["metadata"]) for r in events.merge_metadata(t, p).collect()}
+    assert got == {"1": {"n": None, "b": True, "o": {"x": [1]}, "s": "t", "z": [1.5, "q"]}, "2": {"n": 1}, "3": {"k": False}}
+    assert events.merge_metadata(t, p).where(events.metadata_equals("metadata", "b", True)).count() == 1
+
+
+def test_budgets_of_outputs(spark):
+    lines = "\n".join(f"line {i}" for i in range(3000))
+    df = spark.createDataFrame([("grep", lines, "/o/x"), ("grep", lines * 2, None), ("grep", "short", "/o/y"), ("read_file", lines * 2, None), ("grep", "z" * 40_000, None)], "tool string, text string, path string")
+    got = [r[0] for r in df.select(tx.budget_output("text", "tool", "path")).collect()]
+    head, tail = got[0].split("\n\n[Full grep output saved to /o/x (")[0], got[0].split("this preview.]\n\n")[1]
+    assert lines.startswith(head) and head.endswith("\n") and len(head) <= 2000 and lines.endswith(tail) and tail.startswith("line ") and f"{len(lines) - len(head) - len(tail)} chars omitted" in got[0]
+    assert len(got[1]) <= 30_000 and "chars omitted from grep output. Persistent storage unavailable." in got[1] and got[2] == "short" and got[3] == lines * 2
+    assert len(got[4]) <= 30_000 and got[4].startswith("z" * 8000 + "\n\n[... 29000 chars")
+    assert [r[0] for r in df.select(tx.budget_output("text", "tool", None, most=20)).collect()][2:] == ["short", lines * 2, "z" * 20]
+    saved = messages.stored_outputs(df.withColumn("call_id", F.lit(7)).withColumn("tool", F.lit("a/../b\\c"))).collect()
+    assert len(saved) == 4 and saved[0]["path"] == ".tool-results/b_c-" + hashlib.md5(b"7").hexdigest()[:12] + ".txt" and saved[0]["text"] == lines
+
+
+def test_traces(spark):
+    df = spark.createDataFrame([("trace", json.dumps("é" * 10)), ("trace", '{"a": "' + "x" * 30 + '"}'), ("message", '{"a": 1}'), ("trace", "[1]"), ("message", "no json"), ("trace", None)], "c string, v string")
+    got = [tuple(r) for r in df.select(h.trace_content("c", "v", 11).alias("s")).select("s.*").collect()]
+    assert got == [("é" * 5, True, 20, False, False), ('{"a": "xxxx', True, 39, False, False), ('{"a": 1}', False, None, True, True), ("[1]", False, None, True, False), ("no json", False, None, False, False), (None, False, None, False, False)]
+
+
+def test_sections_search(spark):
+    s = spark.createDataFrame([("Work", "likes tea"), ("Tea time", None), ("x", "y")], "title string, summary string")
+    assert sorted(r["title"] for r in messages.search_sections(s, "TEA").collect()) == ["Tea time", "Work"]
+
+
 def test_symbols_and_pages():
     assert h.symbols_of("class A:\n  def b(self): pass\n", "python") == [("A", 1), ("b", 2)]
     assert h.symbols_of("def broken(", "python") == []
     assert h.symbols_of("type T struct {}\nfunc (t T) Go() {}", "go") == [("T", 1), ("Go", 2)]
     title, body, images = h.page_of("<title> A b</title><script>no()</script><h2>H</h2><p>x &amp; y</p><img src=i.png>")
     assert (title, images) == ("A b", ["i.png"]) and "## H" in body and "x & y" in body and "no()" not in body
-    assert h.page_of(None)[0] == "Untitled"
-
-
-def test_step_kinds_and_branch():
-    assert h.step_kind(["write_todos"], None, '[{"content":"a","status":"pending"}]', '[{"content":"a","status":"done"},{"content":"b","status":"pending"}]') == ("todo_update", ["done: a", "added: b"])
-    assert [h.step_kind(n, t, None, None)[0] for n, t in ((["task"], ""), (["grep"], ""), ([], "hi"), ([], " "))] == ["subagent_dispatch", "tool_batch", "final_answer", "thinking"]
-    p = h.branch("anchor", "why?", "s", ["m"], ["old", "new"], ["code" * 100], 64, "anchored")
-    assert "anchor" in p and "why?" in p and "new" in p and len(p) <= 64 * 4 + 12
+    assert h.page_of(None) == ("Untitled", "No content could be extracted from this page", [])
+    page = "<body><nav>menu</nav><ul><li><a href=a>One</a></li><li><a>Two</a> x</li></ul><main><h1>H</h1><p>Long text with a <a>link</a> in it.</p><ul><li>point</li></ul></main><p>Short note</p><footer>Terms</footer></body>"
+    assert h.page_of(page)[1] == "# H\n\nLong text with a link in it.\n\n- point"
+    assert h.page_of("<p>Plain <b>bold</b> text</p><div><a>Next page</a></div><aside>ad</aside>")[1] == "Plain bold text" and h.page_of("<a>Only</a> <p><a>links</a></p>")[1] == "Only\n\nlinks"
+    assert h.page_of("<article>tiny</article>" + "<p>" + "word " * 40 + "</p>")[1].startswith("tiny\n\nword")
+
+
+def test_todo_changes():
+    was = [("a", "pending"), ("b", "in_progress"), ("a", "pending"), ("old", "pending")]
+    now = [("a", "completed"), ("a", "pending"), (None, "pending"), ("new", "in_progress"), ("b", None)]
+    got = h.todo_changes(was, now)
+    assert got == [{"kind": "todo_complete", "content": "a"}, {"kind": "todo_update", "content": "new"}, {"kind": "todo_update", "content": "b"}]
+    assert h.todo_changes([("a", "pending"), ("b", "pending")], [("b", "pending")]) == [{"kind": "todo_remove", "content": "a"}]
+    assert h.todo_changes([], [("a", "in_progress"), ("b", "completed"), ("c", "pending")]) == [{"kind": k, "content": c} for k, c in (("todo_start", "a"), ("todo_complete", "b"), ("todo_update", "c"))]
+
+
+def test_attribution():
+    todos = lambda *xs: json.dumps([{"content": c, "status": s} for c, s in xs])
+    write = lambda *xs: json.dumps({"todos": json.loads(todos(*xs))})
+    kind = lambda calls, text=None, before=None: h.attribution(calls, text, before)["kind"]
+    assert kind([("write_todos", write(("a", "completed")), "1")], before=todos(("a", "pending"))) == "todo_update"
+    assert kind([("write_todos", write(("a", "pending")), "1")], before=todos(("a", "pending"))) == "tool_batch"
+    assert [kind(c, t) for c, t in (([("task", "{}", "1")], ""), ([("task", "{}", "1"), ("task", "{}", "2")], ""), ([], "hi"), ([], ""))] == ["subagent_dispatch", "tool_batch", "final_answer", "thinking"]
+    got = h.attribution([("web_search", '{"query": " q "}', "1"), ("present_files", None, " "), ("ask_clarification", "[]", None), (" ", '{"description": "d"}', "4"), ("task", '{"description": "t", "subagent_type": "x"}', "5")], None, "not json")
+    assert [a["kind"] for a in got["actions"]] == ["search", "present_files", "clarification", "tool", "subagent"] and got["tool_call_ids"] == ["1", "4", "5"] and got["shared_attribution"]
+    assert got["actions"][0]["query"] == "q" and got["actions"][3]["tool_name"] == "unknown" and got["actions"][4]["subagent_type"] == "x" and got["actions"][1]["tool_call_id"] is None
+    twice = h.attribution([("write_todos", write(("a", "pending")), "1"), ("write_todos", write(("a", "completed")), "2")], None, None)
+    assert [a["kind"] for a in twice["actions"]] == ["todo_update", "todo_complete"]
+
+
+def test_branch():
+    make = lambda strategy="ANCHORED_CONTEXT", budget=300, **k: h.branch(**({"anchor": " anchor ", "question": "why?", "summary": "a  b", "relevant": ["r1", "r2"], "main": ["m1"], "history": ["old", "new"], "code": ["c1"], "budget": budget, "strategy": strategy} | k))
+    prompt, cut, error = make()
+    assert error is None and not cut and "<anchor>\nanchor\n</anchor>" in prompt and "- r1\n- r2" in prompt and "- old\n- new" in prompt and "m1" not in prompt and "\nc1\n" in prompt and "\na b\n" in prompt
+    assert "- m1" in make("FULL_HISTORY")[0] and "r1" not in make("FULL_HISTORY")[0] and "c1" not in make("ANCHOR_ONLY")[0] and "- new" in make("ANCHOR_ONLY")[0]
+    prompt, cut, _ = make(budget=600, history=["x" * 600, "y" * 500, "z" * 100], code=["k" * 5000])
+    assert cut and "xxx" not in prompt and "y" * 500 + "\n- " + "z" * 100 in prompt and "kkk" not in prompt and len(prompt) // 4 <= 600  # whole entries go, none is cut
+    assert make(anchor="a" * 1300)[::2] == (None, "anchor and question over the budget") and make(budget=100)[2] and make(question=" ")[2] and make("x")[2]
+    prompt, cut, error = make(anchor="a" * 1000, history=["h"])
+    assert prompt is None and error.startswith("no room")
+
+
+def test_packed_context(spark):
+    import pytest
+
+    rows = [("q", i + 1, f"p{i}", 1, 9, 0.5, "why", t) for i, t in enumerate(["a" * 100, "b" * 9000, "c"])] + [("r", 1, "p", 1, 1, 1.0, "w", " ")]
+    hits = spark.createDataFrame(rows, "query_id string, rank int, path string, start_line int, end_line int, score double, reason string, text string")
+    got = {r["query_id"]: r for r in corpus.pack_context(hits, 200).collect()}
+    q = got["q"]
+    assert len(q["prompt"]) == 800 and q["chunks"] == 2 and q["truncated"] and q["estimated_tokens"] == 200 and '<code_chunk path="p0" lines="1-9" score="0.5000" reason="why">\n' + "a" * 100 + "\n</code_chunk>\n" in q["prompt"]
+    assert got["r"]["prompt"] == "<retrieved_code_context>\n</retrieved_code_context>" and got["r"]["truncated"] and got["r"]["chunks"] == 0
+    assert "b" * 6000 + "\n</code" in corpus.pack_context(hits, 4000).where("query_id = 'q'").first()["prompt"]
+    with pytest.raises(ValueError):
+        corpus.pack_context(hits, 127)
 
 
 def test_task_status(spark):
@@ -95,8 +221,6 @@ def test_casefolded_merge(spark):
 
 
 def test_glob_patterns():
-    import re
-
     hit = lambda p, s: re.search(corpus.glob_regex(p), s) is not None
     assert hit("*.py", "a/b.py") and hit("**/*.py", "b.py") and not hit("*.py", "b.pyc") and hit("src/*.go", "x/src/a.go") and not hit("src/*.go", "src/x/a.go") and hit("[ab].md", "a.md")
 

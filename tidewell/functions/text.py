@@ -22,17 +22,17 @@ INTERNAL_TAGS = ("uploaded_files", "slash_skill_activation", "system-reminder",
 BLOCKED_TAGS = ("system-reminder", "memory", "current_date", "think", "analysis", "subagent_system", "skill_system", "uploaded_files", "todo_list_system", "system", "instruction", "role", "important", "override", "ignore", "prompt")
 INPUT_BEGIN, INPUT_END = "--- BEGIN USER INPUT ---", "--- END USER INPUT ---"
 SAFETY_CODES = ("SAFETY", "BLOCKLIST", "PROHIBITED_CONTENT", "SPII", "RECITATION", "IMAGE_SAFETY", "IMAGE_PROHIBITED_CONTENT", "IMAGE_RECITATION")
-_KEYS = "api[_-]?key|token|secret|password|passwd|authorization|cookie|credential"
+# (flags, pattern, what is put), applied in this order. A header line of an authorization key keeps its bearer form.
 REDACTIONS = (
-    (r"(?<![\w.-])(/Users|/home)/([^/\s:]+)", "$1/<user>"),
-    (r"(?i)([A-Z]:\\Users\\)([^\\\s:]+)", "$1<user>"),
-    (r"([a-zA-Z][\w+.-]*://)([^/?#\s@]+)@", "$1<redacted>@"),
-    (r"(?i)([?&][\w.-]*(?:api[_-]?key|token|secret|password|passwd|authorization|access[_-]?token|credential)[\w.-]*=)([^&\s#]+)", "$1<redacted>"),
-    (rf"(?i)(--?[\w.-]*(?:{_KEYS})[\w.-]*=)(\S+)", "$1<redacted>"),
-    (r"(?im)^([A-Z0-9_]*(?:API[_-]?KEY|TOKEN|SECRET|PASSWORD|PASSWD|AUTHORIZATION|COOKIE|CREDENTIAL)[A-Z0-9_]*\s*=\s*)(.+)$", "$1<redacted>"),
-    (rf"(?im)^(\s*[\w.-]*(?:{_KEYS}|private[_-]?key)[\w.-]*\s*:\s*)(?![ \t]*bearer\s)(.+)$", "$1<redacted>"),
-    (r"(?i)(Bearer\s+)[A-Za-z0-9._~+/=-]+", "$1<redacted>"),
-    (r"\bsk-[A-Za-z0-9_-]{8,}\b", "sk-<redacted>"),
+    ("", r"(?<![\w.-])(/Users|/home)/([^/\s:]+)", "$1/<user>"),
+    ("i", r"([A-Z]:\\Users\\)([^\\\s:]+)", "$1<user>"),
+    ("", r"([a-zA-Z][\w+.-]*://)([^/?#\s@]+)@", "$1<redacted>@"),
+    ("i", r"([?&][\w.-]*(?:api[_-]?key|token|secret|password|passwd|authorization|access[_-]?token|credential)[\w.-]*=)([^&\s#]+)", "$1<redacted>"),
+    ("i", r"(--?[\w.-]*(?:api[_-]?key|token|secret|password|passwd|authorization|cookie|credential)[\w.-]*=)(\S+)", "$1<redacted>"),
+    ("im", r"^([A-Z0-9_]*(?:API[_-]?KEY|TOKEN|SECRET|PASSWORD|PASSWD|AUTHORIZATION|COOKIE|CREDENTIAL)[A-Z0-9_]*\s*=\s*)(.+)$", "$1<redacted>"),
+    ("im", r"^(?!\s*[\w.-]*authorization[\w.-]*\s*:\s*bearer )(\s*[\w.-]*(?:api[_-]?key|token|secret|password|passwd|authorization|cookie|credential|private[_-]?key)[\w.-]*\s*:\s*)(.+)$", "$1<redacted>"),
+    ("i", r"(Bearer\s+)[A-Za-z0-9._~+/=-]+", "$1<redacted>"),
+    ("", r"\bsk-[A-Za-z0-9_-]{8,}\b", "sk-<redacted>"),
 )
 OUTLINE_BOLD = r"^\*\*((?:ITEM|PART|SECTION|SCHEDULE|EXHIBIT|APPENDIX|ANNEX|CHAPTER)\b[A-Z0-9 .,\-]*)\*\*\s*$"
 OUTLINE_SPLIT = r"^\*\*[\dA-Z][\d.]*\*\*\s+\*\*(?!\d[\d\s.,\-–—/:()%]*\*\*)[^*]+\*\*(?:\s+\*\*[^*]+\*\*){0,2}\s*$"
@@ -74,27 +74,64 @@ def bound_text(text: str | Column, cap: int = 2000) -> Column:
     return F.when(F.length(c) <= cap, c).otherwise(F.concat(F.left(c, F.lit(head)), F.lit(mark), F.right(c, F.lit(max(0, cap - head - len(mark))))))
 
 
-def budget_output(text: str | Column, tool: str | Column, over: int = 12_000, head: int = 2_000, tail: int = 1_000, thresholds: dict[str, int] | None = None, exempt: tuple[str, ...] = ("read_file",)) -> Column:
-    """A tool's output, or beyond its threshold a preview: head and tail around a reference mark. A cut moves back
-    (head) or forward (tail) to a line end where there is one in the nearer half."""
-    c = _c(text)
+def line_start_before(c: Column, pos: Column) -> Column:
+    """``pos``, or the start of the last line that begins in the second half of the text before it."""
+    half = F.floor(pos / 2).cast("int")
+    back = F.locate("\n", F.reverse(F.substring(c, half + 1, pos - half)))
+    return F.when((pos > 0) & (pos < F.length(c)) & (back > 0), pos - back + 1).otherwise(pos)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _ends(c: Column, head: Column, tail: Column) -> Column:
+    """struct(head, tail) of about the given lengths, both starting or ending at a line where one is near."""
+    total = F.length(c)
+    cut = lambda first, at, line: F.struct(F.left(c, first).alias("head"), F.substring(c, F.when(line > first, line).otherwise(at) + 1, total).alias("tail"))
+    rest = lambda first: _let(F.greatest(first, total - tail), lambda at: _let(line_start_before(c, at), lambda line: cut(first, at, line)))
+    return _let(line_start_before(c, F.least(head, total)), rest)
+
+
+def output_limit(tool: Column, over: int, thresholds: dict[str, int] | None) -> Column:
     limit = F.lit(over)
     for name, n in (thresholds or {}).items():
-        limit = F.when(_c(tool) == name, F.lit(n)).otherwise(limit)
-    h, t = F.left(c, F.lit(head)), F.right(c, F.lit(tail))
-    back = F.lit(head + 1) - F.locate("\n", F.reverse(h))
-    h = F.when((F.locate("\n", F.reverse(h)) > 0) & (back > head // 2), F.left(h, back)).otherwise(h)
-    ahead = F.locate("\n", t)
-    t = F.when((ahead > 0) & (ahead < tail // 2), F.substring(t, ahead + 1, F.lit(tail))).otherwise(t)
-    short = F.concat(h, F.lit("\n[... "), F.length(c).cast("string"), F.lit(" characters, full output stored ...]\n"), t)
-    return F.when((F.length(c) <= limit) | _c(tool).isin(*exempt), c).otherwise(short)
+        limit = F.when(tool == name, F.lit(n)).otherwise(limit)
+    return limit
+
+
+def budget_output(
+    text: str | Column, tool: str | Column, path: str | Column | None = None, over: int = 12_000, head: int = 2_000, tail: int = 1_000,
+    thresholds: dict[str, int] | None = None, exempt: tuple[str, ...] = ("read_file", "read_file_tool"), most: int = 30_000, most_head: int = 8_000, most_tail: int = 3_000,
+) -> Column:
+    """A tool's output within its budget. Over the tool's threshold and with a ``path`` where it is stored: head, a reference
+    to the path, and tail. Otherwise, over ``most`` characters: head, a mark and tail, ``most`` together at the most."""
+    c, t = _c(text), _c(tool)
+    total, put = F.length(c), _c(path) if path is not None else F.lit(None).cast("string")
+    limit = output_limit(t, over, thresholds)
+    said = lambda left_out: F.format_string(
+        "\n\n[Full %s output saved to %s (%d chars, ~%d tokens). Use read_file with start_line and end_line to access specific sections. %d chars omitted from this preview.]\n\n",
+        t, put, total, F.floor(total / 4), left_out,
+    )
+    mark = lambda n: F.format_string("\n\n[... %d chars omitted from %s output. Persistent storage unavailable. Consider narrowing the query or using more specific parameters.]\n\n", n, t)
+    around = lambda ends, between: _let(ends, lambda e: F.concat(e["head"], between(total - F.length(e["head"]) - F.length(e["tail"])), e["tail"]))
+    preview = around(_ends(c, F.lit(head), F.lit(tail)), said)
+
+    def bounded(room: Column) -> Column:
+        own_head = F.least(F.lit(most_head), room)
+        return F.when(room <= 0, F.left(c, F.lit(most))).otherwise(around(_ends(c, own_head, F.least(F.lit(most_tail), F.greatest(F.lit(0), room - own_head))), mark))
+
+    short = _let(F.lit(most) - F.length(mark(total)), bounded)
+    stored = (limit > 0) & (total > limit) & put.isNotNull()
+    return F.when(t.isin(*exempt), c).when(stored, preview).when((total > most) & F.lit(most > 0), short).otherwise(c)
 
 
 def redact_text(text: str | Column) -> Column:
     """Home folders, user info in addresses, secrets in addresses, options, settings and headers, and keys masked."""
     c = _c(text)
-    for pattern, put in REDACTIONS:
-        c = F.regexp_replace(c, pattern, put)
+    for flags, pattern, put in REDACTIONS:
+        c = F.regexp_replace(c, f"(?{flags}dU){pattern}", put)  # Unicode classes, and only line feeds end lines
     return c
 
 
@@ -103,8 +140,16 @@ def sanitize_input(text: str | Column) -> Column:
 
     Blank texts stay, and a text that already is between boundary lines gets no second pair."""
     c = _c(text)
-    tag = r"(?i)<(\s*/?\s*(?:" + "|".join(BLOCKED_TAGS) + r")\b[^<>]*)"
-    escaped = F.regexp_replace(F.regexp_replace(c, tag + ">", "&lt;$1&gt;"), tag + "(?=<|$)", "&lt;$1")
+    tag = r"(?iU)<\s*/?\s*(?:" + "|".join(BLOCKED_TAGS) + r")\b"
+    # a tag reaches to the next closing bracket, so each part between those is escaped from its first blocked tag on
+    parts, last = F.split(c, ">", -1), F.size(F.split(c, ">", -1)) - 1
+
+    def part(x: Column, i: Column) -> Column:
+        at = F.regexp_instr(x, F.lit(tag))
+        shut = F.concat(F.left(x, at - 1), F.replace(F.substring(x, at, F.length(x)), F.lit("<"), F.lit("&lt;")), F.when(i < last, F.lit("&gt;")).otherwise(F.lit("")))
+        return F.when(at > 0, shut).otherwise(F.concat(x, F.when(i < last, F.lit(">")).otherwise(F.lit(""))))
+
+    escaped = F.when(c.rlike(tag), F.array_join(F.transform(parts, part), "")).otherwise(c)
     plain = lambda x: F.replace(F.replace(x, F.lit(INPUT_BEGIN), F.lit("[BEGIN USER INPUT]")), F.lit(INPUT_END), F.lit("[END USER INPUT]"))
     inner = F.substring(escaped, F.lit(len(INPUT_BEGIN) + 1), F.length(escaped) - len(INPUT_BEGIN) - len(INPUT_END))
     wrapped = escaped.startswith(INPUT_BEGIN) & escaped.endswith(INPUT_END)
@@ -168,8 +213,8 @@ def subagent_event(event: str | Column) -> Column:
 def parse_choice(text: str | Column) -> Column:
     """Letter A to D that a text starts with or names after an answer label; null if none."""
     c = F.upper(strip(text))
-    named = F.regexp_extract(c, r"ANSWER\s*(?:IS)?\s*[:：]?\s*\(?([A-D])\b", 1)
-    return F.coalesce(F.nullif(F.regexp_extract(c, r"^\(?([A-D])\b", 1), F.lit("")), F.nullif(named, F.lit("")))
+    named = F.regexp_extract(c, r"(?U)ANSWER\s*(?:IS)?\s*[:：]?\s*\(?([A-D])\b", 1)
+    return F.coalesce(F.nullif(F.regexp_extract(c, r"(?U)^\(?([A-D])\b", 1), F.lit("")), F.nullif(named, F.lit("")))
 
 
 def parse_cpu(raw: str | Column) -> Column:

@@ -90,8 +90,9 @@ def run_message_page(events: DataFrame, limit: int, after: int | None = None, be
     elif before is not None:
         m = m.where(F.col("seq") < before)
     order = F.asc("seq") if forward else F.desc("seq")
-    m = m.withColumns({"n": _last(["run_id"], order), "all": F.count("*").over(Window.partitionBy("run_id"))})
-    return m.where(F.col("n") <= limit).withColumn("has_more", F.col("all") > limit).drop("n", "all")
+    m = m.withColumn("n", _last(["run_id"], order)).where(F.col("n") <= limit + 1)  # one more than the page tells whether there is more
+    m = m.withColumn("has_more", F.max("n").over(Window.partitionBy("run_id")) > limit)
+    return m.where(F.col("n") <= limit).drop("n")
 
 
 def message_page(events: DataFrame, limit: int = 50, after: int | None = None, before: int | None = None) -> DataFrame:
@@ -236,11 +237,12 @@ def feedback_list(feedback: DataFrame, key: str = "thread_id", limit: int = 100)
 
 
 def merge_metadata(threads: DataFrame, patches: DataFrame) -> DataFrame:
-    """Thread metadata with the patches' keys written over it, for patches by the owner (or to unowned threads)."""
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """Thread metadata (JSON) with the patches' keys written over it, values of any type kept as they are. A patch counts
+    if it comes from the thread's owner or names no user; a thread without an owner takes only the latter."""
+    as_map = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     p = patches.select("thread_id", F.col("user_id").alias("by"), F.col("metadata").alias("patch"))
     j = threads.join(p, "thread_id", "left")
-    ok = F.col("patch").isNotNull() & (F.col("user_id").isNull() | (F.col("user_id") == F.col("by")))
+    ok = F.col("patch").isNotNull() & (F.col("by").isNull() | F.coalesce(F.col("user_id") == F.col("by"), F.lit(False)))
     old, new = as_map("metadata"), as_map("patch")
     merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
     return j.withColumn("metadata", F.when(ok, F.to_json(merged)).otherwise(F.col("metadata"))).select(*threads.columns)

@@ -237,6 +237,22 @@ def search_facts(facts: DataFrame, q: str) -> DataFrame:
     return facts.where(F.lower(F.concat_ws(" ", "content", "category")).contains(q.lower()))
 
 
+def search_sections(sections: DataFrame, q: str) -> DataFrame:
+    """Memory sections (title, summary, ...) whose title and summary hold the text, whatever its case."""
+    return sections.where(F.lower(F.concat_ws(" ", "title", "summary")).contains(q.lower()))
+
+
+def stored_outputs(calls: DataFrame, over: int = 12_000, thresholds: dict[str, int] | None = None, exempt: tuple[str, ...] = ("read_file", "read_file_tool"), folder: str = ".tool-results") -> DataFrame:
+    """Whole outputs over their tool's threshold, for a table beside the messages: call_id, tool, path, text. The path is
+    ``folder``/tool-hash.ending, the hash that of the call id; tool names lose folders and double dots."""
+    safe = F.replace(F.element_at(F.split("tool", "/"), -1), F.lit(".."), F.lit(""))
+    safe = F.coalesce(F.nullif(F.replace(safe, F.lit("\\"), F.lit("_")), F.lit("")), F.lit("unknown"))
+    ending = F.when(F.col("tool").isin("bash", "bash_tool", "web_fetch"), "log").otherwise("txt")
+    path = F.concat(F.lit(folder + "/"), safe, F.lit("-"), F.left(F.md5(F.col("call_id").cast("string")), F.lit(12)), F.lit("."), ending)
+    limit = tx.output_limit(F.col("tool"), over, thresholds)
+    return calls.where((limit > 0) & (F.length("text") > limit) & ~F.col("tool").isin(*exempt)).select("call_id", "tool", path.alias("path"), "text")
+
+
 def fact_line() -> Column:
     return F.concat(F.lit("- ["), "category", F.lit(" | "), F.format_string("%.2f", "confidence"), F.lit("] "), tx.strip("content"))
 

@@ -41,15 +41,42 @@ def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame], names: di
         raise ValueError(f"{e}\nTables: {', '.join(sorted(tables))}") from e
 
 
+def quantiles(rows: DataFrame, key: str, value: str, at: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 10_000, keys: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` (double, nulls dropped) for each ``key``: key, n and q (array).
+
+    A first pass brackets each quantile between approximate ones; a second counts what lies below each bracket and the
+    values inside it, of which there are a few ten-thousandths, and picks the two neighbours of the exact rank from their
+    counts. So no buffer ever holds all values. The brackets are broadcast if there are at most ``keys`` keys."""
+    rows = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x"))
+    near = [p for q in at for p in (max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy))]
+    first = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", near, accuracy).alias("p"))
+    rank = lambda q: F.lit(q) * (F.col("n") - 1)
+    few = F.col("n") <= 4 * accuracy  # too few for a bracket to hold both neighbours of the rank for sure: all values are inside
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), rank(q).alias("rank"), F.when(few, F.col("least")).otherwise(F.col("p")[2 * i]).alias("a"), F.when(few, F.col("most")).otherwise(F.col("p")[2 * i + 1]).alias("b")) for i, q in enumerate(at)])
+    brackets = first.select(key, "n", F.inline(ends))
+    small = first.limit(keys + 1).count() <= keys
+    j = rows.join(F.broadcast(brackets) if small else brackets, key).where("x <= b")
+    counts = j.groupBy(key, "i", F.when(F.col("x") >= F.col("a"), F.col("x")).alias("v")).agg(F.count("*").alias("c"))  # null: all below the bracket
+    upto = F.sum("c").over(Window.partitionBy(key, "i").orderBy(F.asc_nulls_first("v")))
+    held = counts.withColumn("upto", upto).join(F.broadcast(brackets) if small else brackets, [key, "i"])
+    low, high = F.floor("rank"), F.ceil("rank")
+    ranked = held.where(F.col("v").isNotNull()).groupBy(key, "n", "i", "rank").agg(F.min(F.when(F.col("upto") > low, F.col("v"))).alias("lo"), F.min(F.when(F.col("upto") > high, F.col("v"))).alias("hi"))
+    share = F.col("rank") - low
+    one = F.struct("i", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - share) * F.col("lo") + share * F.col("hi")).alias("q"))
+    return ranked.groupBy(key, "n").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["q"]).alias("q"))
+
+
 def summary_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per numeric column: count, mean, stddev, min, q25, median, q75, max, nulls. Quantiles interpolate."""
+    """Per numeric column: count, mean, stddev, min, q25, median, q75, max, nulls. Quantiles interpolate and are exact."""
     cols = columns or numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.max(x).alias("max"), F.count_if(x.isNull()).alias("nulls")).alias(f"s{i}"))
-    return df.agg(*aggs).select(F.inline(F.array(*[f"s{i}" for i in range(len(cols))])))
+        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"), F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x.isNull()).alias("nulls")).alias(f"s{i}"))
+    s = df.agg(*aggs).select(F.inline(F.array(*[f"s{i}" for i in range(len(cols))])))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])))
+    q = quantiles(long, "column_name", "x").select("column_name", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
+    return s.join(q, "column_name", "left").select("column_name", "count", "mean", "stddev", "min", "q25", "median", "q75", "max", "nulls")
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -120,14 +147,13 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 
 def box(df: DataFrame, category: str, value: str, least: int = 5) -> DataFrame:
-    """Five numbers and the count of outliers (beyond 1.5 interquartile ranges) per category with enough samples."""
-    v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = df.where(v.isNotNull()).groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"), F.min(v).alias("min"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.max(v).alias("max")).where(F.col("n") >= least)
-    out = df.select(F.col(category).alias("category"), v.alias("v")).join(s.select("category", "q25", "q75"), "category")
+    """Five numbers and the count of outliers (beyond 1.5 interquartile ranges) per category with enough samples. Rows
+    without a category are left out."""
+    rows = df.select(F.col(category).alias("category"), F.col(value).cast("double").alias("v")).where("v is not null and category is not null")
+    q = quantiles(rows, "category", "v").where(F.col("n") >= least).select("category", "n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
     far = 1.5 * (F.col("q75") - F.col("q25"))
-    out = out.groupBy("category").agg(F.count_if((F.col("v") < F.col("q25") - far) | (F.col("v") > F.col("q75") + far)).alias("outliers"))
-    return s.join(out, "category")
+    beyond = (F.col("v") < F.col("q25") - far) | (F.col("v") > F.col("q75") + far)
+    return rows.join(q, "category").groupBy("category", "n", "q25", "median", "q75").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.count_if(beyond).alias("outliers"))
 
 
 def pie(df: DataFrame, category: str, keep: int = 6) -> DataFrame:

@@ -252,9 +252,10 @@ def messages_with_feedback(spark, sf_dir):
 
 @query(
     "i5_merge_metadata",
-    over("threads", """SELECT thread_id, CASE WHEN thread_id LIKE '%1' AND (user_id IS NULL OR user_id = 'u1') THEN '{"k":"' || regexp_extract(metadata, '([0-9]+)', 1) || '","pinned":"yes"}' ELSE metadata END AS metadata FROM threads"""),
+    over("threads", """SELECT thread_id, CASE WHEN thread_id LIKE '%1' AND (user_id = 'u1' OR thread_id LIKE '%11') THEN '{"k":' || regexp_extract(metadata, '([0-9]+)', 1) || ',"none":null,"pinned":true,"tags":["a",{"x":1.5}]}' ELSE metadata END AS metadata FROM threads"""),
 )
 def merge_metadata(spark, sf_dir):
     t = frame(spark, sf_dir, "threads")
-    patches = t.where("thread_id like '%1'").select("thread_id", F.lit("u1").alias("user_id"), F.lit('{"pinned": "yes"}').alias("metadata"))
+    by = F.when(~F.col("thread_id").endswith("11"), "u1")
+    patches = t.where("thread_id like '%1'").select("thread_id", by.alias("user_id"), F.lit('{"pinned": true, "tags": ["a", {"x": 1.5}], "none": null}').alias("metadata"))
     return ops.merge_metadata(t, patches).select("thread_id", "metadata")

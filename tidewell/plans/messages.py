@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import helpers as h
@@ -132,30 +133,47 @@ def tool_frequency(spark, sf_dir):
     return ops.tool_frequency(t, overrides={"click": (10, 20)}).select("thread_id", "name", "turn", "count", "state")
 
 
-@query("c17_tool_call_hash")
+@query(
+    "c17_tool_call_hash",
+    over("tool_calls", """SELECT thread_id, turn, left(md5('["' || CASE WHEN name = 'view' THEN 'read_file:' || args || ':' || (turn - 1) // 200 || '-' || (turn - 1) // 200 ELSE name || ':{\\"path\\": \\"' || args || '\\"}' END || '"]'), 12) AS hash FROM tool_calls"""),
+)
 def tool_call_hashes(spark, sf_dir):
     t = frame(spark, sf_dir, "tool_calls")
     args = F.to_json(F.struct(F.col("args").alias("path"), F.col("turn").alias("start_line")))
     return t.select("thread_id", "turn", h.tool_call_hash(F.array(F.when(F.col("name") == "view", "read_file").otherwise(F.col("name"))), F.array(args)).alias("hash"))
 
 
-@query("c18_command_audit", over("tool_calls", "SELECT thread_id, count(*) FILTER (k = 0) AS n_block, count(*) FILTER (k = 1) AS n_warn, count(*) FILTER (k > 1) AS n_pass FROM (SELECT thread_id, args::INT AS k FROM tool_calls) GROUP BY 1"))
+COMMANDS = ("echo ok;rm -rf /", 'echo "{}" && rm -rf "/"', "r''m -rf / # {}", "echo '{}' ; sudo ls", "echo '{}; rm -rf /x' | wc", "ls {} \\\\", "cat '{}")  # the last two: a dangling escape, an open quote
+
+
+@query("c18_command_audit", over("tool_calls", "SELECT thread_id, count(*) FILTER (k < 2) AS n_block, count(*) FILTER (k = 3) AS n_warn, count(*) FILTER (k = 2 OR k > 3) AS n_pass FROM (SELECT thread_id, args::INT AS k FROM tool_calls) GROUP BY 1"))
 def command_audit(spark, sf_dir):
-    text = F.when(F.col("args") == "0", "echo ok;rm -rf /").when(F.col("args") == "1", "sudo ls").otherwise(F.concat(F.lit("echo 'a; rm -rf /x' "), "name"))
-    return ops.command_audit(frame(spark, sf_dir, "tool_calls").select("thread_id", text.alias("command")))
+    text = F.element_at(F.array(*map(F.lit, COMMANDS)), F.col("args").cast("int") + 1)
+    return ops.command_audit(frame(spark, sf_dir, "tool_calls").select("thread_id", F.replace(text, F.lit("{}"), F.col("name")).alias("command")))
 
 
-@query("c19_step_attribution")
+@query(
+    "c19_step_attribution",
+    over(
+        "run_events",
+        """WITH s AS (SELECT thread_id, seq, event_type, k % 3 AS todo, lag(k % 3) OVER (PARTITION BY thread_id, event_type ORDER BY seq) AS was FROM run_events)
+SELECT thread_id, seq, CASE event_type WHEN 'signup' THEN CASE WHEN was = todo THEN 'tool_batch' ELSE 'todo_update' END WHEN 'purchase' THEN 'subagent_dispatch' WHEN 'click' THEN 'tool_batch' WHEN 'view' THEN 'final_answer' ELSE 'thinking' END AS kind,
+  CASE event_type WHEN 'signup' THEN CASE WHEN was = todo THEN 'tool write_todos' WHEN todo = 0 THEN CASE WHEN was IS NULL THEN 'todo_start todo 0' ELSE 'todo_update todo 0' END ELSE 'todo_update todo ' || todo END WHEN 'purchase' THEN 'subagent plan' WHEN 'click' THEN 'search web_search,tool read_file' ELSE '' END AS actions FROM s""",
+    ),
+)
 def step_attribution(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = frame(spark, sf_dir, "run_events")
-    todos = F.when(F.col("event_type") == "signup", F.to_json(F.array(F.struct(F.concat(F.lit("todo "), (F.col("k") % 3).cast("string")).alias("content"), F.lit("pending").alias("status")))))
+    todo = F.to_json(F.array(F.struct(F.concat(F.lit(" todo "), (F.col("k") % 3).cast("string")).alias("content"), F.when(F.col("k") % 3 == 0, "in_progress").otherwise("pending").alias("status"))))
+    kind = F.col("event_type")
+    e = e.withColumn("todos", F.when(kind == "signup", todo))
     before = F.last("todos", ignorenulls=True).over(Window.partitionBy("thread_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    names = F.when(F.col("event_type") == "signup", F.array(F.lit("write_todos"))).when(F.col("event_type") == "purchase", F.array(F.lit("task"))).when(F.col("event_type") == "click", F.array(F.lit("grep"), F.lit("read_file"))).otherwise(F.array().cast("array<string>"))
-    e = e.withColumn("todos", todos).withColumn("before", before)
-    s = h.step_attribution(names, F.when(F.col("event_type") == "view", F.col("content")), F.col("before"), F.col("todos"))
-    return e.select("thread_id", "seq", s.alias("s")).select("thread_id", "seq", "s.kind", "s.actions")
+    e = e.withColumn("before", before)
+    texts = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    names = F.when(kind == "signup", texts("write_todos")).when(kind == "purchase", texts("task")).when(kind == "click", texts("web_search", "read_file"))
+    args = F.when(kind == "signup", texts(F.concat(F.lit('{"todos":'), "todos", F.lit("}")))).when(kind == "purchase", texts('{"description": " plan "}')).when(kind == "click", texts('{"query": "q"}', "{}"))
+    s = h.step_attribution(names, args, F.transform(names, lambda x: x), F.when(kind == "view", F.col("content")), F.col("before"))
+    said = F.array_join(F.transform("s.actions", lambda a: F.concat_ws(" ", a["kind"], a["content"], a["tool_name"], F.when(a["kind"] == "subagent", a["description"]))), ",")
+    return e.select("thread_id", "seq", s.alias("s")).select("thread_id", "seq", "s.kind", said.alias("actions"))
 
 
 @query(

@@ -38,11 +38,10 @@ FROM {conversations}""",
     "tool_calls": """
 SELECT thread_id, seq AS turn, event_type AS name, CAST(k % 7 AS STRING) AS args, event_id, value FROM {run_events}""",
     "facts": """
-SELECT source AS user_id, CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 9 = 0 THEN lower(substr(text, 1, 40)) ELSE substr(text, 1, 40) END AS content, lang AS category, round(n_chars % 100 / 100.0, 2) AS confidence, doc_id AS pos
-FROM {documents}""",
-    "text_facts": """
 SELECT source AS user_id, CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 9 = 0 THEN lower(text) ELSE text END AS content, lang AS category, round(n_chars % 100 / 100.0, 2) AS confidence, doc_id AS pos
 FROM {documents}""",
+    "text_facts": """
+SELECT * FROM {facts}""",
     "cases": """
 SELECT l.doc_id AS case_id, d.lang AS configuration, d.source AS strategy, l.quality, l.toxic, d.n_chars, CAST(l.doc_id % 3 AS INT) AS run_number
 FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.plans.registry import query
@@ -38,8 +38,9 @@ def live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest(df: DataFrame, *keys: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
-    return df.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "batch_id")
+    """Each key's row of the latest batch, by a grouped maximum that is combined before the shuffle."""
+    rest = [c for c in df.columns if c not in (*keys, "batch_id")]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("__last")).select(*keys, "__last.*")
 
 
 BASE = "WITH b AS (SELECT event_id, 't' || user_id AS thread_id, 't' || user_id || '-' || ts::DATE AS run_id, 'u' || user_id % 7 AS user_id, event_type, value, CASE WHEN event_type = 'error' THEN 'trace' ELSE 'message' END AS category, regexp_extract(props, '([0-9]+)', 1)::INT AS k, ts AS created_at FROM events)"
@@ -81,11 +82,12 @@ def stream_progress(spark, sf_dir):
     "s4_stream_memory_debounce",
     BASE
     + """, g AS (SELECT *, CASE WHEN created_at < lag(created_at) OVER w + INTERVAL 600 SECOND THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY thread_id, user_id ORDER BY created_at)), i AS (SELECT *, sum(new) OVER (PARTITION BY thread_id, user_id ORDER BY created_at) AS island FROM g)
-SELECT thread_id, user_id, min(created_at) AS start, max_by(event_id::VARCHAR, created_at) AS transcript, bool_or(k % 9 = 0) AS correction, bool_or(k % 7 = 0) AS reinforcement, count(*) AS updates FROM i GROUP BY thread_id, user_id, island""",
+SELECT thread_id, user_id, min(created_at) AS start, max_by(event_id::VARCHAR, created_at) AS transcript, bool_or(k % 9 = 0) AS correction, bool_or(k % 7 = 0) AS reinforcement, count(*) AS updates FROM i GROUP BY thread_id, user_id, island
+HAVING max(created_at) + INTERVAL 600 SECOND <= (SELECT date_trunc('millisecond', max(created_at)) FROM b) - INTERVAL 600 SECOND""",
 )
 def stream_memory_debounce(spark, sf_dir):
     u = live_events(spark, sf_dir).select("thread_id", "user_id", F.col("event_id").cast("string").alias("content"), (F.col("k") % 9 == 0).alias("correction"), (F.col("k") % 7 == 0).alias("reinforcement"), "created_at")
-    return newest(jobs.drain(jobs.stream_memory_debounce(u, "600 seconds"), folder(spark), "complete"), "thread_id", "user_id", "start")
+    return jobs.drain(jobs.stream_memory_debounce(u, "600 seconds"), folder(spark)).drop("batch_id")
 
 
 @query(

@@ -35,13 +35,14 @@ def table_names(names: list[str]) -> list[str]:
     return out
 
 
-def load_csv(spark: SparkSession, paths: list[str], schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Every CSV as a table (and temporary view) named after its file stem. A schema saves the inference scan."""
+def load_csv(spark: SparkSession, paths: list[str], schemas: dict[str, str] | None = None, multi_line: bool = True) -> dict[str, DataFrame]:
+    """Every CSV as a table (and temporary view) named after its file stem. A schema saves the inference scan. Quotes in
+    cells are doubled, empty cells are null, quoted or not, and cells may hold line ends; where none do, ``multi_line=False`` reads a large file in splits."""
     stems = [p.rstrip("/").rpartition("/")[2].rpartition(".")[0] or p for p in paths]
     tables = {}
     for name, stem, path in zip(table_names(stems), stems, paths):
         given = (schemas or {}).get(stem)
-        reader = spark.read.option("header", True)
+        reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
         df = reader.schema(given).csv(path) if given else reader.option("inferSchema", True).csv(path)
         df.createOrReplaceTempView(name)
         tables[name] = df
@@ -57,7 +58,7 @@ def export(df: DataFrame, path: str) -> str:
         raise ValueError(f"cannot export to .{kind}; use .csv, .json or .md")
     flat = df.select(*[F.hex(c.name).alias(c.name) if isinstance(c.dataType, T.BinaryType) else F.date_format(c.name, "yyyy-MM-dd'T'HH:mm:ss").alias(c.name) if isinstance(c.dataType, T.TimestampType) else F.col(c.name) for c in df.schema])
     if kind == "csv":
-        flat.write.mode("overwrite").option("header", True).csv(path)
+        flat.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif kind == "json":
         flat.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     else:

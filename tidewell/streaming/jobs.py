@@ -28,15 +28,18 @@ def stream_events(events: DataFrame, cap: int = 10_240) -> DataFrame:
 
 
 def append_with_seq(target: str):
-    """foreachBatch function that numbers a batch's events after the thread's highest seq in ``target`` and appends."""
+    """foreachBatch function that numbers a batch's events after the thread's highest seq so far and writes them to ``target``.
+
+    A batch overwrites its own partition (batch_id=N), so a repeated one changes nothing, and leaves each thread's highest
+    seq in ``target-tops/N`` for the next: the events written before are never read again. Batches count from 0, and one
+    whose predecessor left no tops fails."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            existing = spark.read.parquet(target).where(F.col("batch_id") < batch_id)
-        except Exception:
-            existing = spark.createDataFrame([], "thread_id string, seq long")
-        ev.assign_seq(batch.drop("seq"), existing.select("thread_id", "seq")).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(target)
+        before = spark.read.parquet(f"{target}-tops/{batch_id - 1}") if batch_id else spark.createDataFrame([], "thread_id string, seq long")
+        ev.assign_seq(batch.drop("seq"), before).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        made = spark.read.parquet(f"{target}/batch_id={batch_id}").select("thread_id", F.col("seq").cast("long").alias("seq"))
+        before.unionByName(made).groupBy("thread_id").agg(F.max("seq").alias("seq")).write.mode("overwrite").parquet(f"{target}-tops/{batch_id}")
 
     return write
 
@@ -54,7 +57,8 @@ def stream_progress(responses: DataFrame, every: str = "5 seconds") -> DataFrame
 
 
 def stream_memory_debounce(updates: DataFrame, quiet: str = "30 seconds") -> DataFrame:
-    """Per (thread, user): after a quiet time, the newest transcript and the flags of all updates joined by or."""
+    """Per (thread, user): after a quiet time, the newest transcript and the flags of all updates joined by or. A session is
+    put out once, when the watermark (a quiet time behind the newest event) has passed its end."""
     u = updates.withWatermark("created_at", quiet)
     s = u.groupBy(F.session_window("created_at", quiet), "thread_id", "user_id").agg(F.max_by("content", "created_at").alias("transcript"), F.bool_or("correction").alias("correction"), F.bool_or("reinforcement").alias("reinforcement"), F.count("*").alias("updates"))
     return s.select("thread_id", "user_id", F.col("session_window.start").alias("start"), "transcript", "correction", "reinforcement", "updates")
@@ -115,18 +119,19 @@ def _budget(limit: int, warn: float, hard: float, idle_ms: int):
 
 
 def stream_budget_guard(usage: DataFrame, limit: int, warn: float = 0.8, hard: float = 1.0, idle_ms: int = 3_600_000) -> DataFrame:
-    """Token budget states of runs (run_id, message_id, total_tokens, pos, created_at), live. State per run: tokens by message."""
+    """Token budget states of runs (run_id, message_id, total_tokens, pos, created_at), live. State per run: tokens by message,
+    as any message's total may still grow; it goes once the watermark is an idle time past the run's last event."""
     shape = "messages array<string>, tokens array<long>, used long"
     return usage.withWatermark("created_at", "10 minutes").groupBy("run_id").applyInPandasWithState(_budget(limit, warn, hard, idle_ms), BUDGET, shape, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and give what it put out. Update and complete modes keep every batch's rows
-    with their batch_id, the later ones being the newer state."""
+    """Run a stream over all that is there and give what it put out. Each batch has its own partition (batch_id), which a
+    repeated one overwrites; in update mode later batches hold the newer state."""
     spark: SparkSession = stream.sparkSession
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{folder}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
