@@ -1,131 +1,203 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are rows labelled as good; the unlabelled set is a hash sample of all documents. The bin edges and the
-score's threshold are exact quantiles over all documents, whatever their number. A linear model over binned text
-statistics (four significant digits) is fitted by minimising the non-negative unbiased risk pi R_p(+) + max(0, R_u(-) - pi R_p(-)) with
-the logistic loss; the class prior pi is estimated as the share of positives among labelled rows, or given.
+Trusted positives are rows labelled as good; all documents are the unlabelled set, and labels of bad rows are never used.
+A document is a row of binned text statistics and of hashed word frequencies (:func:`measured`), and the model is linear:
+
+1. a plain classifier of positives against unlabelled rows orders the documents;
+2. the class prior is the best-bin estimate over that order: the least ratio of the unlabelled to the positive share above a
+   threshold, less what chance may do to it;
+3. the weights minimise the non-negative unbiased risk pi R_p(+) + max(0, R_u(-) - pi R_p(-)) with the logistic loss;
+4. the intercept minimises the same risk over all documents.
+
+The two weight vectors are fitted on bounded hash samples; bin edges, prior and intercept come from all documents. Half of
+the positives, by hash of their id, serve for the weights and the other half for prior and intercept, as a classifier
+scores the positives that it was fitted on too high.
 
 :func:`score` returns doc_id, score (0 to 1, higher: better) and predicted (score of at least 0.5). Null and empty texts
-have statistics of zero and get a score like any other. Without positives every score is the prior (0.5 if there are no
-labels at all). The score of 0.5 is set where the share of all texts above it is the prior. Repeated rows are each scored; extra columns are ignored.
+have statistics of zero and get a score like any other. Without positives every score is the prior (0.5 if none is
+given). Repeated rows are each scored; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import checkpointed, small_batches
-
 FEATURES = (
-    "log_words", "word_length", "distinct_words", "top_word", "adjacent_repeats", "odd_signs", "odd_word_ends", "bars", "sentence_ends",
+    "log_words", "word_length", "distinct_words", "top_word", "adjacent_repeats", "odd_signs", "odd_word_ends", "sentence_ends",
     "capitals", "digits", "line_length", "repeated_lines", "distinct_pairs", "short_words", "long_words",
 )
+BUCKETS = 256  # of hashed words
+MEASURED = "doc_id long, x array<double>, bucket array<short>, weight array<float>"
 _ODD = re.compile(r"[^\w\s.,;:'\"!?()\-]")
 _ODD_END = re.compile(r"[^\w\s.,;:'\"!?()\-]+(?=\s|$)")
+_bucket: dict[str, int] = {}
 
 
-def statistics(text: str | None) -> list[float]:
-    """The statistics named in FEATURES, over the whole text."""
+def statistics(text: str | None) -> tuple[list[float], dict[int, float]]:
+    """The statistics named in FEATURES over the whole text, and its hashed words: the square roots of their numbers by
+    bucket, as a vector of length one."""
     text = text or ""
     words = text.split()
     n = len(words)
     if not n:
-        return [0.0] * len(FEATURES)
+        return [0.0] * len(FEATURES), {}
     count = Counter(words)
     lines = [x for x in text.split("\n") if x.strip()]
     chars = sum(map(len, words))
     part = words[: n - n % 50] if n >= 50 else words
     blocks = [len(set(part[i : i + 50])) / min(50, len(part)) for i in range(0, len(part), 50)]
-    pairs = len(set(zip(words, words[1:])))
+    pairs = Counter(zip(words, words[1:]))
     odd = len(_ODD.findall(text))
+    by_length = Counter(map(len, words))
+    if len(_bucket) > 200_000:
+        _bucket.clear()
+    held: dict[int, float] = {}
+    for w, c in count.items():
+        b = _bucket.get(w)
+        if b is None:
+            b = _bucket[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
+        held[b] = held.get(b, 0.0) + c
     return [
         np.log1p(n),
         chars / n,
         sum(blocks) / len(blocks),
-        count.most_common(1)[0][1] / n,
-        sum(a == b for a, b in zip(words, words[1:])) / n,
+        max(count.values()) / n,
+        sum(c for (a, b), c in pairs.items() if a == b) / n,
         odd / chars,
         (len(_ODD_END.findall(text)) if odd else 0) / n,
-        count.get("|", 0) / n,
         text.count(".") / n,
-        sum(map(str.isupper, map(lambda w: w[0], words))) / n,
-        sum(map(str.isdigit, words)) / n,
+        sum(c for w, c in count.items() if w[0].isupper()) / n,
+        sum(c for w, c in count.items() if w.isdigit()) / n,
         n / max(1, len(lines)),
         1 - len(set(lines)) / max(1, len(lines)),
-        pairs / max(1, n - 1),
-        sum(len(w) <= 3 for w in words) / n,
-        sum(len(w) >= 14 for w in words) / n,
-    ]
+        len(pairs) / max(1, n - 1),
+        sum(c for k, c in by_length.items() if k <= 3) / n,
+        sum(c for k, c in by_length.items() if k >= 14) / n,
+    ], {b: (c / n) ** 0.5 for b, c in held.items()}
 
 
-def table_of(texts: Iterable[str | None]) -> np.ndarray:
-    """Statistics of texts, one row each, rounded to four significant digits, so that their distinct values stay few."""
-    x = np.array([statistics(t) for t in texts], float).reshape(-1, len(FEATURES))
+def rounded(x: list[list[float]]) -> np.ndarray:
+    """Statistics to four significant digits, so that their distinct values stay few."""
+    x = np.array(x, float).reshape(-1, len(FEATURES))
     unit = 10.0 ** (3 - np.floor(np.log10(np.where(x == 0, 1, np.abs(x)))))
     return np.round(x * unit) / unit
 
 
-@dataclass
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, x (statistics), bucket and weight (hashed words) of every whole text of ``docs`` (doc_id, text, ...)."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [statistics(t) for t in pdf["text"]]
+            held = [sorted(h.items()) for _, h in rows]
+            made = {"doc_id": pdf["doc_id"], "x": list(rounded([x for x, _ in rows])), "bucket": [[b for b, _ in h] for h in held], "weight": [[w for _, w in h] for h in held]}
+            yield pd.DataFrame(made)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInPandas(measure, MEASURED)
+
+
+@dataclass(frozen=True)
 class Model:
-    edges: np.ndarray  # (features, bins - 1)
-    weights: np.ndarray
+    edges: np.ndarray  # (statistics, bins - 1)
+    weights: np.ndarray  # one-hot bins of all statistics, then word buckets
     intercept: float
     prior: float
 
-    def binned(self, x: np.ndarray) -> np.ndarray:
-        """One-hot bins, side by side for all features."""
+    def matrix(self, rows: pd.DataFrame) -> np.ndarray:
+        """Feature rows of measured documents."""
         bins = self.edges.shape[1] + 1
-        out = np.zeros((len(x), x.shape[1] * bins), np.float32)
-        for j in range(x.shape[1]):
+        x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
+        out = np.zeros((len(x), len(FEATURES) * bins + BUCKETS), np.float32)
+        for j in range(len(FEATURES)):
             out[np.arange(len(x)), j * bins + np.searchsorted(self.edges[j], x[:, j], side="right")] = 1
+        own = np.repeat(np.arange(len(x)), [len(b) for b in rows["bucket"]])
+        if len(own):
+            out[own, len(FEATURES) * bins + np.concatenate(rows["bucket"].to_numpy()).astype(np.int64)] = np.concatenate(rows["weight"].to_numpy())
         return out
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.binned(x) @ self.weights + self.intercept, -30, 30)))
+    def rates(self, rows: pd.DataFrame) -> np.ndarray:
+        """Scores before the intercept, in slices of 256 rows."""
+        parts = [self.matrix(rows.iloc[i : i + 256]) @ self.weights for i in range(0, len(rows), 256)]
+        return np.concatenate(parts).astype(float) if parts else np.zeros(0)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nn_risk_fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Minimise the non-negative risk with Adam. Where the negative part falls under zero, its gradient is reversed."""
-    w = np.zeros(pos.shape[1] + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def nn_risk(w: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float) -> tuple[float, float, np.ndarray]:
+    """The non-negative risk at w (intercept last), its negative part before the cut at zero, and the descent gradient:
+    that of the risk, or, where the negative part is under zero, the reversed one of that part."""
+    zp, zu = pos @ w[:-1] + w[-1], unl @ w[:-1] + w[-1]
     mean = lambda x, r: np.append(r @ x, r.sum()) / len(x)
+    negative = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+    risk = prior * float(np.logaddexp(0, -zp).mean()) + max(0.0, negative) + ridge / 2 * float(w[:-1] @ w[:-1])
+    g_neg = mean(unl, _sigmoid(zu)) - prior * mean(pos, _sigmoid(zp))
+    g = prior * mean(pos, _sigmoid(zp) - 1) + g_neg if negative >= 0 else -g_neg
+    return risk, negative, g + ridge * np.append(w[:-1], 0)
+
+
+def adam(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, steps + 1):
-        zp, zu = pos @ w[:-1] + w[-1], unl @ w[:-1] + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_neg = mean(unl, sig(zu)) - prior * mean(pos, sig(zp))
-        g = prior * mean(pos, sig(zp) - 1) + g_neg if negative >= 0 else -g_neg
-        g = g + ridge * np.append(w[:-1], 0)
+        g = gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def order_fit(pos: np.ndarray, unl: np.ndarray, steps: int = 200, ridge: float = 3e-3) -> np.ndarray:
+    """Weights of a logistic classifier of positives against unlabelled rows, both sides weighing the same."""
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        rp, ru = _sigmoid(pos @ w[:-1] + w[-1]) - 1, _sigmoid(unl @ w[:-1] + w[-1])
+        return (np.append(rp @ pos, rp.sum()) / len(pos) + np.append(ru @ unl, ru.sum()) / len(unl)) / 2 + ridge * np.append(w[:-1], 0)
+
+    return adam(gradient, pos.shape[1] + 1, steps)[:-1]
+
+
+def nn_risk_fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Minimise the non-negative risk; weights and intercept."""
+    w = adam(lambda w: nn_risk(w, pos, unl, prior, ridge)[2], pos.shape[1] + 1, steps)
     return w[:-1], float(w[-1])
 
 
-def cut_at_prior(values: np.ndarray, prior: float) -> float:
-    """Threshold over which the share of unlabelled values is the prior; within its sampling error, the widest gap."""
-    v, n = np.sort(values), len(values)
-    spread = 3 * np.sqrt(prior * (1 - prior) / n) + 1 / n
-    lo, hi = (int(np.clip(round(n * (1 - prior + d)), 1, n - 1)) if n > 1 else 0 for d in (-spread, spread))
-    if n < 2:
-        return 0.0
-    gap = np.diff(v[lo - 1 : hi + 1])
-    at = lo + int(gap.argmax())
-    return float((v[at - 1] + v[at]) / 2)
+def best_bin_prior(values: np.ndarray, pos: np.ndarray, unl: np.ndarray, gamma: float = 0.01, delta: float = 0.1) -> float:
+    """Class prior from counts of positive and unlabelled rows by score: the ratio of their shares above the threshold at
+    which its upper confidence bound is least (best-bin estimation; gamma and delta as published)."""
+    order = np.argsort(-values)
+    p, u = np.cumsum(pos[order]) / pos.sum(), np.cumsum(unl[order]) / unl.sum()
+    ok = p > 0
+    chance = np.sqrt(np.log(4 / delta) / (2 * unl.sum())) + np.sqrt(np.log(4 / delta) / (2 * pos.sum()))
+    i = int((u[ok] / p[ok] + (1 + gamma) * chance / p[ok]).argmin())
+    return float(np.clip(u[ok][i] / p[ok][i], 1e-3, 1 - 1e-3))
 
 
-def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": list(table_of(pdf["text"]))})
+def best_intercept(values: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float) -> float:
+    """Intercept of least non-negative risk, given counts of positive and unlabelled rows by score before the intercept."""
+    p, u = pos / pos.sum(), unl / unl.sum()
+
+    def risk(b: float) -> float:
+        z = values + b
+        loss = np.logaddexp(0, z)
+        return float(prior * (p @ (loss - z)) + max(0.0, u @ loss - prior * (p @ loss)))
+
+    lo, hi = -values.max() - 10, -values.min() + 10
+    for _ in range(4):  # a finer grid around the best of the last one
+        grid = np.linspace(lo, hi, 201)
+        at = int(np.argmin([risk(b) for b in grid]))
+        lo, hi = grid[max(0, at - 1)], grid[min(200, at + 1)]
+    return float(grid[at])
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,78 +209,62 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(j, v, n) for j, c in enumerate(count) for v, n in c.items()], columns=["feature", "value", "n"])
 
 
-def edges_of(measured: DataFrame, bins: int) -> np.ndarray:
-    """Quantiles of each statistic over all rows of ``measured`` (x), exact; (features, bins - 1)."""
-    counts = measured.select("x").mapInPandas(_counted, "feature int, value double, n long").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+def edges_of(rows: DataFrame, bins: int) -> np.ndarray:
+    """Quantiles of each statistic over all measured ``rows``, exact; (statistics, bins - 1)."""
+    counts = rows.select("x").mapInPandas(_counted, "feature int, value double, n long").groupBy("feature", "value").agg(F.sum("n").alias("n"))
     at = np.linspace(0, 1, bins + 1)[1:-1].tolist()
     found = counts.groupBy("feature").agg(F.percentile("value", at, F.col("n")).alias("q")).collect()
     return np.array([r["q"] for r in sorted(found, key=lambda r: r["feature"])])
 
 
-def cut_of_all(measured: DataFrame, model: Model, prior: float) -> float:
-    """Threshold over which the share of all rows of ``measured`` (x) is the prior: midway between the two neighbouring
-    scores where the share comes nearest to it.
-
-    Scores are counted in slices of a thousandth; only the slice that holds the rank and its neighbours are counted by value."""
+def rate_counts(rows: DataFrame, good: DataFrame, model: Model, slices: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores before the intercept over all measured ``rows`` and how many positive (ids in ``good``) and how many rows have
+    each. Scores are cut to slices (``slices`` a unit, within 100 units of zero), so what the driver gets is bounded."""
 
     def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            z = model.binned(np.stack(pdf["x"].to_numpy())) @ model.weights if len(pdf) else np.zeros(0)
-            yield pd.DataFrame({"z": np.round(z, 9)})
-
-    z = checkpointed(measured.select("x").mapInPandas(rated, "z double")).withColumn("slice", F.floor(F.col("z") * 1000))
-    slices = z.groupBy("slice").count().toPandas().sort_values("slice")
-    upto = slices["count"].cumsum().to_numpy()
-    rank = upto[-1] * (1 - prior)
-    i = min(int(np.searchsorted(upto, rank)), len(upto) - 1)
-    lo, hi = max(0, i - 1), min(len(upto) - 1, i + 1)
-    near = z.where(F.col("slice").between(int(slices["slice"].iloc[lo]), int(slices["slice"].iloc[hi])))
-    values = near.groupBy("z").count().toPandas().sort_values("z")
-    v, n = values["z"].to_numpy(), values["count"].to_numpy()
-    below = (upto[lo - 1] if lo else 0) + np.append(0, n.cumsum())  # rows under each gap
-    gaps = np.concatenate([[v[0] - 1], (v[1:] + v[:-1]) / 2, [v[-1] + 1]])
-    ok = np.ones(len(gaps), bool)
-    ok[0], ok[-1] = lo == 0, hi == len(upto) - 1  # an outer gap counts only where no rows lie beyond it
-    return float(gaps[ok][np.abs(below - rank)[ok].argmin()])
-
-
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 10_000, unlabelled: int = 10_000, bins: int = 10) -> Model:
-    """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality).
+            z = np.clip(model.rates(pdf), -100, 100)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "z": np.round(z * slices).astype(np.int64)})
+
+    z = rows.mapInPandas(rated, "doc_id long, z long")
+    flagged = z.join(good.select("doc_id", F.lit(1).alias("good")), "doc_id", "left")
+    got = flagged.groupBy("z").agg(F.count("good").alias("pos"), F.count("*").alias("unl")).toPandas().sort_values("z")
+    return got["z"].to_numpy() / slices, got["pos"].to_numpy(float), got["unl"].to_numpy(float)
+
+
+def fit(rows: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 10_000, unlabelled: int = 10_000, bins: int = 10) -> Model:
+    """Fit on measured ``rows`` (best written before) and ``labels`` (doc_id, quality); see the module docstring.
 
     The weights come from at most ``positives`` rows labelled good and ``unlabelled`` of all documents, those with the
-    least hash of their id; bin edges and threshold from all documents. The prior comes from all given labels unless
-    it is given.
+    least hash of their id. The prior is estimated unless it is given.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("quality"))
-    share = known.agg(F.avg("quality"), F.sum("quality")).first()
-    prior = float(prior if prior is not None else share[0] if share[0] is not None else 0.5)
-    flat = Model(np.zeros((len(FEATURES), 0)), np.zeros(len(FEATURES)), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))), prior)
-    if not share[1]:
-        return flat
+    good = labels.where("doc_id is not null and quality > 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    half = good.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)))
+    kept, tested = half.where("own = 0").select("doc_id"), half.where("own = 1").select("doc_id")
+    start = 0.5 if prior is None else float(prior)
+    flat = Model(np.zeros((len(FEATURES), 0)), np.zeros(len(FEATURES) + BUCKETS), float(np.log((start + 1e-6) / (1 - start + 1e-6))), start)
     least = lambda ids, n, seed: ids.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
-    good = least(known.where("quality = 1"), positives, 1).withColumn("kind", F.lit(1))
-    any_ = least(docs.where("doc_id is not null"), unlabelled, 2).withColumn("kind", F.lit(0))
-    chosen = good.unionByName(any_)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = checkpointed(small_batches(texts).mapInPandas(_measured, "doc_id long, x array<double>"))
-    x = measured.join(F.broadcast(chosen), "doc_id").select("kind", "x", "doc_id").toPandas().sort_values(["kind", "doc_id"], kind="stable")
-    if not (x["kind"] == 1).any() or not (x["kind"] == 0).any():
+    any_ = rows.where("doc_id is not null").select("doc_id").distinct()
+    chosen = least(kept, positives, 1).withColumn("kind", F.lit(1)).unionByName(least(any_, unlabelled, 2).withColumn("kind", F.lit(0)))
+    x = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(*[F.first(c).alias(c) for c in ("x", "bucket", "weight")])
+    x = x.toPandas().sort_values(["kind", "doc_id"], kind="stable")
+    if not (x["kind"] == 1).any() or rows.join(tested, "doc_id", "left_semi").isEmpty():
         return flat
-    table, kind = np.stack(x["x"].to_numpy()), x["kind"].to_numpy()
-    model = Model(edges_of(measured, bins), flat.weights, 0.0, prior)
-    unl = model.binned(table[kind == 0])
-    weights, _ = nn_risk_fit(model.binned(table[kind == 1]), unl, min(prior, 0.99))
-    model = Model(model.edges, weights, 0.0, prior)
-    return Model(model.edges, weights, -cut_of_all(measured, model, prior), prior)
+    model = Model(edges_of(rows, bins), flat.weights, 0.0, start)
+    pos, unl = model.matrix(x[x["kind"] == 1]), model.matrix(x[x["kind"] == 0])
+    if prior is None:
+        start = best_bin_prior(*rate_counts(rows, tested, replace(model, weights=order_fit(pos, unl))))
+    weights, _ = nn_risk_fit(pos, unl, min(start, 0.99))
+    model = replace(model, weights=weights, prior=start)
+    return replace(model, intercept=best_intercept(*rate_counts(rows, tested, model), start))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Quality of every whole text of ``docs`` (doc_id, text, ...); see the module docstring."""
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """Quality of every measured row; see the module docstring."""
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            p = model.probability(table_of(pdf["text"]))
+            p = _sigmoid(model.rates(pdf) + model.intercept)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype("int32")})
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(ids).mapInPandas(scored, "doc_id long, score double, predicted int")
+    return rows.mapInPandas(scored, "doc_id long, score double, predicted int")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import chat, hamming, langid, matroska, mixing, ngram_join, packing, pii_crf, pu_quality, toxicity
-from tidewell.llm.common import crc_fold, documents
+from tidewell.llm.common import checkpointed, crc_fold, documents, small_batches
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op2_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS key FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 8))::BIGINT AS key FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
 fill AS (
   SELECT 0 AS step, (SELECT 1.5 * sum(source_size) FROM s) AS spare, list({'source': source, 'size': source_size, 'w': w, 'full': false}) AS items FROM s
@@ -89,7 +89,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), crc_fold("doc_id", 5) == 0
     lexicon = toxicity.fit(docs, labels(spark, sf_dir).where(~held))
-    return toxicity.score(docs, lexicon).select("doc_id", held.alias("held_out"), "score", "predicted", "hits", "words")
+    return toxicity.score(docs, lexicon).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "hits", "words")
 
 
 def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +99,15 @@ def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), crc_fold("doc_id", 4) == 2
     model = langid.fit(docs.where(~held))
-    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), crc_fold("doc_id", 3) == 1
-    model = pu_quality.fit(docs, labels(spark, sf_dir).where(~held))
-    return pu_quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    with small_batches(spark):
+        rows = checkpointed(pu_quality.measured(docs))
+    model = pu_quality.fit(rows, labels(spark, sf_dir).where(~held))
+    return pu_quality.score(rows, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
