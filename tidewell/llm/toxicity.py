@@ -2,8 +2,9 @@
 
 :func:`fit` learns the lexicon from labelled rows: whole words and word beginnings that labelled toxic documents hold far
 more often than clean ones, each weighted by its log odds, and as exceptions the words that begin like a lexicon entry
-but only clean documents hold. :func:`score` gives every document doc_id, score (0 to 1), predicted (score of at least
-0.5), hits and words.
+and the phrases (an entry's word with the word before it, after it, or both) that only clean documents hold. A hit that
+starts inside an exception does not count. :func:`score` gives every document doc_id, score (0 to 1), predicted (score of
+at least 0.5), hits and words.
 
 Folding lowers case, maps homoglyphs to Latin letters and, next to letters, digits and signs to the letters they stand
 for. Null and empty texts score as a document without hits. Without labelled rows of both kinds the lexicon is empty and
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import checkpointed, small_batches
+from tidewell.llm.common import checkpointed
 
 # Letters of other scripts that look like Latin ones, and what digits and signs stand for inside words.
 LOOKALIKES = {
@@ -55,6 +56,46 @@ def entries(word: str, shortest: int = 4, longest: int = 7) -> list[str]:
     return [f" {word} "] + [" " + word[:k] for k in range(shortest, min(longest, len(word) - 1) + 1)]
 
 
+def unspared(found) -> dict[int, float]:
+    """Greatest weight by start of the matches (end, (pattern, weight)) that start in no exception (weight 0).
+
+    Starts and exceptions are gone through once in order, with the furthest end of the exceptions begun so far."""
+    at: dict[int, float] = {}
+    spared: list[tuple[int, int]] = []
+    for end, (p, w) in found:
+        start = end - len(p) + 1
+        if w:
+            at[start] = max(w, at.get(start, 0.0))
+        else:
+            spared.append((start, end))
+    if spared:
+        spared.sort()
+        i, reach = 0, -1
+        for start in sorted(at):
+            while i < len(spared) and spared[i][0] <= start:
+                reach = max(reach, spared[i][1])
+                i += 1
+            if start < reach:
+                del at[start]
+    return at
+
+
+def phrases(text: str | None, matcher) -> set[str]:
+    """Folded phrases around the words in which the matcher's entries start: with the word before, after, and both."""
+    t, out = fold(text), set()
+    for start in unspared(matcher.iter(t)) if len(matcher) and len(t) > 2 else ():
+        end = t.index(" ", start + 1)
+        before = t.rfind(" ", 0, start) if start else -1
+        after = t.find(" ", end + 1)
+        if before >= 0:
+            out.add(t[before : end + 1])
+        if after >= 0:
+            out.add(t[start : after + 1])
+        if before >= 0 and after >= 0:
+            out.add(t[before : after + 1])
+    return out
+
+
 @dataclass(frozen=True)
 class Lexicon:
     weights: dict[str, float]
@@ -78,16 +119,8 @@ class Lexicon:
         words = t.count(" ") - 1 if len(t) > 2 else 0
         if not len(matcher) or not words:
             return 0.0, 0, words
-        at: dict[int, list[float]] = {}
-        spared: list[tuple[int, int]] = []
-        for end, (p, w) in matcher.iter(t):
-            start = end - len(p) + 1
-            if w:
-                at.setdefault(start, []).append(w)
-            else:
-                spared.append((start, end))
-        hits = [max(ws) for s, ws in at.items() if not any(a <= s < b for a, b in spared)]
-        return sum(hits) / math.log2(2 + words), len(hits), words
+        hits = unspared(matcher.iter(t))
+        return sum(hits.values()) / math.log2(2 + words), len(hits), words
 
     def probability(self, rate: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * rate + self.intercept))))
@@ -105,7 +138,7 @@ def _count(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.
 
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            seen[int(toxic)].update(e for w in set(fold(text).split()) if len(w) >= 3 for e in entries(w))
+            seen[int(toxic)].update(e for w in set(fold(text).split()) for e in entries(w))
             if len(seen[0]) + len(seen[1]) > most:
                 yield out()
     if seen[0] or seen[1]:
@@ -148,18 +181,32 @@ def explaining(texts: list, neg: list[int], base: float, least: float) -> list[i
     return picked
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries: int = 2_000) -> Lexicon:
+def _phrase_counts(lexicon: Lexicon):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = lexicon.matcher()
+        for pdf in batches:
+            found = [(p, int(toxic)) for text, toxic in zip(pdf["text"], pdf["toxic"]) for p in phrases(text, m)]
+            made = pd.DataFrame(found, columns=["entry", "toxic"])
+            yield made.groupby("entry")["toxic"].agg(["count", "sum"]).reset_index().rename(columns={"count": "n", "sum": "pos"})
+
+    return count
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries: int = 2_000, candidates: int = 8_000) -> Lexicon:
     """Learn a lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     At most ``sample`` labelled documents are used, those with the least hash of their id; that bound also bounds what
-    is broadcast. Copies of a text count once; a beginning counts for each distinct word of a text that has it. The lexicon has at most ``most_entries`` entries. An entry must be too strong for chance: its
-    likelihood ratio must exceed the logarithm of the number of candidates.
+    is broadcast. Copies of a text count once; a beginning (of 4 to 7 letters, see :func:`entries`) counts for each distinct
+    word of a text that has it. The lexicon has at most ``most_entries`` entries, chosen among the ``candidates`` strongest,
+    and as many exceptions of either kind. An entry must be too strong for chance: its likelihood ratio must exceed the
+    logarithm of the number of candidates. A phrase is an exception if no toxic text has it and if, with the share of
+    toxic texts among those with phrases of entries, as many clean ones in a row are too many for chance as well.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     train = checkpointed(train)
-    counts = small_batches(train).mapInPandas(_count, "entry string, neg long, pos long").groupBy("entry").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = train.mapInPandas(_count, "entry string, neg long, pos long").groupBy("entry").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     counts = checkpointed(counts.where("pos > 1 or neg > 2"))
     totals = {int(r["toxic"]): r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
@@ -169,14 +216,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries:
     ratio = F.col("pos") * F.log(F.col("pos") / n / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / n / (1 - base))).otherwise(0)
     weight = F.log((F.col("pos") + 0.5) / (pos + 1) / ((F.col("neg") + 0.5) / (neg + 1)))
     strong = counts.where(F.col("pos") / n > base).withColumns({"ratio": ratio, "weight": weight}).where((F.col("ratio") > math.log(1 + counts.count())) & (F.col("weight") > 1.5))
-    best = strong.orderBy(F.desc("ratio"), F.desc(F.length("entry")), "entry").limit(4 * most_entries).collect()
+    best = strong.orderBy(F.desc("ratio"), F.desc(F.length("entry")), "entry").limit(candidates).collect()
     place = {r["entry"]: i for i, r in enumerate(best)}
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"held": [[place[e] for w in set(fold(t).split()) for e in entries(w) if e in place] for t in pdf["text"]]})
 
-    texts = small_batches(train.where("toxic = 1")).mapInPandas(held, "held array<int>").toPandas()["held"].tolist()
+    texts = train.where("toxic = 1").mapInPandas(held, "held array<int>").toPandas()["held"].tolist()
     weights: dict[str, float] = {}
     for i in explaining(texts, [r["neg"] for r in best], base, math.log(1 + counts.count())):
         e = best[i]["entry"]
@@ -190,13 +237,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries:
     spared = counts.where((F.col("pos") == 0) & (F.col("neg") > 2) & F.col("entry").endswith(" ") & like)
     exceptions = tuple(sorted(r["entry"] for r in spared.orderBy(F.desc("neg"), "entry").limit(most_entries).collect()))
     found = Lexicon(weights, exceptions, 1.0, 0.0)
+    held_phrases = checkpointed(train.mapInPandas(_phrase_counts(found), "entry string, n long, pos long").groupBy("entry").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")))
+    kinds, n_all, n_toxic = held_phrases.agg(F.count("*"), F.sum("n"), F.sum("pos")).first()
+    if kinds and n_toxic:
+        clean_share = max(1 - n_toxic / n_all, 1e-6)
+        least = math.log(1 + kinds) / -math.log(clean_share) if clean_share < 1 else math.inf
+        safe = held_phrases.where((F.col("pos") == 0) & (F.col("n") > max(2.0, least)))
+        exceptions += tuple(sorted(r["entry"] for r in safe.orderBy(F.desc("n"), "entry").limit(most_entries).collect()))
+        found = Lexicon(weights, exceptions, 1.0, 0.0)
 
     def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = found.matcher()
         for pdf in batches:
             yield pd.DataFrame({"x": [found.rate(t, m)[0] for t in pdf["text"]], "y": pdf["toxic"].astype("int32")})
 
-    xy = small_batches(train).mapInPandas(rates, "x double, y int").toPandas()
+    xy = train.mapInPandas(rates, "x double, y int").toPandas()
     slope, intercept = _logistic(xy["x"].to_numpy(), xy["y"].to_numpy(float))
     return Lexicon(weights, exceptions, slope, intercept)
 
@@ -212,7 +267,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype("int32"), "hits": [h for _, h, _ in out], "words": [w for _, _, w in out]})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(ids).mapInPandas(scored, "doc_id long, score double, predicted int, hits long, words long")
+    return ids.mapInPandas(scored, "doc_id long, score double, predicted int, hits long, words long")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -224,4 +279,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for texts in batches:
             yield pd.Series([lexicon.probability(lexicon.rate(t, m)[0]) < 0.5 for t in texts], dtype=bool)
 
-    return small_batches(docs).where(F.pandas_udf(clean, T.BooleanType())(F.col("text").cast("string")))
+    return docs.where(F.pandas_udf(clean, T.BooleanType())(F.col("text").cast("string")))
