@@ -16,10 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import small_batches
 
 # Hash bits of one-, two- and three-character n-grams.
 BITS = (10, 12, 14)
@@ -44,15 +43,19 @@ def presence(texts: list[str]) -> np.ndarray:
     return out
 
 
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Blended kernel between the rows of two presence matrices."""
-    total, base = np.zeros((len(a), len(b)), np.float32), 0
+def scaled(presence_rows: np.ndarray) -> np.ndarray:
+    """Presence rows with each n-gram length brought to length one, so that the kernel is the mean of plain products."""
+    out, base = presence_rows.astype(np.float32), 0
     for bits in BITS:
-        x, y = (m[:, base : base + (1 << bits)].astype(np.float32) for m in (a, b))
-        norm = np.sqrt(np.maximum(x.sum(1), 1))[:, None] * np.sqrt(np.maximum(y.sum(1), 1))[None, :]
-        total += (x @ y.T) / norm
+        part = out[:, base : base + (1 << bits)]
+        part /= np.sqrt(np.maximum(part.sum(1), 1))[:, None]
         base += 1 << bits
-    return total / len(BITS)
+    return out
+
+
+def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Blended kernel between the rows of two presence matrices."""
+    return scaled(a) @ scaled(b).T / len(BITS)
 
 
 @dataclass
@@ -61,57 +64,68 @@ class Model:
     landmarks: np.ndarray  # packed presence bits
     alpha: np.ndarray
 
+    def marks(self) -> np.ndarray:
+        """Landmarks as scaled rows, made once for each worker."""
+        return scaled(np.unpackbits(self.landmarks, axis=1)[:, :DIM])
+
     def scores(self, texts: list[str], marks: np.ndarray) -> np.ndarray:
-        return kernel(presence(texts), marks) @ self.alpha
-
-
-def fit(docs: DataFrame, sample: int = 3000, least: int = 40, landmarks: int = 96, ridge: float = 1e-2) -> Model | None:
-    """Fit on ``docs`` (doc_id, text, lang): about ``sample`` rows with a language, in proportion to their numbers but
-    ``least`` of each language at least (at most 500 languages), those with the least hash of their id.
-    The driver gets their presence bits, a fixed few kilobytes each, not their texts."""
-    known = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500)
-    rows = {r["lang"]: r["count"] for r in counts.collect()}
-    langs = sorted(rows)
-    if not langs:
+        return scaled(presence(texts)) @ marks.T @ self.alpha / len(BITS)
+
+
+def train(packed: np.ndarray, langs: list[str], y: np.ndarray, landmarks: int, least_marks: int, ridge: float) -> Model:
+    """Nyström ridge regression on packed presence bits with language numbers y."""
+    rng = np.random.default_rng(7)
+    per = max(least_marks, landmarks // len(langs))
+    at = np.concatenate([rng.permutation(np.flatnonzero(y == c))[:per] for c in range(len(langs))])
+    marks = scaled(np.unpackbits(packed[at], axis=1)[:, :DIM])
+    k_mm = (marks @ marks.T).astype(np.float64) / len(BITS)
+    value, vector = np.linalg.eigh(k_mm + 1e-6 * np.eye(len(at)))
+    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
+    gram, moment = np.zeros((len(at), len(at))), np.zeros((len(at), len(langs)))
+    for i in range(0, len(packed), 256):  # slices of rows: no matrix of all rows and all landmarks or languages
+        z = (scaled(np.unpackbits(packed[i : i + 256], axis=1)[:, :DIM]) @ marks.T / len(BITS)) @ root
+        gram += z.T @ z
+        moment += z.T @ np.where(y[i : i + 256, None] == np.arange(len(langs))[None, :], 1.0, -1.0)
+    w = np.linalg.solve(gram + ridge * np.eye(len(at)), moment)
+    return Model(langs, packed[at], (root @ w).astype(np.float32))
+
+
+def fit(docs: DataFrame, sample: int = 3000, least: int = 40, landmarks: int = 96, least_marks: int = 2, ridge: float = 1e-2) -> Model | None:
+    """Fit on ``docs`` (doc_id, text, lang): about ``sample`` rows with a language, in proportion to their numbers of ids but about
+    ``least`` of each language at least, those with the least hash of their id; rows that share an id and a language
+    count once. ``landmarks`` of them, ``least_marks`` of each language at least, are landmarks, so any number of languages
+    is learned. The driver gets each language's number of rows and the sample's presence bits, a fixed few kilobytes a
+    row, not the texts."""
+    known = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "text", "lang")
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    counted = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"), F.min(spot).alias("first")).collect()
+    total = sum(r["n"] for r in counted)
+    if not counted:
         return None
-    total = sum(rows.values())
-    each = {g: max(least, round(sample * rows[g] / total)) for g in langs}  # in proportion, so the fit knows what is common
-    # hash shares that leave about twice the rows needed of each language, so the window never meets a whole language
-    share = F.create_map(*[F.lit(x) for g in langs for x in (g, int(min(1.0, (2 * each[g] + 50) / rows[g]) * (1 << 30)))])
-    most = F.create_map(*[F.lit(x) for g in langs for x in (g, each[g])])
-    spot = Window.partitionBy("lang").orderBy("h", "doc_id")
-    near = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("h") < share[F.col("lang")])
-    chosen = near.withColumn("r", F.row_number().over(spot)).where(F.col("r") <= most[F.col("lang")])
+    # in proportion, so the fit knows what is common; a share of the hash range each, so no language's rows ever meet, and
+    # the least hash of each, so none is left out
+    share = [(r["lang"], max(r["first"], int(min(1.0, max(least, sample * r["n"] / total) / max(r["n"], 1)) * (1 << 30)))) for r in counted]
+    shares = docs.sparkSession.createDataFrame(share, "lang string, __share long")
+    chosen = known.join(F.broadcast(shares), "lang").where(spot <= F.col("__share")).select("doc_id", "text", "lang")
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             packed = [np.packbits(presence([t])[0]).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "bits": packed})
 
-    train = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang")), "doc_id").select("doc_id", "lang", "text")
-    got = small_batches(train).mapInPandas(bits, "doc_id long, lang string, bits binary").toPandas().sort_values(["lang", "doc_id"], kind="stable")
+    got = chosen.mapInPandas(bits, "doc_id long, lang string, bits binary").groupBy("doc_id", "lang").agg(F.min("bits").alias("bits"))
+    got = got.toPandas().sort_values(["lang", "doc_id"], kind="stable")
+    langs = sorted(set(got["lang"]))
+    number = {g: i for i, g in enumerate(langs)}
     packed = np.stack([np.frombuffer(b, np.uint8) for b in got["bits"]])
-    y = np.array([langs.index(x) for x in got["lang"]])
-    rng = np.random.default_rng(7)
-    per = max(1, landmarks // len(langs))
-    at = np.concatenate([rng.permutation(np.flatnonzero(y == c))[:per] for c in range(len(langs))])
-    marks = np.unpackbits(packed[at], axis=1)[:, :DIM]
-    k_mm = kernel(marks, marks).astype(np.float64)
-    value, vector = np.linalg.eigh(k_mm + 1e-6 * np.eye(len(at)))
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    k_nm = np.concatenate([kernel(np.unpackbits(packed[i : i + 256], axis=1)[:, :DIM], marks) for i in range(0, len(packed), 256)])
-    z = k_nm @ root
-    target = np.where(y[:, None] == np.arange(len(langs))[None, :], 1.0, -1.0)
-    w = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ target)
-    return Model(langs, packed[at], (root @ w).astype(np.float32))
+    return train(packed, langs, got["lang"].map(number).to_numpy(), landmarks, least_marks, ridge)
 
 
 def predict(docs: DataFrame, model: Model | None, batch: int = 128) -> DataFrame:
     """Language of every whole text of ``docs`` (doc_id, text, ...); see the module docstring."""
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks = None if model is None else np.unpackbits(model.landmarks, axis=1)[:, :DIM]
+        marks = None if model is None else model.marks()
         for pdf in batches:
             lang, sure = np.full(len(pdf), "und", object), np.zeros(len(pdf))
             texts = pdf["text"].tolist()
@@ -125,4 +139,4 @@ def predict(docs: DataFrame, model: Model | None, batch: int = 128) -> DataFrame
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": np.clip(sure, 0, 1)})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(ids).mapInPandas(scored, "doc_id long, lang_pred string, score double")
+    return ids.mapInPandas(scored, "doc_id long, lang_pred string, score double")
