@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import checkpointed, word_count
+from tidewell.llm.common import bit_array, checkpointed, with_bit, word_count
 
 WEIGHTS = (3, 1, 2)
 
@@ -40,45 +40,55 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return s.select("source", "source_size", "docs", F.coalesce(F.least("limit", level * F.col("weight")), F.col("limit")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat_limit: int = 2, run: int = 1000, seed: int = 17) -> DataFrame:
-    """Words taken from every document; see the module docstring.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat_limit: int = 2, run: int = 1000, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Words taken from every document; see the module docstring. Columns named in ``carry`` come along.
 
     Every source's hash range is divided into buckets of about ``run`` documents, or the square root of its documents
     where that is more. Bucket sums give each bucket's offset, a window inside the bucket gives the offset within it, so
-    neither a hot source nor the whole order ever meets in one task. Texts are read once and never shuffled.
+    neither a hot source nor the whole order ever meets in one task. Keys come from id and text; rows equal in both are one
+    row with a number until the end. Texts are read once and never shuffled.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = checkpointed(rows.withColumn("key", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")))
-    per_source = checkpointed(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, share, repeat_limit))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    key = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), key, *carry)
+    rows = checkpointed(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
+    per_source = checkpointed(targets(sizes, weights, share, repeat_limit))
     per_source = per_source.withColumn("buckets", F.ceil(F.col("docs") / F.greatest(F.lit(float(run)), F.sqrt("docs"))).cast("long"))
     spot = F.shiftright(F.col("key") * F.col("buckets"), 32)
     rows = rows.join(per_source, rows["source"].eqNullSafe(per_source["source"])).drop(per_source["source"]).withColumn("bucket", spot)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    words = F.col("size") * F.col("n")
+    sums = rows.groupBy("source", "bucket").agg(F.sum(words).alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("within", F.sum("size").over(inside) - F.col("size"))
+    placed = rows.withColumn("within", F.sum(words).over(inside) - words)
     placed = placed.join(sums, placed["source"].eqNullSafe(sums["s"]) & (placed["bucket"] == sums["b"]))
-    placed = placed.withColumn("rank_words", F.col("start") + F.col("within"))
+    placed = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = placed.withColumn("rank_words", F.col("start") + F.col("within") + F.col("i") * F.col("size"))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
     left = budget - epochs * F.col("source_size") - F.col("rank_words")
     taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(left, F.lit(0)))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "rank_words")
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "rank_words", *carry)
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: a row for each whole time that a document is taken, and one cut to the words of the part taken.
 
-    Documents without words carry none and stay once. Rows that share a doc_id, null included, are each taken as often as the one of them taken most.
-    n_chars, where present, follows the text.
+    Documents without words carry none and stay once. Every row counts for itself, also where rows share a doc_id or have
+    none; rows equal in all columns are told apart only by their number. n_chars, where present, follows the text. Rows
+    of which nothing is taken are dropped, by a bit array of the others, before texts are shuffled.
     """
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
-    j = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    whole = F.when(F.col("__size") > 0, F.expr("__taken div __size")).otherwise(1).cast("int")
-    part = F.when(F.col("__size") > 0, F.col("__taken") % F.col("__size")).otherwise(0)
-    j = j.withColumn("__copy", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
+    row = ["__row", "__row2"]  # two hashes of all columns, as one of 64 bits is not enough for very many rows
+    rows = docs.select("*", F.xxhash64(*docs.columns).alias("__row"), F.xxhash64(F.lit(1), *docs.columns).alias("__row2"))
+    own = mix(rows, carry=tuple(row), **options)
+    whole = F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1)).cast("int").alias("__whole")
+    part = F.sum(F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)).alias("__part")  # a source is cut in one row
+    own = checkpointed(own.where("taken > 0 or size = 0").groupBy(*row).agg(whole, part))
+    j = with_bit(rows, bit_array(own, "__row"), "__row").where("__bit").drop("__bit").dropDuplicates(row).join(own, row)
+    cut = F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<long>"))
+    j = j.withColumn("__copy", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole")), cut)))
     words = F.regexp_extract_all("text", F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1))
     head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__copy"), F.lit(1)).cast("int")), "")
     j = j.withColumn("text", F.when(F.col("__copy") < 0, F.col("text")).otherwise(head))
