@@ -4,8 +4,8 @@
 kind) and all spans, to which the field adds those it finds beside the base ones: numbers and addresses written in other
 ways. Offsets are in code points, ends exclusive. :func:`masked` replaces every span by its kind in brackets.
 
-The field is trained from a small labelled table (:func:`labelled`, or one's own rows of marked text) by maximum
-likelihood. Tokens are runs of non-white characters. It is decoded by Viterbi in batches of stretches: a token far from
+The field is trained from a small labelled table (:func:`labelled` rows made from templates and :func:`sentences` written
+by hand, or one's own rows) by maximum likelihood. Tokens are runs of non-white characters. It is decoded by Viterbi in batches of stretches: a token far from
 any with a digit, an at sign or a cue word has only plain word shapes, for which :func:`fit` checks that the best path is
 "outside", so such text is skipped without changing the result. Null texts count as empty and have no spans; repeated
 rows are each searched; extra columns are ignored.
@@ -38,6 +38,7 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
 _CUE = re.compile(r"[0-9@\[({]")
 _SPELT = re.compile(r"[\[({](?:at|dot|AT|DOT)[\])}]")
+_APART = re.compile(r"[0-9]{1,3}(?:(?:[\[({](?:\.|dot)[\])}])[0-9]{1,3}){3}")
 _TRIM = ".,;:!?\"'()[]{}<>"
 
 
@@ -97,13 +98,18 @@ def features(token: str) -> list[str]:
         found.append("four numbers" if all(int(p) <= 255 for p in parts) else "four large numbers")
     if digits and re.fullmatch(r"[0-9() .+-]+", core):
         found += ["number signs", f"groups={min(len(re.findall('[0-9]+', core)), 5)}"]
+    spelt = len(_SPELT.findall(token))
     if _SPELT.match(token):
         found.append(f"spelt {low}")
+    elif spelt:
+        found.append(f"spelt inside={min(spelt, 3)}")
+    if _APART.fullmatch(core):
+        found.append("four numbers apart")
     if low in ("tel", "phone", "call", "fax", "card", "ip", "mail", "email", "e-mail", "host", "mobile"):
         found.append(f"cue={low}")
     if token.startswith("+") or token.startswith("("):
         found.append(f"opens {token[0]}")
-    if digits == 0 and "@" not in core and not _SPELT.match(token):
+    if digits == 0 and "@" not in core and not spelt:
         found.append("plain")
     return found
 
@@ -133,6 +139,10 @@ def labelled(rows: int = 300, seed: int = 5) -> list[tuple[list[str], list[str]]
         lambda: ("phone", [f"{n(3)}-{n(3)}-{n(4)}"]),
         lambda: ("phone", [f"+{n(2)}{n(9)}"]),
         lambda: ("phone", [f"{n(3)}.{n(3)}.{n(4)}"]),
+        lambda: ("phone", pick(["0" + n(3), n(3), n(4)], ["0" + n(2), n(4), n(4)], ["0" + n(1), n(2), n(2), n(2), n(2)], ["0" + n(3), n(3), n(2), n(3)], ["00" + n(2), n(3), n(3), n(4)])),
+        lambda: ("email", [word() + pick("[at]", "(at)", "{at}") + word() + pick("[dot]", "(dot)", "{dot}") + pick("com", "org", "net")]),
+        lambda: ("ip", [pick("[.]", "(.)", "[dot]", "(dot)").join(str(int(rng.integers(1, 256))) for _ in range(4))]),
+        lambda: ("card", [pick(".", "/").join(four(card()))]),
     ]
     none = [
         lambda: [n(4)],
@@ -148,6 +158,8 @@ def labelled(rows: int = 300, seed: int = 5) -> list[tuple[list[str], list[str]]
         lambda: [f"{n(2)}:{n(2)}"],
         lambda: [f"{n(2)}%"],
         lambda: [n(3), n(3)],
+        lambda: [pick("1", "2", "3") + n(2), n(3), n(3)],
+        lambda: [n(4), n(4), n(4)],
         lambda: [".".join(str(int(rng.integers(300, 999))) for _ in range(4))],
         lambda: ["at", word(), "dot"],
         lambda: ["(" + n(1) + ")"],
@@ -174,6 +186,91 @@ def labelled(rows: int = 300, seed: int = 5) -> list[tuple[list[str], list[str]]
     return table
 
 
+# The written part of the labelled table: personal data and look-alikes as people write them, spans in angle brackets.
+SENTENCES = """
+Please call <phone>(212) 555-0147</phone> after lunch.
+Tel. <phone>020 7946 0018</phone> or write to <email>anna [at] garden [dot] org</email> today
+Mobile: <phone>07700 900 123</phone>, office <phone>0161 496 0321</phone>
+Fax <phone>1-800-555-0199</phone> ext. 12
+phone=<phone>555-867-5309</phone>; room=214
+Our hotline <phone>800.555.0110</phone> is open from 9:00 to 17:30
+Rufen Sie uns an: <phone>030 901820 44</phone> oder schreiben Sie an <email>info(at)haus(dot)de</email>
+Telefon <phone>0049 89 636 48018</phone> Durchwahl 5
+Handy <phone>0176 1234 5678</phone> ab 18 Uhr
+Llame al <phone>912 345 678 90</phone> antes del 15.06.2021
+Teléfono: <phone>(55) 5093 4000</phone> ext 3
+Appelez le <phone>01 42 68 53 00</phone> ou le <phone>06 12 34 56 78</phone> avant 20h
+Contact <email>j.doe (at) example (dot) com</email> for 25 tickets
+mail <email>sales[at]shop[dot]net</email> with order 4471
+Reach me: <email>kim {at} lab {dot} edu</email> or <phone>415-555-0132</phone>
+E-Mail <email>meier [at] firma [dot] de</email> Zimmer 12
+correo <email>ventas (at) tienda (dot) es</email> pedido 998
+courriel <email>paul[at]asso[dot]fr</email> bureau 3
+Card <card>4111.1111.1111.1111</card> expires 09/27
+Visa: <card>4012.8888.8888.1881</card> CVV 123
+pay with <card>5555/5555/5555/4444</card> now
+Karte <card>4000.0566.5566.5556</card> gültig bis 11/26
+tarjeta <card>5105.1051.0510.5100</card> de 2019
+carte <card>4242/4242/4242/4242</card> svp
+blocked host <ip>10[.]0[.]14[.]7</ip> on port 443
+traffic from <ip>192[.]168[.]1[.]20</ip> and <ip>172[.]16[.]254[.]1</ip> was dropped
+beacon to <ip>203(.)0(.)113(.)9</ip> every 60 seconds
+Server <ip>198[dot]51[dot]100[dot]23</ip> meldet Fehler 500
+ip: <ip>8[.]8[.]4[.]4</ip> ttl 64
+Order number 4471-2291-8 shipped on 12/05/2021 with 3 items
+ISBN 978-3-16-148410-0 costs 24.99 in stores
+Invoice 2021-000123 totals $1,249.00 due in 30 days
+Version 10.4.12.8831 fixes issue 20417 in build 2021.03.15
+The score was 21-19, 18-21, 21-15 after 75 minutes
+Meet at 10:30 in room 204 on 2021-07-04 or 05.07.2021
+Latitude 48.8566, longitude 2.3522, height 35 m
+Population grew from 1 204 500 to 1 310 220 in 10 years
+Chapter 3 (see pages 114-129) lists 48 tables
+Tracking code 1Z 999 AA1 0123 4567 84 arrives in 2 days
+Part 555-1234 replaces part 555-1233
+Call number QA76.73 .J38 2009 on shelf 12
+In 1999 and 2004 (not 2008) sales hit 1.2 million units
+Take 2 tablets of 500 mg at 8 and 20 hours
+ratio [1.5] and interval (0.25, 0.75) with n = 1200
+array[0] and list(3) have length 10
+footnote [12] and [13] cite (2) works
+see section (a) and (b) of act 1998
+Die Rechnung 88123 vom 3.4.2020 über 1.250,00 Euro
+Am 24.12. um 18:00 Uhr kamen 250 Gäste
+La factura 5521 del 03/04/2020 por 1.250,00 euros
+Le train 6607 part à 17h42 voie 12
+Serial 4938 2716 0011 of model 730 was recalled
+id 1234567890123456 has checksum 77
+hash 0123 4567 89ab cdef is wrong
+Size 100x200x300 mm, weight 12.5 kg
+at 5 dot 3 it says: at home, dot by dot
+user@ and @home are no addresses 12
+Mix 3 cups (at room heat) with [dot] marks 4
+Steps: 1. open, 2. close, 3. wait 10 s
+Ports 80, 443, 8080 and 5432 are open
+""".strip().splitlines()
+
+
+def sentences() -> list[tuple[list[str], list[str]]]:
+    """The written sentences as token and tag sequences; a token belongs to a span that begins in it or reaches into it."""
+    table = []
+    for line in SENTENCES:
+        text, spans = "", []
+        for before, kind, part, rest in re.findall(r"([^<]*)(?:<(\w+)>(.*?)</\2>)?()", line):
+            text += before
+            if kind:
+                spans.append((len(text), len(text) + len(part), kind))
+                text += part
+        tokens, tags, last = [], [], None
+        for m in _TOKEN.finditer(text):
+            own = next((s for s in spans if s[0] < m.end() and m.start() < s[1]), None)
+            tokens.append(m[0])
+            tags.append("O" if own is None else f"{'I' if own == last else 'B'}-{own[2]}")
+            last = own
+        table.append((tokens, tags))
+    return table
+
+
 @dataclass
 class Field:
     known: dict[str, int]
@@ -216,27 +313,30 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, field: Field) -> np.ndar
 
 def fit(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 100, rate: float = 0.1, ridge: float = 1e-3) -> Field:
     """Maximum-likelihood weights by Adam, with expectations from forward and backward passes over the padded table."""
-    table = table or labelled()
+    table = table or labelled() + sentences()
     names = sorted({f for tokens, _ in table for t in tokens for f in features(t)})
     known = {f: i for i, f in enumerate(names)}
     k, n = len(TAGS), max(len(t) for t, _ in table)
     field = Field(known, np.zeros((3, len(names), k)), np.zeros((k, k)), np.zeros(k))
     gold = np.full((len(table), n), -1)
     lengths = np.array([len(t) for t, _ in table])
-    x = np.zeros((len(table), n + 2, len(names)))  # a row of nothing before and after each sequence
-    for i, (tokens, tags) in enumerate(table):
-        gold[i, : len(tags)] = [TAGS.index(y) for y in tags]
-        for j, t in enumerate(tokens):
-            x[i, j + 1, field.ids(t)] = 1
-    # one row per token: its own features, those of the token before, those of the token after
-    beside = [np.ascontiguousarray(y, dtype=np.float32).reshape(-1, len(names)) for y in (x[:, 1:-1], x[:, :-2], x[:, 2:])]
+    own = [[field.ids(t) for t in tokens] for tokens, _ in table]
+    width = max(len(at) for row in own for at in row)
+    ids = np.full((len(table), n + 2, width), len(names))  # feature numbers, padded with one that has no weight; nothing before and after
+    for i, row in enumerate(own):
+        gold[i, : len(row)] = [TAGS.index(y) for y in table[i][1]]
+        for j, at in enumerate(row):
+            ids[i, j + 1, : len(at)] = at
     live = np.arange(n)[None, :] < lengths[:, None]
+    # for each token: its own features, those of the token before, those of the token after
+    beside = [y[live] for y in (ids[:, 1:-1], ids[:, :-2], ids[:, 2:])]
     onehot = np.eye(k)[np.maximum(gold, 0)] * live[:, :, None]
     params = [field.weights, field.moves, field.first]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     soft = lambda x, axis: (mx := x.max(axis=axis)) + np.log(np.exp(x - np.expand_dims(mx, axis)).sum(axis=axis))
     for t in range(1, steps + 1):
-        e = sum(xs @ w.astype(np.float32) for xs, w in zip(beside, field.weights)).reshape(len(table), n, k).astype(float)
+        e = np.zeros((len(table), n, k))
+        e[live] = sum(np.append(w, np.zeros((1, k)), 0)[at].sum(axis=1) for at, w in zip(beside, field.weights))
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = field.first + e[:, 0]
         for j in range(1, n):
@@ -250,8 +350,8 @@ def fit(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 100
         for j in range(1, n):
             pair = alpha[:, j - 1, :, None] + field.moves + (e[:, j] + beta[:, j])[:, None, :] - z[:, None, None]
             g_moves += (np.exp(pair) * live[:, j, None, None]).sum(0) - onehot[:, j - 1].T @ onehot[:, j]
-        flat = diff.reshape(-1, k).astype(np.float32)
-        g_weights = np.stack([xs.T @ flat for xs in beside]).astype(float)
+        flat = np.repeat(diff[live], width, axis=0)
+        g_weights = np.stack([np.stack([np.bincount(at.ravel(), flat[:, c], len(names) + 1)[:-1] for c in range(k)], 1) for at in beside])
         for i, g in enumerate((g_weights, g_moves, diff[:, 0].sum(0))):
             g = g / len(table) + ridge * params[i]
             m[i] = 0.9 * m[i] + 0.1 * g
@@ -344,13 +444,14 @@ def field_spans(texts: list[str], field: Field, batch: int = 512) -> list[list[t
 
 
 def valid(text: str, span: tuple[int, int, int]) -> bool:
-    """Checks that a span of the field must pass: digits as for the base kinds, an at for e-mail."""
+    """Checks that a span of the field must pass: digits as for the base kinds, an at (or two spelt marks) for e-mail."""
     part = text[span[0] : span[1]]
     digits = "".join(_DIGIT.findall(part))
     if span[2] == 0:
         return "@" in part[1:-1] or len(_SPELT.findall(part)) >= 2
     if span[2] == 1:
-        return all(p.isdecimal() and int(p) <= 255 for p in part.split(".")) and part.count(".") == 3
+        numbers = re.findall("[0-9]+", part)
+        return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
     return 14 <= len(digits) <= 19 and luhn(digits) if span[2] == 2 else 10 <= len(digits) <= 15
 
 
