@@ -6,6 +6,7 @@ import os
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +14,13 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import chat, hamming, langid, matroska, mixing, ngram_join, packing, pii_crf, pu_quality, toxicity
 from tidewell.llm import queries as q
-from tidewell.llm.common import components, crc_fold, word_count
+from tidewell.llm.common import bit_array, components, crc_fold, split_join, with_bit, word_count
+
+@pytest.fixture(scope="module")
+def large_dir():
+    """Tables with enough labels to tell learned operators from constants."""
+    return os.environ.get("TEST_LARGE_DIR", "/root/testdata/sf0.1")
+
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, copies string, key string"
 
@@ -73,6 +80,90 @@ def test_hot_near_copies_stay_small(spark):
     assert sum(r["n_links"] for r in got) == 2 * len(links) and {r["class_id"] for r in got if r["n_links"]} == {0}
 
 
+def chained_boilerplate(n=300, shared=150, own=150):
+    """Texts with a long passage in common, so that stars chain them, while no pair is near."""
+    passage = " ".join(f"p{j}" for j in range(shared))
+    return [(i, passage + " " + " ".join(f"w{i}_{j}" for j in range(own))) for i in range(n)]
+
+
+def test_no_more_pairs_verified_than_met_in_a_band(spark, monkeypatch):
+    rows = chained_boilerplate()
+    assert not brute_links(rows)
+    bands, width = ngram_join.bands_for(0.8, 0.99999)
+    sign = ngram_join._signer(5, bands, width)
+    import pandas as pd
+
+    made = next(sign(iter([pd.DataFrame({"doc_id": [r[0] for r in rows], "mark": 0, "text": [r[1] for r in rows]})])))
+    met = [p for k in range(bands) for p in met_pairs([b[k] for b in made["bands"]])]
+    chain = {d: d for d, _ in rows}
+    for _ in rows:
+        for a, b in set(met):
+            chain[a] = chain[b] = min(chain[a], chain[b])
+    sizes = [list(chain.values()).count(c) for c in set(chain.values())]
+    assert max(sizes) > 60 and sum(n * (n - 1) // 2 for n in sizes) > 2 * len(met)  # a component of all pairs would be far more
+    folder = checkpoint_folder(spark)
+    monkeypatch.setattr(ngram_join, "linked", counting(ngram_join.linked, folder))
+    got = ngram_join.ngram_join(docs_of(spark, [(d, t, "en", "s") for d, t in rows])).collect()
+    assert all(r["n_links"] == 0 and r["class_id"] == r["doc_id"] for r in got)
+    verified = sum(int(open(os.path.join(folder, f)).read()) for f in os.listdir(folder))
+    assert 0 < verified <= len(met)
+
+
+def met_pairs(keys):
+    at = {}
+    for i, k in enumerate(keys):
+        at.setdefault(k, []).append(i)
+    return [p for ids in at.values() for p in itertools.combinations(ids, 2)]
+
+
+def checkpoint_folder(spark):
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def counting(f, folder):
+    """f, noting the number of pairs of each call in a file of its own (the calls happen in worker processes)."""
+
+    def counted(sets, threshold):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+            out.write(str(len(sets) * (len(sets) - 1) // 2))
+        return f(sets, threshold)
+
+    return counted
+
+
+def test_chain_is_one_class_with_exact_links(spark):
+    """Windows that slide along one long text: neighbours are near, ends are not; verified bucket by bucket."""
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 120])) for i in range(200)]
+    links = brute_links(rows)
+    got = {r["doc_id"]: r for r in ngram_join.ngram_join(docs_of(spark, [(d, t, "en", "s") for d, t in rows])).collect()}
+    assert {d: r["n_links"] for d, r in got.items()} == {d: sum(d in x for x in links) for d, _ in rows} and {r["class_id"] for r in got.values()} == {0}
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:59] + ["x"])), (3, " ".join(b[:59] + ["y"])), (1, " ".join(a)), (None, " ".join(b)), (None, "alone it stands")]
+    docs = docs_of(spark, [(d, t, "en", "s") for d, t in rows])
+    got = sorted((r["doc_id"] or 0, r["n_links"], r["class_id"]) for r in ngram_join.ngram_join(docs).collect())
+    assert got == [(0, 0, None), (0, 2, 1), (1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.keep_one(docs).collect())
+    assert kept == sorted([(1, " ".join(a)), (1, " ".join(b)), (0, "alone it stands")])
+
+
+def test_split_join_and_bit_array(spark):
+    rows = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(3000)], "k long, i long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top")).where("k <> 0")
+    assert sorted(map(tuple, split_join(rows, table, "k", "n", 3000, "left").collect()), key=str) == sorted(map(tuple, rows.join(table, "k", "left").collect()), key=str)
+    assert split_join(rows, table, "k", "n", 3000).count() == 2999
+    bits = bit_array(rows.where("i % 30 = 0"), "i")
+    flagged = with_bit(rows, bits, "i")
+    assert flagged.where("i % 30 = 0 and not __bit").count() == 0 and flagged.where("__bit").count() < 150 and flagged.count() == 3000
+
+
 def test_bands():
     b, r = ngram_join.bands_for(0.8, 0.99999)
     assert 1 - (1 - 0.8**r) ** b >= 0.99999
@@ -132,6 +223,18 @@ def test_mixing(spark):
     assert texts.agg(F.sum(word_count("text"))).first()[0] == sum(r["taken"] for r in got)
 
 
+def test_mixed_rows_that_share_an_id(spark):
+    """Repeated rows, repeated ids with other texts and rows without an id: a source's words still meet its target."""
+    rows = [(1, "a b c d", "en", "x"), (1, "e f", "en", "x"), (1, "e f", "en", "x"), (None, "g h i", "en", "x"), (None, "j", "en", "y"), (2, "k l m n o p q", "en", "y"), (3, "", "en", "y")] + [(7, "r s", "en", "z")] * 40
+    docs = docs_of(spark, rows)
+    got = mixing.mix(docs, run=5)
+    assert got.count() == len(rows)
+    want = {r["target"]: r["taken"] for r in got.groupBy("target").agg(F.sum("taken").alias("taken")).collect()}
+    assert all(math.floor(t + 1e-9) == n for t, n in want.items())
+    words = {r["source"]: r["n"] for r in mixing.apply_mix(docs, run=5).groupBy("source").agg(F.sum(word_count("text")).alias("n")).collect()}
+    assert sorted(words.values()) == sorted(want.values())
+
+
 def test_mixing_awkward(spark):
     assert mixing.mix(none(spark)).count() == 0 and mixing.mix(awkward(spark)).count() == awkward(spark).count()
     only = docs_of(spark, [(1, None, "en", "a"), (2, "", "en", None)])
@@ -242,6 +345,32 @@ def test_topk_equals_brute_force(spark):
             assert [x[1:] for x in sorted(got[i])] == best
 
 
+@pytest.mark.parametrize("parts,low,high", [([(0, 6), (6, 5)], 0, 1), ([(0, 6), (6, 5)], 3, 5), ([(0, 11)], 2, 2)])
+def test_probes_are_all_values_at_the_radius(spark, parts, low, high):
+    df = spark.createDataFrame([(0b10110011010, 64)], "q long, bound int")
+    got = [(r["seg"], r["value"]) for r in hamming.probes(df, parts, low, high).collect()]
+    own = [(0b10110011010 >> a) & ((1 << w) - 1) for a, w in parts]
+    want = {(i, v) for i, (_, w) in enumerate(parts) for v in range(1 << w) if low <= bin(v ^ own[i]).count("1") <= high}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_probes_of_wide_segments(spark):
+    df = spark.createDataFrame([(-5, 64)], "q long, bound int")
+    assert hamming.probes(df, [(0, 32), (32, 32)], 5, 5).count() == 2 * math.comb(32, 5)
+    assert max(w for _, w in hamming.segments(10**12)) <= 22 and sum(w for _, w in hamming.segments(10**12)) == 64
+
+
+def test_topk_of_hot_segments(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.getrandbits(23) << 40 | 5) for i in range(900)]  # the low segments are the same everywhere
+    df = spark.createDataFrame(rows, "vec_id long, code long")
+    got = {}
+    for r in hamming.top_k(df.withColumn("code", F.col("code")), df.where("vec_id % 100 = 0"), k=4, chunk=50).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["vec_id"]))
+    for i, c in rows[::100]:
+        assert [x[1:] for x in sorted(got[i])] == sorted((bin(c ^ d).count("1"), j) for j, d in rows if j != i)[:4]
+
+
 def test_topk_awkward(spark):
     e = spark.createDataFrame([(1, None), (2, [1.0] * 64), (2, [1.0] * 64), (50, [-1.0] * 64), (3, [None, 2.0])], "vec_id long, embedding array<float>")
     rows = e.select("vec_id", hamming.sign_code("embedding").alias("code"))
@@ -270,11 +399,6 @@ def test_collapse(spark):
 # ---- 7 to 10 learned operators
 
 
-def held_out_accuracy(spark, result, truth, column):
-    j = result.where("held_out").join(truth, "doc_id")
-    return j.agg(F.avg((F.col(column) == F.col("truth")).cast("double"))).first()[0]
-
-
 def test_folding():
     assert toxicity.fold("You IDI0T, m0r0n! 5cum $cum іdіоt xａ") == " you idiot moron scum scum idiot xa "
 
@@ -286,19 +410,94 @@ def test_lexicon_exceptions_and_length():
     assert lex.rate("scum " + "fine " * 500, m)[0] < lex.rate("scum fine", m)[0] and lex.rate(None, m) == (0.0, 0, 0)
 
 
-def test_toxicity_held_out(spark, sf_dir):
-    truth = q.labels(spark, sf_dir).select("doc_id", F.col("toxic").alias("truth"))
-    assert held_out_accuracy(spark, q.op7_toxicity_lexicon(spark, sf_dir), truth, "predicted") >= 0.9
+def brute_hits(lex, text):
+    """Start and weight of the hits by plain search of every pattern."""
+    t = toxicity.fold(text)
+    at = lambda p: [i for i in range(len(t)) if t.startswith(p, i)]
+    spared = [(i, i + len(p) - 1) for p in lex.exceptions for i in at(p)]
+    out = {}
+    for p, w in lex.weights.items():
+        for i in at(p):
+            if not any(a <= i < b for a, b in spared):
+                out[i] = max(w, out.get(i, 0))
+    return out
+
+
+def test_matching_equals_plain_search():
+    rng = random.Random(6)
+    words = ["scum", "bad", "baddie", "badminton", "vile", "pond", "sc", "a", "ok", "5cum", "v1le", "x"]
+    lex = toxicity.Lexicon({" scum ": 4.0, " bad": 3.0, " vile ": 2.5, " sc": 1.0}, (" badminton ", " scum pond ", " a vile ", " ok bad ok "), 2.0, -2.0)
+    m = lex.matcher()
+    for _ in range(2000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 14)))
+        hits = brute_hits(lex, text)
+        assert toxicity.unspared(m.iter(toxicity.fold(text))) == hits
+        assert lex.rate(text, m)[1] == len(hits) and math.isclose(lex.rate(text, m)[0], sum(hits.values()) / math.log2(2 + len(text.split())) if hits else 0.0)
+
 
+def test_long_hostile_text_takes_linear_time():
+    lex = toxicity.Lexicon({" scum ": 4.0, " bad": 3.0}, (" badminton ", " badminton scum "), 2.0, -2.0)
+    m, text = lex.matcher(), "badminton scum scum " * 50_000
+    began = time.time()
+    assert lex.rate(text, m)[1] == 50_000 and time.time() - began < 3
+
+
+def test_phrases_of_clean_texts_are_exceptions(spark):
+    rng = random.Random(2)
+    filler = lambda k: [rng.choice(("tree", "house", "river", "stone", "cloud", "grass", "table", "chair")) + str(rng.randrange(40)) for _ in range(k)]
+    rows = [(i, " ".join(filler(12) + ["you", "scum", rng.choice(("go", "you", "there"))] + filler(4)), 1) for i in range(120)]
+    rows += [(1000 + i, " ".join(filler(12) + (["pond", "scum", "removal"] if i % 10 == 0 else []) + filler(4)), 0) for i in range(300)]
+    docs = docs_of(spark, [(i, t, "en", "s") for i, t, _ in rows])
+    lex = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert any("scum" in p for p in lex.weights) and {" pond scum ", " scum removal ", " pond scum removal "} <= set(lex.exceptions)
+    m = lex.matcher()
+    assert lex.rate("pond scum again", m)[1] == 0 and lex.rate("they are scum again", m)[1] == 1
 
-def test_quality_held_out(spark, sf_dir):
-    truth = q.labels(spark, sf_dir).select("doc_id", F.col("quality").alias("truth"))
-    assert held_out_accuracy(spark, q.op10_quality_pu(spark, sf_dir), truth, "predicted") >= 0.85
+
+def balanced(result, truth, column="predicted"):
+    """Mean over the true values of the share of held-out rows predicted as such."""
+    j = result.where("held_out").join(truth.where("truth is not null"), "doc_id").groupBy("truth").agg(F.avg((F.col(column) == F.col("truth")).cast("double")).alias("recall"))
+    got = [r["recall"] for r in j.collect()]
+    assert len(got) > 1
+    return sum(got) / len(got)
+
+
+def test_toxicity_held_out(spark, large_dir):
+    truth = q.labels(spark, large_dir).select("doc_id", F.col("toxic").alias("truth"))
+    assert balanced(q.op7_toxicity_lexicon(spark, large_dir), truth) >= 0.95
+
+
+def test_quality_held_out(spark, large_dir):
+    truth = q.labels(spark, large_dir).select("doc_id", F.col("quality").alias("truth"))
+    assert balanced(q.op10_quality_pu(spark, large_dir), truth) >= 0.95
 
 
 def test_language_held_out(spark, sf_dir):
     truth = q.documents(spark, sf_dir).select("doc_id", F.col("lang").alias("truth"))
-    assert held_out_accuracy(spark, q.op9_language_kernel(spark, sf_dir), truth, "lang_pred") >= 0.95
+    assert balanced(q.op9_language_kernel(spark, sf_dir), truth, "lang_pred") >= 0.95
+
+
+def test_landmarks_of_all_rows_give_kernel_ridge_regression():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(a) for _ in range(40)) for a in ("abcd ", "efgh ", "ijkl ") for _ in range(12)]
+    y = np.repeat(np.arange(3), 12)
+    packed = np.stack([np.packbits(x) for x in langid.presence(texts)])
+    model = langid.train(packed, ["a", "b", "c"], y, landmarks=36, least_marks=2, ridge=1e-2)
+    asked = ["".join(rng.choice("abcdefghijkl ") for _ in range(30)) for _ in range(20)]
+    k = langid.kernel(langid.presence(texts), langid.presence(texts)).astype(float)
+    dense = langid.kernel(langid.presence(asked), langid.presence(texts)) @ np.linalg.solve(k + 1e-2 * np.eye(36), np.where(y[:, None] == np.arange(3), 1.0, -1.0))
+    assert np.abs(model.scores(asked, model.marks()) - dense).max() < 0.01
+
+
+def test_six_hundred_languages(spark):
+    """Any number of languages is learned, whatever their shares; one holds a third of all rows, under one id."""
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 6000)]
+    rows = [(g * 10 + i, "".join(rng.choice(letters[g * 10 : g * 10 + 10]) for _ in range(30)), f"l{g:03}", "s") for g in range(600) for i in range(6)]
+    rows += [(99_999, "aaa bbb", "hot", "s")] * 1800
+    docs = docs_of(spark, rows)
+    got = langid.predict(docs, langid.fit(docs)).join(docs.select("doc_id", "lang").distinct(), "doc_id").where("lang_pred <> lang").count()
+    assert got == 0
 
 
 def test_kernel_is_presence_overlap():
@@ -312,37 +511,59 @@ def test_learned_awkward(spark):
     n = d.count()
     assert toxicity.score(d, toxicity.fit(d, labels)).where("score between 0 and 1").count() == n
     assert toxicity.score(d, toxicity.fit(d, labels.where("1 = 0"))).where("predicted = 0").count() == n
-    assert pu_quality.score(d, pu_quality.fit(d, labels)).where("score between 0 and 1").count() == n
-    assert pu_quality.score(d, pu_quality.fit(d, labels.where("1 = 0"))).where("abs(score - 0.5) < 1e-9").count() == n
+    made = pu_quality.measured(d)
+    assert pu_quality.score(made, pu_quality.fit(made, labels)).where("score between 0 and 1").count() == n
+    assert pu_quality.score(made, pu_quality.fit(made, labels.where("1 = 0"))).where("abs(score - 0.5) < 1e-9").count() == n
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(d, langid.fit(d)).collect()}
     assert got[1] == got[2] == got[4] == "und" and got[3] in ("en", "de", "fr")
     assert langid.predict(d, langid.fit(none(spark))).where("lang_pred = 'und'").count() == n
-    for r in (toxicity.score(none(spark), toxicity.fit(none(spark), labels)), pu_quality.score(none(spark), pu_quality.fit(none(spark), labels)), langid.predict(none(spark), None)):
+    for r in (toxicity.score(none(spark), toxicity.fit(none(spark), labels)), pu_quality.score(pu_quality.measured(none(spark)), pu_quality.fit(pu_quality.measured(none(spark)), labels)), langid.predict(none(spark), None)):
         assert r.count() == 0
 
 
-def test_nn_risk_separates():
+def test_risk_gradient_is_its_slope():
     rng = np.random.default_rng(0)
-    pos, neg = rng.normal(1, 0.5, (400, 2)), rng.normal(-1, 0.5, (100, 2))
-    unl = np.concatenate([rng.normal(1, 0.5, (400, 2)), neg])
-    w, b = pu_quality.nn_risk_fit(pos, unl, 0.8)
-    cut = pu_quality.cut_at_prior(unl @ w, 0.8)
-    assert ((neg @ w) < cut).mean() > 0.95 and ((pos @ w) > cut).mean() > 0.95 and np.isfinite(b)
-
-
-def test_quality_cut_and_edges_take_all_documents(spark):
+    pos, unl = rng.normal(0.5, 1, (60, 4)), rng.normal(0, 1, (80, 4))
+    seen = set()
+    for scale, prior in ((0.1, 0.4), (1.0, 0.8), (3.0, 0.95)):
+        w = rng.normal(0, scale, 5)
+        _, negative, g = pu_quality.nn_risk(w, pos, unl, prior, 0.01)
+        zs = lambda w: (pos @ w[:-1] + w[-1], unl @ w[:-1] + w[-1])
+        neg = lambda w: np.logaddexp(0, zs(w)[1]).mean() - prior * np.logaddexp(0, zs(w)[0]).mean()
+        whole = (lambda w: prior * np.logaddexp(0, -zs(w)[0]).mean() + neg(w)) if negative >= 0 else (lambda w: -neg(w))  # the reversed step where the part is under zero
+        f = lambda w: whole(w) + 0.005 * w[:-1] @ w[:-1]
+        slope = [(f(w + d) - f(w - d)) / 2e-6 for d in np.eye(5) * 1e-6]
+        assert np.abs(g - slope).max() < 1e-5
+        seen.add(negative >= 0)
+    assert seen == {True, False}
+
+
+def test_prior_and_intercept_of_a_mixture():
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.6, 0.86):
+        p, n = rng.normal(2, 1, 40_000), rng.normal(-2, 1, 40_000)
+        u = np.concatenate([p[: int(40_000 * prior)], n[int(40_000 * prior) :]])
+        values, at = np.unique(np.round(np.concatenate([rng.normal(2, 1, 40_000), u]), 2), return_inverse=True)
+        pos, unl = np.bincount(at[:40_000], minlength=len(values)).astype(float), np.bincount(at[40_000:], minlength=len(values)).astype(float)
+        assert abs(pu_quality.best_bin_prior(values, pos, unl) - prior) < 0.05
+        b = pu_quality.best_intercept(3 * values, pos, unl, prior)
+        risk = lambda b: prior * (pos @ np.logaddexp(0, -(3 * values + b))) / pos.sum() + max(0.0, unl @ np.logaddexp(0, 3 * values + b) / unl.sum() - prior * (pos @ np.logaddexp(0, 3 * values + b)) / pos.sum())
+        assert risk(b) <= min(risk(x) for x in np.linspace(-30, 30, 6001)) + 1e-6
+
+
+def test_edges_prior_and_intercept_take_all_documents(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(("a", "tree", "houses", "1", "Wide.", "|")) * rng.randrange(1, 4) for _ in range(rng.randrange(1, 60))), "en", "s") for i in range(1200)]
-    docs = docs_of(spark, rows)
+    made = pu_quality.measured(docs_of(spark, rows)).cache()
     labels = spark.createDataFrame([(i, int(len(rows[i][1]) > 60)) for i in range(0, 1200, 4)], "doc_id long, quality int")
-    for prior in (0.3, 0.62):
-        model = pu_quality.fit(docs, labels, prior=prior, positives=100, unlabelled=40)
-        x = pu_quality.table_of(r[1] for r in rows)
-        assert np.allclose(model.edges, np.quantile(x, np.linspace(0, 1, 11)[1:-1], axis=0).T)
-        z = np.round(model.binned(x) @ model.weights, 9)
-        shares = [(z > v).mean() for v in np.unique(z)] + [1.0]
-        share = pu_quality.score(docs, model).agg(F.avg("predicted")).first()[0]
-        assert math.isclose(abs(share - prior), min(abs(y - prior) for y in shares), abs_tol=1e-9)
+    model = pu_quality.fit(made, labels, positives=100, unlabelled=40)
+    x = pu_quality.rounded([pu_quality.statistics(r[1])[0] for r in rows])
+    assert np.allclose(model.edges, np.quantile(x, np.linspace(0, 1, 11)[1:-1], axis=0).T)
+    every = made.toPandas()
+    z, good = np.round(model.rates(every) * 500) / 500, every["doc_id"].isin([r["doc_id"] for r in labels.where("quality = 1").collect()]).to_numpy()
+    values, at = np.unique(z, return_inverse=True)
+    b = pu_quality.best_intercept(values, np.bincount(at, good, len(values)), np.bincount(at).astype(float), model.prior)
+    assert math.isclose(b, model.intercept, abs_tol=1e-6) and 0 < model.prior < 1
 
 
 # ---- 8 personal data
@@ -392,6 +613,82 @@ def test_stretches_lose_nothing(spark, sf_dir):
         assert (sum(1 for x in tags if x) > 0) == (len(part) > 0)
 
 
+# Sentences of other places, names and forms than those of the training table.
+UNSEEN = """
+You can dial <phone>(617) 555-0188</phone> until 5 pm on 3/14
+Reservations: <phone>0131 496 0742</phone>, table for 6
+Zentrale <phone>0221 470 33 210</phone> Raum 7
+Mi móvil es <phone>600 123 456 78</phone> gracias
+Composez le <phone>04 91 13 89 00</phone> poste 21
+support line <phone>888-555-0143</phone> (24 hours)
+Ring <phone>0044 117 496 0111</phone> for a quote of 20 pounds
+Text <phone>312.555.0175</phone> by 6:15
+write <email>lena [at] museum [dot] org</email> before 2022
+orders go to <email>shop(at)farm(dot)com</email> or box 19
+Kontakt: <email>weber (at) verein (dot) de</email> seit 1987
+escribe a <email>luis[at]banco[dot]es</email> 2 veces
+jobs {at} is no address but <email>jobs {at} mill {dot} net</email> is 1
+charge <card>4556.7375.8689.9855</card> for 2 seats
+card no <card>5454/5454/5454/5454</card> was declined at 14:05
+Karte: <card>4917.6100.0000.0000</card> gesperrt seit 2020
+scan of <ip>10[.]20[.]30[.]40</ip> took 15 minutes
+from <ip>185(.)12(.)64(.)2</ip> to port 22
+host <ip>91[dot]198[dot]174[dot]192</ip> answers 200
+Flight 8812 leaves gate 34 at 06:55
+The 2010 census counted 308 745 538 people
+Add 250 g flour, 3 eggs and 100 ml milk
+Lot 44-1982-07 sold for 1.900,50 Euro
+Build 7.1.4406.12 runs on 64 bit since 2019
+They won 3-2 (1-1) before 54 000 fans
+Room 11, floor 2, seats 120-145
+ISBN 0-306-40615-2 has 10 digits
+id 9988 7766 5544 in list (17)
+call me at 9 or 10, not at 11
+Items [1], [2] and (3) of 1984
+""".strip().splitlines()
+
+
+def test_field_on_unseen_sentences():
+    """Spans that the field adds, by kind: precision at least 0.9 and recall at least 0.75 in all."""
+    f, hit, got, want = pii_crf.fit(), {}, {}, {}
+    for line in UNSEEN:
+        text, spans = "", set()
+        for before, kind, part in re.findall(r"([^<]*)(?:<(\w+)>(.*?)</\2>)?", line):
+            text += before
+            if kind:
+                spans.add((len(text), len(text) + len(part), pii_crf.KINDS.index(kind)))
+                text += part
+        base, every = pii_crf.all_spans([text], f)[0]
+        assert not base, text
+        for s in every:
+            got[s[2]] = got.get(s[2], 0) + 1
+            hit[s[2]] = hit.get(s[2], 0) + (s in spans)
+        for s in spans:
+            want[s[2]] = want.get(s[2], 0) + 1
+    figures = {pii_crf.KINDS[k]: (hit.get(k, 0), got.get(k, 0), want[k]) for k in sorted(want)}
+    print(figures)
+    assert sum(hit.values()) >= 0.9 * sum(got.values()) and sum(hit.values()) >= 0.75 * sum(want.values()), figures
+
+
+def brute_tags(field, tokens):
+    """The best path by trying all of them."""
+    e = field.emissions(tokens, {})
+    rate = lambda path: field.first[path[0]] + sum(e[i, t] for i, t in enumerate(path)) + sum(field.moves[a, b] for a, b in itertools.pairwise(path))
+    return max(itertools.product(range(len(pii_crf.TAGS)), repeat=len(tokens)), key=rate)
+
+
+def test_viterbi_equals_all_paths():
+    f = pii_crf.fit(steps=20)
+    rng = random.Random(11)
+    words = ["call", "(988)", "555-2485", "bob", "[at]", "site", "[dot]", "com", "12", "4111.1111.1111.1111"]
+    part = [[rng.choice(words) for _ in range(rng.randrange(1, 5))] for _ in range(25)]
+    e = np.zeros((25, 4, len(pii_crf.TAGS)))
+    for r, tokens in enumerate(part):
+        e[r, : len(tokens)] = f.emissions(tokens, {})
+    for tokens, path in zip(part, pii_crf.viterbi(e, np.array([len(t) for t in part]), f)):
+        assert tuple(path[: len(tokens)]) == brute_tags(f, tokens)
+
+
 def test_pii_awkward(spark):
     f = pii_crf.fit()
     d = docs_of(spark, [(1, None, "en", "a"), (2, "", "en", "a"), (3, "x a@b.cd y", "en", "a"), (4, "1" * 50_000, "en", "a"), (5, "a" * 100_000 + "@", "en", "a")])
@@ -403,11 +700,12 @@ def test_pii_awkward(spark):
 
 
 def test_field_learns_from_the_whole_table(monkeypatch):
-    table, passes = pii_crf.labelled(), []
-    runs = [sum(1 for a, b in zip(["O"] + tags, tags) if b != "O" and b[0] == "B") for _, tags in table]
-    assert len(table) == 300 and max(runs) == 4
+    made, passes = pii_crf.labelled(), []
+    runs = [sum(1 for a, b in zip(["O"] + tags, tags) if b != "O" and b[0] == "B") for _, tags in made]
+    assert len(made) == 300 and max(runs) == 4
+    table = made + pii_crf.sentences()
     exp = np.exp
-    monkeypatch.setattr(pii_crf.np, "exp", lambda x: (passes.append(1) if x.ndim == 3 and len(x) == 300 and x.shape[2] == len(pii_crf.TAGS) and x.shape[1] == max(len(t) for t, _ in table) else None, exp(x))[1])
+    monkeypatch.setattr(pii_crf.np, "exp", lambda x: (passes.append(1) if x.ndim == 3 and len(x) == len(table) and x.shape[2] == len(pii_crf.TAGS) and x.shape[1] == max(len(t) for t, _ in table) else None, exp(x))[1])
     pii_crf.fit()
     assert len(passes) == 100
 
