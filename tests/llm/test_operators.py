@@ -315,6 +315,45 @@ def test_unknown_sizes_and_damage():
         matroska.parse(media[:-70])
 
 
+def test_every_cut_file_gives_a_value_error():
+    payload = os.urandom(6400)
+    media = matroska.store(payload)
+    for cut in range(0, len(media), 7):
+        m = matroska.Media()
+        try:
+            matroska.parse(media[:cut], m)
+        except ValueError:
+            pass
+        assert payload.startswith(b"".join(media[s : s + k] for *_, s, k in m.packets))
+    with pytest.raises(ValueError):
+        matroska.parse(media[: media.index(b"\xa3")] + b"\xa3\x84\x81\x00\x00\x02")  # a laced block without its sizes
+
+
+def test_seek_by_cues():
+    m = matroska.parse(matroska.store(os.urandom(90_000)))
+    assert len(m.cues) > 2
+    for at in (0, m.packets[7][1], m.packets[-1][1], m.packets[-1][1] + 1):
+        assert matroska.seek(m, at, 1) == [p for p in m.packets if p[1] >= at]
+    assert matroska.seek(m, 0, 2) == []
+
+
+def test_media_digests_of_all_documents(spark, sf_dir):
+    """Every digest of the query against values computed from the texts themselves."""
+    import hashlib
+    import zlib
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in q.documents(spark, sf_dir).collect()}
+    got = q.op4_media_matroska(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = texts[r["doc_id"]]
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        media = matroska.store(payload)
+        assert r["media_bytes"] == len(media) and r["media_sha256"] == hashlib.sha256(media).hexdigest()
+
+
 def test_media_columns(spark):
     d = matroska.with_media(awkward(spark))
     f = {r["doc_id"]: r for r in matroska.features(d).collect()}
@@ -745,6 +784,15 @@ def test_pipeline(spark, sf_dir):
             low[a] = low[b] = min(low[a], low[b])
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(some.collect(), docs.schema), sf_dir)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d in low if low[d] == d}
+    f = pii_crf.fit()
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.mask_personal_data(spark, some, sf_dir).collect()}
+    for d, t in rows:
+        assert masked[d] == pii_crf.mask(t, pii_crf.all_spans([t], f)[0][1]) and not brute_spans(masked[d])
+    mixed = corpus_pipeline.mix_sources(spark, some, sf_dir)
+    size, words = {}, {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(word_count("text")).alias("n")).collect()}
+    for r in some.collect():
+        size[r["source"]] = size.get(r["source"], 0) + len(re.findall(r"[^\x20\t-\r]+", r["text"] or ""))
+    assert mixed.columns == docs.columns and words == {k: math.floor(t + 1e-9) for k, t in brute_targets(size).items()}
     final = corpus_pipeline.run(spark, sf_dir)
     assert final.groupBy("shard", "bin").agg(F.sum("words").alias("w")).where("w > 2048").count() == 0 and final.count() > 0
     assert not bad & {r[0] for r in final.select("doc_id").distinct().collect()}

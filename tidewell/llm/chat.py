@@ -33,7 +33,7 @@ def numbered(turns: DataFrame, block: int = 256) -> DataFrame:
     inside = Window.partitionBy("conv_id", "blk").orderBy("turn", "role", "text")
     t = t.withColumn("n", F.row_number().over(inside)).join(counts, ["conv_id", "blk"])
     t = t.withColumn("pos", F.col("start") + F.col("n") - 1)
-    code = lambda seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "pos", F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0")), F.col("text").isNull()), 24)
+    code = lambda seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "pos", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.col("role").isNull(), F.col("text").isNull()), 24)
     return t.select("conv_id", "blk", "pos", "role", "text", code(1).alias("c1"), code(2).alias("c2"))
 
 

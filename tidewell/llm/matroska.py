@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -123,8 +124,24 @@ def _vint(data: bytes, at: int, keep: bool) -> tuple[int, int]:
 
 
 def parse(data: bytes, into: Media | None = None) -> Media:
-    """Tracks, packets and cues of a file. An element of unknown size ends where a sibling of its parent begins."""
+    """Tracks, packets and cues of a file. An element of unknown size ends where a sibling of its parent begins. Whatever
+    is wrong with the file, the error is a ValueError, and ``into`` holds what came before it."""
     m = into if into is not None else Media()
+    try:
+        return _walk(data, m)
+    except (IndexError, struct.error) as e:
+        raise ValueError(f"damaged file: {e}") from e
+
+
+def seek(m: Media, time_ns: int, track: int) -> list[tuple]:
+    """Packets of a track from a time on, found through the cues: only those at or after the cluster of the track's last cue
+    up to that time are looked at; without such a cue, all are."""
+    places = [place for time, number, place in m.cues if number == track and time <= time_ns]
+    first = max(places, default=0)
+    return [p for p in m.packets[bisect_left(m.packets, first, key=lambda p: p[4]) :] if p[0] == track and p[1] >= time_ns]
+
+
+def _walk(data: bytes, m: Media) -> Media:
     top, cluster_time, track, point, place = 0, 0, None, [0, 0, 0], 0
     ends: list[tuple[int, int]] = []  # of the open parents: id and end, -1 if unknown
     at = 0
@@ -223,7 +240,7 @@ def _read(media: bytes | None) -> tuple[Media, str | None]:
     m = Media()
     try:
         parse(bytes(media), m) if media is not None else None
-    except (ValueError, IndexError, struct.error) as e:
+    except ValueError as e:
         return m, str(e)
     return m, None
 
