@@ -84,6 +84,30 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, files.load_csv(spark, [f"{tmp_path}/q.csv"])["q"].collect())) == [(1, 'say "hi", ok'), (2, "a\nb")]
 
 
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [("many", float(x)) for x in rng.normal(0, 1, 3000)] + [("ties", float(x)) for x in rng.integers(0, 3, 900)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("two", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for accuracy in (10_000, 100):  # all values inside the brackets, and brackets proper
+        got = {r["k"]: (r["n"], r["q"]) for r in tables.quantiles(df, "k", "v", (0.0, 0.25, 0.5, 0.9, 1.0), accuracy).collect()}
+        for k in ("many", "ties", "one", "two"):
+            v = [x for a, x in rows if a == k and x is not None]
+            assert got[k][0] == len(v) and np.allclose(got[k][1], np.quantile(v, [0.0, 0.25, 0.5, 0.9, 1.0]))
+    assert tables.quantiles(df.where("1 = 0"), "k", "v").count() == 0
+
+
+def test_repeated_batches_change_nothing(spark, tmp_path):
+    from tidewell.streaming import jobs
+
+    write = jobs.append_with_seq(f"{tmp_path}/out")
+    batch = lambda *xs: spark.createDataFrame([(t, p, 0) for t, p in xs], "thread_id string, pos long, seq long")
+    first, second = batch(("a", 1), ("a", 2), ("b", 1)), batch(("a", 3), ("c", 1))
+    for number, rows in ((0, first), (0, first), (1, second), (1, second)):
+        write(rows, number)
+    got = sorted((r["thread_id"], r["pos"], r["seq"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1), ("c", 1, 1)]
+
+
 def test_grep_folds_letters_of_all_scripts(spark):
     f = spark.createDataFrame([("a.md", "Über ÄRGER\nnichts\nnaïve\rx")], "path string, text string")
     hits = lambda p, **k: [r["line_number"] for r in corpus.grep(f, p, **k).collect()]
@@ -292,6 +316,9 @@ def test_hybrid_fuses_symbols_text_and_cosine(spark):
     got = corpus.hybrid_retrieve(q, chunks).orderBy("rank").collect()
     want = [("a.go", 3, 0.4, 1.0, 0.61), ("b.go", 1, 1.0, 0.0, 0.65), ("a.go", 1, 0.2, 0.666667, 0.363333)]
     assert [(r["path"], r["start_line"], r["lexical"], r["symbol"], r["score"]) for r in got] == sorted(want, key=lambda x: -x[4])
+    many = spark.createDataFrame([(f"q{i}", [w]) for i, w in enumerate(("load", "none", "x", "loadall", "zzz"))], "query_id string, terms array<string>")
+    for search in (corpus.hybrid_retrieve, corpus.lexical_retrieve):
+        assert sorted(search(many, chunks, block=2).collect(), key=str) == sorted(search(many, chunks).collect(), key=str)
     v = F.when(F.col("path") == "c.go", F.array(F.lit(1.0), F.lit(0.0))).when(F.col("path") == "b.go", F.array(F.lit(-1.0), F.lit(0.0)))
     got = corpus.hybrid_retrieve(q.withColumn("q", F.array(F.lit(2.0), F.lit(0.0))), chunks.withColumn("embedding", v)).orderBy("rank").collect()
     assert [(r["path"], r["start_line"], r["semantic"], r["score"]) for r in got] == [("a.go", 3, 0.0, 0.48), ("b.go", 1, 0.0, 0.45), ("a.go", 1, 0.0, 0.29), ("c.go", 1, 1.0, 0.25)]
