@@ -279,6 +279,8 @@ def test_packing(spark):
 
 def test_packing_awkward(spark):
     assert packing.pack(none(spark)).count() == 0
+    often = packing.pack(docs_of(spark, [(1, "a b", "en", "x")] * 30 + [(1, "a b", "en", "y")] * 2), capacity=100).toPandas()
+    assert sorted(often["copy"]) == list(range(1, 33)) and not often.duplicated(["shard", "bin"]).any()
     got = packing.pack(awkward(spark), capacity=1000).toPandas()
     assert len(got[got.doc_id == 5]) == 30 and len(got[got.doc_id == 3]) == 2 and len(got[got.doc_id.isna()]) == 1
 

@@ -78,7 +78,11 @@ def pack(docs: DataFrame, capacity: int = 2048, shard: int = 4000, by_source: bo
         F.when(F.col(cluster or "text").isNotNull(), kind).alias("cluster"),
     )
     rows = rows.withColumn("key", F.xxhash64("doc_id", "size", "cluster", F.lit(seed)))
-    rows = checkpointed(rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("source")).cast("int")))
+    # equal rows are counted before they are numbered, so a row repeated very often meets in no window
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("doc_id", "key").orderBy("source").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("upto", upto).withColumn("copy", F.explode(F.sequence((F.col("upto") - F.col("n") + 1).cast("int"), F.col("upto").cast("int"))))
+    rows = checkpointed(rows.drop("n", "upto"))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("long"))))
     rows = rows.withColumn("start", F.col("piece") * capacity).withColumn("words", F.least(F.col("size") - F.col("start"), F.lit(capacity)))
     shards = max(1, round(rows.count() / shard))
