@@ -137,8 +137,8 @@ def counting(f, folder):
 
 def test_chain_is_one_class_with_exact_links(spark):
     """Windows that slide along one long text: neighbours are near, ends are not; verified bucket by bucket."""
-    words = [f"w{i}" for i in range(2000)]
-    rows = [(i, " ".join(words[i * 4 : i * 4 + 120])) for i in range(200)]
+    words = [f"w{i}" for i in range(600)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 120])) for i in range(90)]
     links = brute_links(rows)
     got = {r["doc_id"]: r for r in ngram_join.ngram_join(docs_of(spark, [(d, t, "en", "s") for d, t in rows])).collect()}
     assert {d: r["n_links"] for d, r in got.items()} == {d: sum(d in x for x in links) for d, _ in rows} and {r["class_id"] for r in got.values()} == {0}

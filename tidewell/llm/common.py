@@ -92,7 +92,7 @@ def with_bit(rows: DataFrame, array: DataFrame, *columns: str, bits: int = 25, f
     return j.withColumn(flag, hit).drop(f"{flag}_w", f"{flag}_m")
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Connected components of an undirected graph given as edges (u, v): rows (node, root), root the least node.
 
     Alternates large-star and small-star steps until every node hangs on one root and no root on another. Each step
@@ -102,6 +102,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = checkpointed(e)
     for _ in range(max_rounds):
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        if ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1 and hangs > 0").isEmpty():
+            break
         n = e.count()
         near = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = checkpointed(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).withColumn("m", F.least("u", "m")))
@@ -110,9 +113,6 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         low = checkpointed(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")))
         hung = split_join(e, low, "u", "size", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = checkpointed(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
-        if ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1 and hangs > 0").isEmpty():
-            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
