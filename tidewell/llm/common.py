@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,18 +35,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Within it, what runs at once (a checkpoint, a collect) sends at most ``rows`` rows a batch to Python, as a worker
-    holds a few copies of a batch. The session's own setting is put back after. Batches are bounded in bytes in any case, by
-    spark.sql.execution.arrow.maxBytesPerBatch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+# What a batch sent to a Python worker holds at most, unless the session sets limits of its own: a worker keeps a few
+# copies of a batch, and texts can be long.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches bounded by BATCH_LIMITS where neither the session nor its start-up configuration
+    sets them. They stay set, as df may be evaluated at any time."""
+    conf = df.sparkSession.conf
+    given = conf.getAll
+    for key, most in BATCH_LIMITS.items():
+        if key not in given:
+            conf.set(key, most)
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

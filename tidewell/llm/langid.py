@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import bounded
+
 
 # Hash bits of one-, two- and three-character n-grams.
 BITS = (10, 12, 14)
@@ -113,7 +115,7 @@ def fit(docs: DataFrame, sample: int = 3000, least: int = 40, landmarks: int = 9
             packed = [np.packbits(presence([t])[0]).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "bits": packed})
 
-    got = chosen.mapInPandas(bits, "doc_id long, lang string, bits binary").groupBy("doc_id", "lang").agg(F.min("bits").alias("bits"))
+    got = bounded(chosen).mapInPandas(bits, "doc_id long, lang string, bits binary").groupBy("doc_id", "lang").agg(F.min("bits").alias("bits"))
     got = got.toPandas().sort_values(["lang", "doc_id"], kind="stable")
     langs = sorted(set(got["lang"]))
     number = {g: i for i, g in enumerate(langs)}
@@ -139,4 +141,4 @@ def predict(docs: DataFrame, model: Model | None, batch: int = 128) -> DataFrame
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": np.clip(sure, 0, 1)})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(scored, "doc_id long, lang_pred string, score double")
+    return bounded(ids).mapInPandas(scored, "doc_id long, lang_pred string, score double")

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import bounded
+
 
 # The container's element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -233,7 +235,7 @@ def with_media(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [n for n, _ in made], "media": [store(p) for _, p in made]})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(stored, "doc_id long, n_bytes long, media binary")
+    return bounded(ids).mapInPandas(stored, "doc_id long, n_bytes long, media binary")
 
 
 def _read(media: bytes | None) -> tuple[Media, str | None]:
@@ -253,7 +255,7 @@ def packets(media: DataFrame) -> DataFrame:
             rows = [(d, i, *p) for d, b in zip(pdf["doc_id"], pdf["media"]) for i, p in enumerate(_read(b)[0].packets)]
             yield pd.DataFrame(rows, columns=["doc_id", "packet", "track", "timestamp_ns", "key", "lacing", "start", "length"])
 
-    return media.select("doc_id", "media").mapInPandas(read, "doc_id long, packet long, track long, timestamp_ns long, key boolean, lacing string, start long, length long")
+    return bounded(media.select("doc_id", "media")).mapInPandas(read, "doc_id long, packet long, track long, timestamp_ns long, key boolean, lacing string, start long, length long")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -277,4 +279,4 @@ def features(media: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
     shape = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(read, shape)
+    return bounded(media.select("doc_id", "n_bytes", "media")).mapInPandas(read, shape)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import WORDS, bit_array, checkpointed, components, small_batches, split_join, with_bit
+from tidewell.llm.common import WORDS, bit_array, bounded, checkpointed, components, split_join, with_bit
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[str, int] = {}
@@ -199,9 +199,8 @@ def members(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     bands, rows = bands_for(threshold, recall)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("mark", F.xxhash64("text"))
-    signed = texts.mapInPandas(_signer(n, bands, rows), "doc_id long, mark long, n_grams int, set_hash binary, bands array<long>")
-    with small_batches(docs.sparkSession):
-        signed = checkpointed(signed.withColumn("rid", F.monotonically_increasing_id()))
+    signed = bounded(texts).mapInPandas(_signer(n, bands, rows), "doc_id long, mark long, n_grams int, set_hash binary, bands array<long>")
+    signed = checkpointed(signed.withColumn("rid", F.monotonically_increasing_id()))
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("own")
     folded = signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("rid").alias("rid"), own, F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     folded = checkpointed(folded)
@@ -224,8 +223,7 @@ def members(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     pairs = grams.select("rid", "copies", "grams", F.inline("units")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other"), "cut": F.col("blocks") > 1}).drop("other", "blocks")
     pairs = pairs.withColumn("slot", F.when(F.col("cut"), F.xxhash64("unit", "band")).otherwise(F.pmod(F.xxhash64("unit", "band"), F.lit(slots))))
-    with small_batches(docs.sparkSession):
-        found = checkpointed(pairs.groupBy("cut", "slot", "lo", "hi").applyInPandas(_verifier(threshold), "rid long, links long, root long"))
+    found = checkpointed(pairs.groupBy("cut", "slot", "lo", "hi").applyInPandas(_verifier(threshold), "rid long, links long, root long"))
     roots_ = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rid"), "root")
     links = found.groupBy("rid").agg(F.sum("links").alias("links")).join(roots_, "rid").join(folded.select("rid", "own"), "rid")
     links = checkpointed(links)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.common import bounded
+
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -456,12 +458,14 @@ def valid(text: str, span: tuple[int, int, int]) -> bool:
 
 
 def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
-    """(base spans, all spans) per text; a field span that meets a base span is left out."""
+    """(base spans, all spans) per text, some hundred texts at a time; a field span that meets a base span is left out."""
     out = []
-    for text, extra in zip(texts, field_spans(texts, field)):
-        base = base_spans(text)
-        more = [s for s in extra if valid(text, s) and not any(s[0] < b[1] and b[0] < s[1] for b in base)]
-        out.append((base, sorted(base + more, key=lambda s: (s[0], s[2], s[1]))))
+    for lo in range(0, len(texts), 256):
+        part = texts[lo : lo + 256]
+        for text, extra in zip(part, field_spans(part, field)):
+            base = base_spans(text)
+            more = [s for s in extra if valid(text, s) and not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+            out.append((base, sorted(base + more, key=lambda s: (s[0], s[2], s[1]))))
     return out
 
 
@@ -484,7 +488,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             yield made
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(searched, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return bounded(ids).mapInPandas(searched, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -506,7 +510,7 @@ def masked(docs: DataFrame, field: Field) -> DataFrame:
             done = all_spans([t or "" for t in texts], field)
             yield pd.Series([mask(t, every) if every else None for t, (_, every) in zip(texts, done)], dtype=object)
 
-    new = docs.withColumn("__new", F.pandas_udf(replaced, T.StringType())(F.col("text").cast("string")))
+    new = bounded(docs).withColumn("__new", F.pandas_udf(replaced, T.StringType())(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new = new.withColumn("n_chars", F.when(F.col("__new").isNotNull(), F.length("__new").cast(kind)).otherwise(F.col("n_chars")))

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import bounded
+
 FEATURES = (
     "log_words", "word_length", "distinct_words", "top_word", "adjacent_repeats", "odd_signs", "odd_word_ends", "sentence_ends",
     "capitals", "digits", "line_length", "repeated_lines", "distinct_pairs", "short_words", "long_words",
@@ -103,7 +105,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(made)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(measure, MEASURED)
+    return bounded(texts).mapInPandas(measure, MEASURED)
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import chat, hamming, langid, matroska, mixing, ngram_join, packing, pii_crf, pu_quality, toxicity
-from tidewell.llm.common import checkpointed, crc_fold, documents, small_batches
+from tidewell.llm.common import checkpointed, crc_fold, documents
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +104,7 @@ def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), crc_fold("doc_id", 3) == 1
-    with small_batches(spark):
-        rows = checkpointed(pu_quality.measured(docs))
+    rows = checkpointed(pu_quality.measured(docs))
     model = pu_quality.fit(rows, labels(spark, sf_dir).where(~held))
     return pu_quality.score(rows, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 

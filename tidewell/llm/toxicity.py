@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import checkpointed
+from tidewell.llm.common import bounded, checkpointed
 
 # Letters of other scripts that look like Latin ones, and what digits and signs stand for inside words.
 LOOKALIKES = {
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     train = checkpointed(train)
-    counts = train.mapInPandas(_count, "entry string, neg long, pos long").groupBy("entry").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = bounded(train).mapInPandas(_count, "entry string, neg long, pos long").groupBy("entry").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     counts = checkpointed(counts.where("pos > 1 or neg > 2"))
     totals = {int(r["toxic"]): r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
@@ -267,7 +267,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype("int32"), "hits": [h for _, h, _ in out], "words": [w for _, _, w in out]})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(scored, "doc_id long, score double, predicted int, hits long, words long")
+    return bounded(ids).mapInPandas(scored, "doc_id long, score double, predicted int, hits long, words long")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -279,4 +279,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for texts in batches:
             yield pd.Series([lexicon.probability(lexicon.rate(t, m)[0]) < 0.5 for t in texts], dtype=bool)
 
-    return docs.where(F.pandas_udf(clean, T.BooleanType())(F.col("text").cast("string")))
+    return bounded(docs).where(F.pandas_udf(clean, T.BooleanType())(F.col("text").cast("string")))
