@@ -37,7 +37,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 # What a batch sent to a Python worker holds at most, unless the session sets limits of its own: a worker keeps a few
 # copies of a batch, and texts can be long.
-BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def bounded(df: DataFrame) -> DataFrame:

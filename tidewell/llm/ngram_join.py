@@ -44,7 +44,7 @@ def gram_hashes(text: str | None, n: int) -> np.ndarray:
     words = WORDS.findall(text or "")
     if not words:
         return np.empty(0, np.uint64)
-    if len(_cache) > 200_000:
+    if len(_cache) > 50_000:
         _cache.clear()
     ids = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):

@@ -60,7 +60,7 @@ def statistics(text: str | None) -> tuple[list[float], dict[int, float]]:
     pairs = Counter(zip(words, words[1:]))
     odd = len(_ODD.findall(text))
     by_length = Counter(map(len, words))
-    if len(_bucket) > 200_000:
+    if len(_bucket) > 50_000:
         _bucket.clear()
     held: dict[int, float] = {}
     for w, c in count.items():
