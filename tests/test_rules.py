@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import helpers as h
 from tidewell.functions import text as tx
-from tidewell.operators import corpus, evals, events, messages, tables
+from tidewell.operators import corpus, evals, events, messages, retrieval, tables
 from tidewell.sources import files
 
 
@@ -318,12 +318,74 @@ def test_hybrid_fuses_symbols_text_and_cosine(spark):
     assert [(r["path"], r["start_line"], r["lexical"], r["symbol"], r["score"]) for r in got] == sorted(want, key=lambda x: -x[4])
     many = spark.createDataFrame([(f"q{i}", [w]) for i, w in enumerate(("load", "none", "x", "loadall", "zzz"))], "query_id string, terms array<string>")
     for search in (corpus.hybrid_retrieve, corpus.lexical_retrieve):
-        assert sorted(search(many, chunks, block=2).collect(), key=str) == sorted(search(many, chunks).collect(), key=str)
+        assert sorted(search(many, chunks, index=retrieval.build_index(chunks, block=1)).collect(), key=str) == sorted(search(many, chunks).collect(), key=str)
     v = F.when(F.col("path") == "c.go", F.array(F.lit(1.0), F.lit(0.0))).when(F.col("path") == "b.go", F.array(F.lit(-1.0), F.lit(0.0)))
     got = corpus.hybrid_retrieve(q.withColumn("q", F.array(F.lit(2.0), F.lit(0.0))), chunks.withColumn("embedding", v)).orderBy("rank").collect()
     assert [(r["path"], r["start_line"], r["semantic"], r["score"]) for r in got] == [("a.go", 3, 0.0, 0.48), ("b.go", 1, 0.0, 0.45), ("a.go", 1, 0.0, 0.29), ("c.go", 1, 1.0, 0.25)]
 
 
+def test_index_equals_scoring_every_chunk(spark):
+    """Terms inside tokens, across them, in paths and of one letter, with small blocks, against plain counts; and blocks out of
+    reach are not scored."""
+    rng = np.random.default_rng(8)
+    words = ["load", "loader", "x", "re_load", "été", "漢字", "a.b", "->", "Reload", "b", "  ", "(x)"]
+    rows = [(f"dir{i % 5}/f{i // 3}.{'go' if i % 2 else 'été'}", i % 3 + 1, i % 3 + 2, " ".join(rng.choice(words, rng.integers(0, 12))), list(rng.choice(["Load", "x", "Re_loader", "b"], rng.integers(0, 3)))) for i in range(90)]
+    chunks = spark.createDataFrame(rows + [("none", 1, 1, None, None)], "path string, start_line int, end_line int, text string, symbols array<string>")
+    asks = [["load"], ["a.b", "x"], ["->", ") r"], ["été", "dir3", "字"], ["zzz"], ["loader", "load", "re_loader_x"], ["  "], ["o", "o"], []]
+    q = spark.createDataFrame(list(enumerate(asks)), "query_id int, terms array<string>")
+    lex = lambda t, r: 3 * (t in r[0].lower()) + min(5, (r[3] or "").lower().count(t))
+    sym = lambda t, r: sum(4 if s.lower() == t else 2 if t in s.lower() or s.lower() in t else 0 for s in r[4] or [])
+    want = []
+    for i, ask in enumerate(asks):
+        ask = set(ask)
+        a, b = ([sum(f(t, r) for t in ask) for r in rows] for f in (lex, sym))
+        fused = [0.65 * (x / max(a) if max(a) else 0) + 0.35 * (y / max(b) if max(b) else 0) for x, y in zip(a, b)]
+        best = sorted((-round(f, 6), r[0], r[1]) for f, r in zip(fused, rows) if f > 0)[:4]
+        want += [(i, n + 1, *x) for n, x in enumerate(best)]
+    for block in (4,):
+        got = corpus.hybrid_retrieve(q, chunks, 4, retrieval.build_index(chunks, block)).collect()
+        assert sorted((r["query_id"], r["rank"], -r["score"], r["path"], r["start_line"]) for r in got) == want
+    assert all(re.fullmatch(r"lexical=[01]\.\d{3}, symbol=[01]\.\d{3}, semantic=unavailable; lines=\d+-\d+", r["reason"]) for r in got)
+    assert corpus.pack_context(spark.createDataFrame(got), 200).count() == len({r["query_id"] for r in got})
+    # one query for a rare word: of 40 blocks that hold the common one, only those that can reach the best are scored
+    hits = spark.createDataFrame([("l", "common", b, b * 10 + i, 1.0) for b in range(40) for i in range(3)] + [("l", "rare", 7, 70, 5.0)], "kind string, term string, block long, cid long, impact double")
+    terms = spark.createDataFrame([(1, "common"), (1, "rare")], "query_id int, term string")
+    tops = spark.createDataFrame([(1, 6.0, 0.0)], "query_id int, top_lexical double, top_symbol double")
+    assert {r["block"] for r in retrieval.best_chunks(terms, hits, tops, 1, 1.0, 0.0, first=1).collect()} == {7}
+    assert len({r["block"] for r in retrieval.best_chunks(terms, hits, tops, 2, 1.0, 0.0, first=1).collect()}) == 40  # ties with the second stay in
+
+
+def test_decimals_round_as_the_exact_value(spark):
+    xs = [i / 80 for i in range(81)] + [0.0625, 0.3125, 0.56875, 1 / 3, 1.0, 0.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", retrieval.fixed(F.col("x"), 3).alias("a"), retrieval.fixed(F.col("x"), 4).alias("b")).collect()
+    assert all(r["a"] == f"{r['x']:.3f}" and r["b"] == f"{r['x']:.4f}" for r in got)
+
+
+def test_grep_takes_lines_one_by_one(spark):
+    texts = ["one\nfoo bar\nfoo", "foo\n\nbar foo\n", "Straße\nSTRASSE x\nfoo.bar", "a\tb\nab\n aab", ""]
+    f = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    patterns = [r"\Afoo", r"(?<!\s)foo", r"^foo$", r"foo\Z", r"fo+ b", r"(fo){1,2}o", r"(?:ba|fo)[or]+", r"a?b", r"(?=foo)f", r"x|foo", r"\bbar\b", r"a{2}b", r"foo\.bar", r"(a)(b)", r"a\tb", r"^$", r"(?!foo)b"]
+    for p in patterns:
+        want = [(f"p{i}", n + 1) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n")) if re.search(p, line)]
+        assert [(r["path"], r["line_number"]) for r in corpus.grep(f, p).collect()] == want, p
+    assert corpus.required_literals(r"(?<=x)foo(bar|kin)(qu+x)?end") == ["end", "foo"] and corpus.required_literals("(?i)foo") == [] and corpus.required_literals("(") == []
+    assert corpus.required_literals(r"a(bc)+d") == ["bc", "a", "d"]
+    assert corpus.grep(f, "a\nb", literal=True).count() == 0 and [r["line_number"] for r in corpus.grep(f, "strasse", case_sensitive=False).collect()] == [2]
+
+
+def test_metadata_patches_of_a_thread_are_folded(spark):
+    t = spark.createDataFrame([("t", "u", '{"a": 1}'), ("s", None, None), ("r", "u", '{"z": 1}')], "thread_id string, user_id string, metadata string")
+    p = spark.createDataFrame([("t", "u", '{"b": 1, "c": [1]}', 1), ("t", None, '{"b": 2.5}', 2), ("t", "other", '{"b": 9}', 3), ("s", "u", '{"x": 1}', 1), ("s", None, '{"y": null}', 2)], "thread_id string, user_id string, metadata string, pos int")
+    got = {r["thread_id"]: r["metadata"] and json.loads(r["metadata"]) for r in events.merge_metadata(t, p).collect()}
+    assert got == {"t": {"a": 1, "b": 2.5, "c": [1]}, "s": {"y": None}, "r": {"z": 1}}
+
+
+def test_run_summary_takes_the_lead_agent_only(spark):
+    rows = [("r", 1, False, "sub", "subagent:a"), ("r", 2, False, "hi", "lead_agent"), ("r", 3, True, " answer \n", None), ("r", 4, True, "   ", "lead_agent"), ("r", 5, True, "inner", "subagent:a"), ("s", 1, True, "x", "middleware:b")]
+    e = spark.createDataFrame([(*r, "message") for r in rows], "run_id string, seq int, is_ai boolean, content string, caller string, category string")
+    assert sorted(tuple(r) for r in events.run_message_summary(e).collect()) == [("r", 5, "hi", "answer"), ("s", 1, None, None)]
+
+
 def test_semantic_takes_every_fiftieth_row_in_blocks(spark, tmp_path):
     from tidewell.plans import registry
 

@@ -237,15 +237,20 @@ def feedback_list(feedback: DataFrame, key: str = "thread_id", limit: int = 100)
 
 
 def merge_metadata(threads: DataFrame, patches: DataFrame) -> DataFrame:
-    """Thread metadata (JSON) with the patches' keys written over it, values of any type kept as they are. A patch counts
-    if it comes from the thread's owner or names no user; a thread without an owner takes only the latter."""
+    """Thread metadata (JSON) with the patches' keys written over it, values of any type kept as they are: one row a thread.
+
+    A patch counts if it comes from the thread's owner or names no user; a thread without an owner takes only the latter. The
+    patches of a thread (with pos, where they have an order; else by user and text) are applied one after the other: of
+    each key the last value stays. Keys are folded as rows, so no thread's patches are held as a list."""
     as_map = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    p = patches.select("thread_id", F.col("user_id").alias("by"), F.col("metadata").alias("patch"))
-    j = threads.join(p, "thread_id", "left")
-    ok = F.col("patch").isNotNull() & (F.col("by").isNull() | F.coalesce(F.col("user_id") == F.col("by"), F.lit(False)))
-    old, new = as_map("metadata"), as_map("patch")
-    merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
-    return j.withColumn("metadata", F.when(ok, F.to_json(merged)).otherwise(F.col("metadata"))).select(*threads.columns)
+    order = ["pos"] if "pos" in patches.columns else []
+    p = patches.select("thread_id", F.col("user_id").alias("by"), F.struct(*order, "user_id", "metadata").alias("at"), F.explode(as_map("metadata")).alias("k", "v"))
+    p = p.join(threads.select("thread_id", F.col("user_id").alias("owner")), "thread_id").where("by is null or owner = by")
+    p = p.groupBy("thread_id", "k").agg(F.max_by(F.to_json("v"), "at").alias("v"))
+    new = p.groupBy("thread_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: F.struct(x["k"], F.parse_json(x["v"])))).alias("new"))
+    j = threads.join(new, "thread_id", "left")
+    merged = F.map_concat(F.map_filter(as_map("metadata"), lambda k, _: ~F.array_contains(F.map_keys("new"), k)), F.col("new"))
+    return j.withColumn("metadata", F.when(F.col("new").isNotNull(), F.to_json(merged)).otherwise(F.col("metadata"))).select(*threads.columns)
 
 
 def messages_with_feedback(events: DataFrame, feedback: DataFrame, runs: DataFrame) -> DataFrame:
@@ -259,12 +264,16 @@ def messages_with_feedback(events: DataFrame, feedback: DataFrame, runs: DataFra
     return j.select("thread_id", "run_id", "seq", F.when(F.col("last"), F.col("rating")).alias("rating"), F.when(F.col("is_ai"), F.col("seconds")).alias("seconds"))
 
 
-def run_message_summary(events: DataFrame, cut: int = 2000) -> DataFrame:
-    """Per run: message count, the first human text and the last non-empty response text, each cut."""
+def run_message_summary(events: DataFrame, cut: int = 2000, lead: str = "lead_agent") -> DataFrame:
+    """Per run: message count, the first human text that was put to the lead agent and the lead agent's last non-empty
+    response, each cut. Messages of other callers (subagents, middleware) count, but their texts are passed over; a
+    response without a caller is the lead agent's."""
     m = events.where("category = 'message'")
-    human, ai = ~F.col("is_ai") & (F.col("content") != ""), F.col("is_ai") & (F.col("content") != "")
+    human = ~F.col("is_ai") & (F.col("content") != "") & (F.col("caller") == lead)
+    text = F.regexp_replace("content", r"(?U)^\s+|\s+$", "")
+    ai = F.col("is_ai") & (text != "") & (F.col("caller").isNull() | (F.col("caller") == lead))
     return m.groupBy("run_id").agg(
         F.count("*").alias("message_count"),
         F.left(F.min_by(F.when(human, F.col("content")), F.when(human, F.col("seq"))), F.lit(cut)).alias("first_human"),
-        F.left(F.max_by(F.when(ai, F.col("content")), F.when(ai, F.col("seq"))), F.lit(cut)).alias("last_ai"),
+        F.left(F.max_by(F.when(ai, text), F.when(ai, F.col("seq"))), F.lit(cut)).alias("last_ai"),
     )

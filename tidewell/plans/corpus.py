@@ -31,6 +31,12 @@ def grep_literal(spark, sf_dir):
     return ops.grep(frame(spark, sf_dir, "files"), "@MAIL1.", literal=True, case_sensitive=False, limit=50)
 
 
+@query("b9_grep_line_anchored", over("files", r"SELECT path, line_number::INT AS line_number, left(line, 200) AS line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM files) WHERE regexp_matches(line, '^[A-Za-z]+ [a-z]+ing\b') AND length(line) <= 2000 ORDER BY path, line_number LIMIT 300"))
+def grep_line_anchored(spark, sf_dir):
+    """Matches at the beginnings of lines by anchor and lookbehind, which a search of whole files would not find."""
+    return ops.grep(frame(spark, sf_dir, "files"), r"\A(?<!\s)[A-Za-z]+ [a-z]+ing\b", limit=300)
+
+
 @query("b10_glob", over("files", "WITH m AS (SELECT path FROM files WHERE path LIKE 'src1%/3/%.de' OR path LIKE 'src1/3/%.de') SELECT path, (SELECT count(*) FROM m) > 5 AS truncated FROM m ORDER BY path LIMIT 5"))
 def glob(spark, sf_dir):
     return ops.glob(frame(spark, sf_dir, "files"), "src1*/3/*.de", 5)
@@ -228,35 +234,40 @@ def chunk_lines(spark, sf_dir):
     return ops.chunk_lines(frame(spark, sf_dir, "files"), 6, 2)
 
 
-TERMS = {"q1": ["the", "tion", "src1"], "q2": ["mente", "que"], "q3": ["ich", "und"]}
-
+def _query_rows(spark, sf_dir):
+    """Every fiftieth document asks for the eight longest of its terms."""
+    longest = F.slice(F.array_sort(F.transform(tx.tokenize("text"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("term")))), 1, 8)
+    return docs(spark, sf_dir).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.transform(longest, lambda x: x["term"]).alias("terms"))
 
-def _query_rows(spark):
-    return spark.createDataFrame([(q, t) for q, t in TERMS.items()], "query_id string, terms array<string>")
 
-
-LEXICAL = """l AS (SELECT path, 1 AS start_line, lower(path) AS p, lower(text) AS t FROM files), q(query_id, term) AS (VALUES ('q1', 'the'), ('q1', 'tion'), ('q1', 'src1'), ('q2', 'mente'), ('q2', 'que'), ('q3', 'ich'), ('q3', 'und')),
-s AS (SELECT query_id, path, start_line, sum(CASE WHEN contains(p, term) THEN 3 ELSE 0 END + least(5, (length(t) - length(replace(t, term, ''))) / length(term))) AS score FROM l CROSS JOIN q GROUP BY 1, 2, 3 HAVING score > 0),
+ASKED = "q AS (SELECT doc_id AS query_id, unnest(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'), lambda x: {'n': -length(x), 'term': lower(x)})))[1:8]).term AS term FROM documents WHERE doc_id % 50 = 0)"
+LEXICAL = f"""l AS (SELECT path, 1 AS start_line, lower(path) AS p, lower(text) AS t FROM files), {ASKED}, u AS (SELECT DISTINCT term FROM q),
+h AS (SELECT term, path, start_line, CASE WHEN contains(p, term) THEN 3 ELSE 0 END + least(5, (length(t) - length(replace(t, term, ''))) / length(term)) AS s FROM l CROSS JOIN u WHERE contains(p, term) OR contains(t, term)),
+s AS (SELECT query_id, path, start_line, sum(s) AS score FROM h JOIN q USING (term) GROUP BY 1, 2, 3 HAVING score > 0),
 n AS (SELECT query_id, path, start_line::INT AS start_line, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line)::INT AS rank FROM n)"""
 
 
 @query("g7_lexical_retrieve", over("files", f"WITH {LEXICAL} SELECT * FROM r WHERE rank <= 5"))
 def lexical_retrieve(spark, sf_dir):
     chunks = frame(spark, sf_dir, "files").withColumn("start_line", F.lit(1))
-    return ops.lexical_retrieve(_query_rows(spark), chunks)
+    return ops.lexical_retrieve(_query_rows(spark, sf_dir), chunks)
 
 
 def _hybrid(cosine: bool) -> str:
     fused = "0.45 * lexical + 0.30 * symbol + 0.25 * semantic" if cosine else "0.65 * lexical + 0.35 * symbol"
-    near = "coalesce((SELECT greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))) FROM embeddings a, embeddings b WHERE a.vec_id = v AND b.vec_id = doc_id), 0)" if cosine else "0.0"
+    near = "greatest(0, least(1, coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)))" if cosine else "0.0"
+    vectors = "LEFT JOIN embeddings a ON a.vec_id = query_id LEFT JOIN embeddings b ON b.vec_id = doc_id" if cosine else ""
+    told = "printf('%.3f', semantic)" if cosine else "'unavailable'"
     return f"""WITH src AS (SELECT path, doc_id, 'func the_' || (doc_id % 7) || '(x) {{' || chr(10) || text || chr(10) || 'func Que() {{' AS text FROM files), l AS (SELECT path, doc_id, string_split(text, chr(10)) AS ls FROM src), s AS (SELECT *, unnest(range(0, greatest(0, ceil((len(ls) - 6) / 4.0))::BIGINT + 1)) * 4 + 1 AS st FROM l),
-c AS (SELECT path, doc_id, st::INT AS start_line, least(st + 5, len(ls))::INT AS end_line, lower(path) AS p, lower(array_to_string(ls[st:st + 5], chr(10))) AS t, CASE WHEN st = 1 THEN ['the_' || (doc_id % 7)] ELSE [] END || CASE WHEN st + 5 >= len(ls) THEN ['que'] ELSE [] END AS syms FROM s),
-q(query_id, v, term) AS (VALUES ('q1', 0, 'the'), ('q1', 0, 'tion'), ('q1', 0, 'src1'), ('q2', 1, 'mente'), ('q2', 1, 'que'), ('q3', 2, 'ich'), ('q3', 2, 'und')),
-x AS (SELECT query_id, v, path, doc_id, start_line, end_line, sum(CASE WHEN contains(p, term) THEN 3 ELSE 0 END + least(5, (length(t) - length(replace(t, term, ''))) / length(term))) AS lex, sum(list_sum(list_transform(syms || [''], lambda y: CASE WHEN y = '' THEN 0 WHEN y = term THEN 4 WHEN contains(y, term) OR contains(term, y) THEN 2 ELSE 0 END))) AS sym FROM c CROSS JOIN q GROUP BY ALL),
+c AS (SELECT path, doc_id, st::INT AS start_line, least(st + 5, len(ls))::INT AS end_line, array_to_string(ls[st:st + 5], chr(10)) AS text, CASE WHEN st = 1 THEN ['the_' || (doc_id % 7)] ELSE [] END || CASE WHEN st + 5 >= len(ls) THEN ['que'] ELSE [] END AS syms FROM s),
+w AS (SELECT *, lower(path) AS p, lower(text) AS t FROM c), {ASKED}, u AS (SELECT DISTINCT term FROM q),
+h AS (SELECT term, path, start_line, CASE WHEN contains(p, term) THEN 3 ELSE 0 END + least(5, (length(t) - length(replace(t, term, ''))) / length(term)) AS lex, list_sum(list_transform(syms || [''], lambda y: CASE WHEN y = '' THEN 0 WHEN y = term THEN 4 WHEN contains(y, term) OR contains(term, y) THEN 2 ELSE 0 END)) AS sym FROM w CROSS JOIN u),
+x AS (SELECT query_id, path, start_line, sum(lex) AS lex, sum(sym) AS sym FROM (SELECT * FROM h WHERE lex > 0 OR sym > 0) JOIN q USING (term) GROUP BY 1, 2, 3),
 m AS (SELECT query_id, max(lex) AS ml, max(sym) AS ms FROM x GROUP BY 1),
-n AS (SELECT query_id, path, start_line, end_line, CASE WHEN ml > 0 THEN lex / ml ELSE 0 END AS lexical, CASE WHEN ms > 0 THEN sym / ms ELSE 0 END AS symbol, {near} AS semantic FROM x JOIN m USING (query_id)),
-f AS (SELECT query_id, path, start_line, end_line, round(lexical, 6) AS lexical, round(symbol, 6) AS symbol, round(semantic, 6)::DOUBLE AS semantic, round({fused}, 6) AS score FROM n WHERE {fused} > 0)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line)::INT AS rank FROM f QUALIFY rank <= 5"""
+e AS (SELECT query_id, path, doc_id, start_line, end_line, text, coalesce(lex, 0) AS lex, coalesce(sym, 0) AS sym, coalesce(ml, 0) AS ml, coalesce(ms, 0) AS ms FROM (SELECT DISTINCT query_id FROM q) CROSS JOIN c LEFT JOIN x USING (query_id, path, start_line) LEFT JOIN m USING (query_id)),
+n AS (SELECT query_id, path, start_line, end_line, text, CASE WHEN ml > 0 THEN lex / ml ELSE 0 END AS lexical, CASE WHEN ms > 0 THEN sym / ms ELSE 0 END AS symbol, {near} AS semantic FROM e {vectors}),
+f AS (SELECT query_id, path, start_line, end_line, round(lexical, 6) AS lexical, round(symbol, 6) AS symbol, round(semantic, 6)::DOUBLE AS semantic, round({fused}, 6) AS score, 'lexical=' || printf('%.3f', lexical) || ', symbol=' || printf('%.3f', symbol) || ', semantic=' || {told} || '; lines=' || start_line || '-' || end_line AS reason, text FROM n WHERE {fused} > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line)::INT AS rank FROM f QUALIFY rank <= 5)"""
 
 
 def _chunks_with_symbols(spark, sf_dir):
@@ -265,18 +276,24 @@ def _chunks_with_symbols(spark, sf_dir):
     return f, ops.chunk_lines(f.withColumn("symbols", h.extract_symbols("text", F.lit("go"))), 6, 2)
 
 
-@query("g7_hybrid_retrieve", over("files", _hybrid(True)))
-def hybrid_retrieve(spark, sf_dir):
-    e = frame(spark, sf_dir, "embeddings")
+def _hits(spark, sf_dir, cosine: bool):
     f, chunks = _chunks_with_symbols(spark, sf_dir)
-    held = f.select("path", "doc_id").join(e, F.col("doc_id") == F.col("vec_id")).select("path", "embedding")
-    q = _query_rows(spark).withColumn("v", F.substring("query_id", 2, 1).cast("long") - 1).join(e.where("vec_id < 3").select(F.col("vec_id").alias("v"), F.col("embedding").alias("q")), "v", "left")
-    return ops.hybrid_retrieve(q, chunks.join(held, "path", "left"))
+    q = _query_rows(spark, sf_dir)
+    if cosine:
+        e = frame(spark, sf_dir, "embeddings")
+        q = q.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id", "left")
+        chunks = chunks.join(f.select("path", "doc_id").join(e, F.col("doc_id") == F.col("vec_id")).select("path", "embedding"), "path", "left")
+    return ops.hybrid_retrieve(q, chunks)
+
+
+@query("g7_hybrid_retrieve", over("files", _hybrid(True) + " SELECT * FROM r"))
+def hybrid_retrieve(spark, sf_dir):
+    return _hits(spark, sf_dir, True)
 
 
-@query("g7_hybrid_lexical_symbol", over("files", _hybrid(False)))
+@query("g7_hybrid_lexical_symbol", over("files", _hybrid(False) + " SELECT * FROM r"))
 def hybrid_lexical_symbol(spark, sf_dir):
-    return ops.hybrid_retrieve(_query_rows(spark), _chunks_with_symbols(spark, sf_dir)[1])
+    return _hits(spark, sf_dir, False)
 
 
 @query(
@@ -303,18 +320,17 @@ def semantic_retrieve_fiftieth(spark, sf_dir):
     "f11_pack_context",
     over(
         "files",
-        f"""WITH {LEXICAL}, w AS (SELECT query_id, rank, '<code_chunk path="' || path || '" lines="1-' || len(string_split(f.text, chr(10))) || '" score="' || printf('%.4f', score) || '" reason="lexical">' || chr(10) AS head, left(f.text, 6000) AS s FROM r JOIN files f USING (path) WHERE rank <= 5),
-u AS (SELECT *, 8000 - 50 - coalesce(sum(length(head) + length(s) + 15) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length(head) - 15 AS room FROM w),
-p AS (SELECT *, left(s, greatest(room, 0)::INT) AS part FROM u), e AS (SELECT *, room <= 0 OR trim(part, ' ' || chr(10)) = '' AS ends FROM p),
-k AS (SELECT *, NOT ends AND NOT coalesce(bool_or(ends) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS taken FROM e),
+        _hybrid(False)
+        + """, w0 AS (SELECT query_id, rank, '<code_chunk path="' || path || '" lines="' || start_line || '-' || end_line || '" score="' || printf('%.4f', score) || '" reason="' || reason || '">' || chr(10) AS head, left(text, 6000) AS s FROM r),
+u0 AS (SELECT *, 8000 - 50 - coalesce(sum(length(head) + length(s) + 15) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length(head) - 15 AS room FROM w0),
+p AS (SELECT *, left(s, greatest(room, 0)::INT) AS part FROM u0), z AS (SELECT *, room <= 0 OR trim(part, ' ' || chr(10)) = '' AS ends FROM p),
+k AS (SELECT *, NOT ends AND NOT coalesce(bool_or(ends) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS taken FROM z),
 g AS (SELECT query_id, '<retrieved_code_context>' || chr(10) || coalesce(string_agg(head || part || chr(10) || '</code_chunk>' || chr(10), '' ORDER BY rank) FILTER (taken), '') || '</retrieved_code_context>' AS prompt, count(*) FILTER (taken)::INT AS chunks, coalesce(bool_or(taken AND length(part) < length(s)), false) OR count(*) FILTER (taken) < count(*) AS truncated FROM k GROUP BY 1)
 SELECT query_id, prompt, chunks, greatest(1, length(prompt) // 4)::INT AS estimated_tokens, truncated FROM g""",
     ),
 )
 def pack_context(spark, sf_dir):
-    files = frame(spark, sf_dir, "files").withColumn("start_line", F.lit(1))
-    hits = ops.lexical_retrieve(_query_rows(spark), files).join(files.select("path", "text"), "path")
-    return ops.pack_context(hits.withColumns({"end_line": F.size(F.split("text", "\n")), "reason": F.lit("lexical")}), 2000)
+    return ops.pack_context(_hits(spark, sf_dir, False), 2000)
 
 
 @query(

@@ -130,9 +130,12 @@ def tokens_by_model(spark, sf_dir):
     return ops.tokens_by_model(frame(spark, sf_dir, "runs"))
 
 
-@query("e12_run_message_summary", over("run_events", "SELECT run_id, count(*) AS message_count, min_by(content, seq) FILTER (event_type <> 'click') AS first_human, max_by(content, seq) FILTER (event_type = 'click') AS last_ai FROM run_events WHERE category = 'message' GROUP BY 1"))
+CALLER = "CASE event_id % 4 WHEN 0 THEN 'lead_agent' WHEN 1 THEN 'subagent:a' WHEN 2 THEN NULL ELSE 'middleware:b' END"
+
+
+@query("e12_run_message_summary", over("run_events", f"SELECT run_id, count(*) AS message_count, min_by(content, seq) FILTER (event_type <> 'click' AND caller = 'lead_agent') AS first_human, max_by(content, seq) FILTER (event_type = 'click' AND coalesce(caller, 'lead_agent') = 'lead_agent') AS last_ai FROM (SELECT *, {CALLER} AS caller FROM run_events) WHERE category = 'message' GROUP BY 1"))
 def run_message_summary(spark, sf_dir):
-    return ops.run_message_summary(frame(spark, sf_dir, "run_events").withColumn("is_ai", F.col("event_type") == "click"))
+    return ops.run_message_summary(frame(spark, sf_dir, "run_events").withColumns({"is_ai": F.col("event_type") == "click", "caller": F.expr(CALLER)}))
 
 
 @query("e14_feedback_by_run", over("feedback", "SELECT run_id, count(*) AS total, count(*) FILTER (rating = 1) AS positive, count(*) FILTER (rating = -1) AS negative FROM feedback GROUP BY 1"))
@@ -250,6 +253,17 @@ def messages_with_feedback(spark, sf_dir):
     return ops.messages_with_feedback(e, ops.upsert_feedback(frame(spark, sf_dir, "feedback")), frame(spark, sf_dir, "runs"))
 
 
+@query(
+    "i5_merge_metadata_in_order",
+    over("threads", """SELECT thread_id, '{"k":' || regexp_extract(metadata, '([0-9]+)', 1) || ',"n":3,"once":' || CASE WHEN thread_id LIKE '%1' THEN 'true' ELSE 'null' END || ',"what":"2"}' AS metadata FROM threads"""),
+)
+def merge_metadata_in_order(spark, sf_dir):
+    """Three patches a thread, the second without the key that the first sets, the last one over both."""
+    t = frame(spark, sf_dir, "threads").withColumn("pos", F.explode(F.array(F.lit(3), F.lit(1), F.lit(2))))
+    patch = F.when(F.col("pos") == 1, F.when(F.col("thread_id").endswith("1"), '{"n": 1, "once": true}').otherwise('{"n": 1, "once": null}')).when(F.col("pos") == 2, '{"n": [2], "what": "2"}').otherwise('{"n": 3}')
+    return ops.merge_metadata(frame(spark, sf_dir, "threads"), t.select("thread_id", "user_id", "pos", patch.alias("metadata"))).select("thread_id", "metadata")
+
+
 @query(
     "i5_merge_metadata",
     over("threads", """SELECT thread_id, CASE WHEN thread_id LIKE '%1' AND (user_id = 'u1' OR thread_id LIKE '%11') THEN '{"k":' || regexp_extract(metadata, '([0-9]+)', 1) || ',"none":null,"pinned":true,"tags":["a",{"x":1.5}]}' ELSE metadata END AS metadata FROM threads"""),
