@@ -96,16 +96,68 @@ def test_quantiles_are_exact(spark):
     assert tables.quantiles(df.where("1 = 0"), "k", "v").count() == 0
 
 
-def test_repeated_batches_change_nothing(spark, tmp_path):
+def _fed(spark, tmp_path, make, batches, schema):
+    """What a keyed stream puts out over files that come one after the other, with a restart and its last batch repeated."""
+    import datetime
+    import glob
+    import os
+
+    from tidewell.streaming import jobs
+
+    src, to = f"{tmp_path}/src", f"{tmp_path}/to"
+    run = lambda: jobs.drain(make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)), to)
+    at = lambda sec: datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=sec)
+    put = lambda rows: spark.createDataFrame([(*r[:-1], at(r[-1])) for r in rows], schema).coalesce(1).write.mode("append").parquet(src)
+    for rows in batches[:-1]:
+        put(rows)
+        run()
+    put(batches[-1])
+    first = sorted(map(str, run().drop("batch_id").collect()))
+    last = max(glob.glob(f"{to}/state/commits/[0-9]*"), key=lambda f: int(os.path.basename(f)))
+    os.remove(last)  # as if the job had died before it could note that the batch was done
+    for crc in glob.glob(f"{os.path.dirname(last)}/.{os.path.basename(last)}.crc"):
+        os.remove(crc)
+    again = run().drop("batch_id")
+    assert sorted(map(str, again.collect())) == first
+    return again.collect()
+
+
+def test_numbers_go_on_and_repeated_batches_change_nothing(spark, tmp_path):
+    from tidewell.streaming import jobs
+
+    batches = [[("a", 2, 0), ("a", 1, 0), ("b", 1, 0)], [("a", 3, 0), ("c", 9, 0), ("c", 8, 0)], [("b", 2, 0)]]
+    got = _fed(spark, tmp_path, jobs.stream_numbered, batches, "thread_id string, pos long, created_at timestamp")
+    assert sorted((r["thread_id"], r["pos"], r["seq"]) for r in got) == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1), ("b", 2, 2), ("c", 8, 1), ("c", 9, 2)]
+
+
+def test_debounce_puts_each_session_out_once(spark, tmp_path):
+    from tidewell.streaming import jobs
+
+    u = lambda agent, text, c, r, at: ("t", "u", agent, text, c, r, at)
+    batches = [
+        [u("x", "one", False, False, 0), u("x", "two", True, False, 20), u(None, "lead", False, True, 5)],
+        [u("x", "late", False, True, 35), u("x", "between", False, False, 25), u("y", "other", False, False, 50)],  # a timer moved on, a late update
+        [u("z", "far", False, False, 200)],  # the watermark passes all others
+        [u("z", "end", False, False, 1000)],
+    ]
+    got = _fed(spark, tmp_path, lambda s: jobs.stream_memory_debounce(s, "30 seconds"), batches, "thread_id string, user_id string, agent string, content string, correction boolean, reinforcement boolean, created_at timestamp")
+    assert sorted((r["agent"], r["start"].minute * 60 + r["start"].second, r["transcript"], r["correction"], r["reinforcement"], r["updates"]) for r in got) == [
+        ("", 5, "lead", False, True, 1), ("x", 0, "late", True, True, 4), ("y", 50, "other", False, False, 1), ("z", 200, "far", False, False, 1),
+    ]
+
+
+def test_guards_keep_state_by_tool_and_message(spark, tmp_path):
     from tidewell.streaming import jobs
 
-    write = jobs.append_with_seq(f"{tmp_path}/out")
-    batch = lambda *xs: spark.createDataFrame([(t, p, 0) for t, p in xs], "thread_id string, pos long, seq long")
-    first, second = batch(("a", 1), ("a", 2), ("b", 1)), batch(("a", 3), ("c", 1))
-    for number, rows in ((0, first), (0, first), (1, second), (1, second)):
-        write(rows, number)
-    got = sorted((r["thread_id"], r["pos"], r["seq"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert got == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1), ("c", 1, 1)]
+    call = lambda turn, name, h_, at: ("t", turn, name, h_, at)
+    batches = [[call(1, "a", "h", 0), call(2, None, "h", 1)], [call(3, "a", "h", 2), call(4, "a", "i", 3)], [call(5, "b", "h", 9_000), call(6, "a", "h", 9_001)], [call(7, "a", "h", 30_000)], [call(8, "a", "h", 30_001)]]
+    got = _fed(spark, f"{tmp_path}/calls", lambda s: jobs.stream_loop_guard(s, 20, 3, 5, 2, 4, 3_600_000), batches, "thread_id string, turn long, name string, hash string, created_at timestamp")
+    # after turn 6 the thread is idle: its state goes with the watermark, so turn 8 begins anew after 7 moved that on
+    assert [(r["turn"], r["call_state"], r["tool_state"]) for r in sorted(got, key=lambda r: r["turn"])][:6] == [(1, "ok", "ok"), (2, "ok", "ok"), (3, "warn", "warn"), (4, "ok", "ok"), (5, "ok", "ok"), (6, "hard", "hard")]
+    use = lambda m, total, pos, at: ("r", m, total, pos, at)
+    batches = [[use("m", 50, 1, 0), use("m", 70, 2, 1)], [use("n", 20, 3, 2), use("m", 60, 4, 3)], [use("m", None, 5, 4), use(None, 40, 6, 5)]]
+    got = _fed(spark, f"{tmp_path}/use", lambda s: jobs.stream_budget_guard(s, 100), batches, "run_id string, message_id string, total_tokens long, pos long, created_at timestamp")
+    assert [(r["pos"], r["used"], r["state"]) for r in sorted(got, key=lambda r: r["pos"])] == [(1, 50, "ok"), (2, 70, "ok"), (3, 90, "warn"), (4, 90, "ok"), (5, 90, "ok"), (6, 130, "hard")]
 
 
 def test_grep_folds_letters_of_all_scripts(spark):

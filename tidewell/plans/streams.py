@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.plans.registry import query
+from tidewell.sources.shared import shared_folder
 from tidewell.streaming import jobs
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder for a stream's state and output under spark.checkpoint.dir, or a temporary one in local sessions."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's state and output, shared by driver and executors."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +49,8 @@ def stream_events(spark, sf_dir):
 
 @query("s1_append_with_seq", BASE + " SELECT thread_id, event_id, row_number() OVER (PARTITION BY thread_id ORDER BY event_id) AS seq FROM b")
 def append_with_seq(spark, sf_dir):
-    to = folder(spark)
-    e = live_events(spark, sf_dir).withColumns({"pos": F.col("event_id"), "seq": F.lit(0)})
-    e.writeStream.option("checkpointLocation", f"{to}/state").foreachBatch(jobs.append_with_seq(f"{to}/out")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{to}/out").select("thread_id", "event_id", "seq")
+    e = live_events(spark, sf_dir).select("thread_id", "event_id", F.col("event_id").alias("pos"), F.lit(0).alias("seq"))
+    return jobs.drain(jobs.stream_numbered(e), folder(spark)).select("thread_id", "event_id", "seq")
 
 
 def live_responses(spark, sf_dir):
@@ -81,13 +74,14 @@ def stream_progress(spark, sf_dir):
 @query(
     "s4_stream_memory_debounce",
     BASE
-    + """, g AS (SELECT *, CASE WHEN created_at < lag(created_at) OVER w + INTERVAL 600 SECOND THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY thread_id, user_id ORDER BY created_at)), i AS (SELECT *, sum(new) OVER (PARTITION BY thread_id, user_id ORDER BY created_at) AS island FROM g)
-SELECT thread_id, user_id, min(created_at) AS start, max_by(event_id::VARCHAR, created_at) AS transcript, bool_or(k % 9 = 0) AS correction, bool_or(k % 7 = 0) AS reinforcement, count(*) AS updates FROM i GROUP BY thread_id, user_id, island
-HAVING max(created_at) + INTERVAL 600 SECOND <= (SELECT date_trunc('millisecond', max(created_at)) FROM b) - INTERVAL 600 SECOND""",
+    + """, a AS (SELECT *, CASE WHEN k % 3 > 0 THEN 'agent' || k % 2 ELSE '' END AS agent FROM b), g AS (SELECT *, CASE WHEN created_at < lag(created_at) OVER w + INTERVAL 7200 SECOND THEN 0 ELSE 1 END AS new FROM a WINDOW w AS (PARTITION BY thread_id, user_id, agent ORDER BY created_at)), i AS (SELECT *, sum(new) OVER (PARTITION BY thread_id, user_id, agent ORDER BY created_at) AS island FROM g)
+SELECT thread_id, user_id, agent, min(created_at) AS start, max_by(event_id::VARCHAR, created_at) AS transcript, bool_or(k % 9 = 0) AS correction, bool_or(k % 7 = 0) AS reinforcement, count(*) AS updates FROM i GROUP BY thread_id, user_id, agent, island
+HAVING max(created_at) + INTERVAL 7200 SECOND <= (SELECT date_trunc('millisecond', max(created_at)) FROM b) - INTERVAL 7200 SECOND""",
 )
 def stream_memory_debounce(spark, sf_dir):
-    u = live_events(spark, sf_dir).select("thread_id", "user_id", F.col("event_id").cast("string").alias("content"), (F.col("k") % 9 == 0).alias("correction"), (F.col("k") % 7 == 0).alias("reinforcement"), "created_at")
-    return jobs.drain(jobs.stream_memory_debounce(u, "600 seconds"), folder(spark)).drop("batch_id")
+    agent = F.when(F.col("k") % 3 > 0, F.concat(F.lit("agent"), (F.col("k") % 2).cast("string")))
+    u = live_events(spark, sf_dir).select("thread_id", "user_id", agent.alias("agent"), F.col("event_id").cast("string").alias("content"), (F.col("k") % 9 == 0).alias("correction"), (F.col("k") % 7 == 0).alias("reinforcement"), "created_at")
+    return jobs.drain(jobs.stream_memory_debounce(u, "7200 seconds"), folder(spark)).drop("batch_id")
 
 
 @query(

@@ -8,18 +8,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewell.functions import helpers as h
-from tidewell.operators import events as ev
 
 GUARD = "thread_id string, turn long, hash string, name string, call_state string, tool_state string"
 BUDGET = "run_id string, message_id string, pos long, used long, state string"
 
 
+def _rocksdb(df: DataFrame) -> None:
+    """Keyed state with maps and timers needs the RocksDB store: take it where the session names none."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if key not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def stream_events(events: DataFrame, cap: int = 10_240) -> DataFrame:
     """Events with trace contents cut at ``cap`` bytes, once per (thread, run, seq). Only oversized rows meet Python."""
     e = events.withWatermark("created_at", "1 hour").dropDuplicatesWithinWatermark(["thread_id", "run_id", "seq"])
@@ -27,21 +35,28 @@ def stream_events(events: DataFrame, cap: int = 10_240) -> DataFrame:
     return e.withColumn("original_byte_length", F.when(big, F.octet_length("content"))).withColumn("content", F.when(big, h.truncate_bytes("content", F.lit(cap))["content"]).otherwise(F.col("content")))
 
 
-def append_with_seq(target: str):
-    """foreachBatch function that numbers a batch's events after the thread's highest seq so far and writes them to ``target``.
+class _Counter(StatefulProcessor):
+    """Numbers a thread's rows after those it has had: one counter a thread."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.top = handle.getValueState("top", "top long")
 
-    A batch overwrites its own partition (batch_id=N), so a repeated one changes nothing, and leaves each thread's highest
-    seq in ``target-tops/N`` for the next: the events written before are never read again. Batches count from 0, and one
-    whose predecessor left no tops fails."""
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        top = self.top.get()[0] if self.top.exists() else 0
+        pdf["seq"] = np.arange(top + 1, top + 1 + len(pdf))
+        self.top.update((top + len(pdf),))
+        yield pdf
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{target}-tops/{batch_id - 1}") if batch_id else spark.createDataFrame([], "thread_id string, seq long")
-        ev.assign_seq(batch.drop("seq"), before).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-        made = spark.read.parquet(f"{target}/batch_id={batch_id}").select("thread_id", F.col("seq").cast("long").alias("seq"))
-        before.unionByName(made).groupBy("thread_id").agg(F.max("seq").alias("seq")).write.mode("overwrite").parquet(f"{target}-tops/{batch_id}")
 
-    return write
+def stream_numbered(events: DataFrame) -> DataFrame:
+    """Events (thread_id, pos, ...) with seq: each batch's events of a thread, in the order of pos, numbered on from the thread's
+    highest seq. State is one number a thread, so a batch costs what it holds, however many threads there were; a thread's
+    events of one batch are sorted in one task. A repeated batch finds the counters as they were before it."""
+    kept = events.drop("seq")
+    _rocksdb(events)
+    shape = T.StructType([*kept.schema.fields, T.StructField("seq", T.LongType())])
+    return kept.groupBy("thread_id").transformWithStateInPandas(_Counter(), shape, "append", "none")
 
 
 def stream_token_usage(responses: DataFrame) -> DataFrame:
@@ -56,73 +71,185 @@ def stream_progress(responses: DataFrame, every: str = "5 seconds") -> DataFrame
     return r.groupBy(F.window("created_at", every), "run_id").agg(F.max_by("total_tokens", "created_at").alias("total_tokens"), F.max("created_at").alias("at")).select("run_id", F.col("window.start").alias("start"), "total_tokens")
 
 
+class _Debounce(StatefulProcessor):
+    """Open sessions of a key by their end: a timer at the end puts a session out, unless an update has moved it on."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "until long", "start long, last long, transcript string, correction boolean, reinforcement boolean, updates long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        now = dict(before)
+        for pdf in rows:
+            at = pdf["created_at"].astype("datetime64[us]").astype("int64")
+            for t, text, c, r in zip(at, pdf["content"], pdf["correction"], pdf["reinforcement"]):
+                one = (t, t, text, bool(c), bool(r), 1)
+                # the reach of an update is its own quiet time; it joins every session that this touches
+                for end in [e for e, o in now.items() if o[0] < t + self.quiet * 1000 and t < e]:
+                    o = now.pop(end)
+                    newer = o if (o[1], o[2] or "") > (one[1], one[2] or "") else one
+                    one = (min(o[0], one[0]), newer[1], newer[2], o[3] or one[3], o[4] or one[4], o[5] + one[5])
+                now[one[1] + self.quiet * 1000] = one
+        for end in before.keys() - now.keys():
+            self.open.removeKey((end,))
+            self.handle.deleteTimer(self._timer(end))
+        for end, o in now.items():
+            if before.get(end) != o:
+                self.open.updateValue((end,), o)
+                self.handle.registerTimer(self._timer(end))
+        return iter(())
+
+    @staticmethod
+    def _timer(end: int) -> int:
+        return -(-end // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        out = []
+        for k, o in list(self.open.iterator()):
+            if self._timer(k[0]) == due:
+                out.append((*key, pd.Timestamp(o[0], unit="us"), *tuple(o)[2:]))
+                self.open.removeKey((k[0],))
+        if out:
+            yield pd.DataFrame(out, columns=["thread_id", "user_id", "agent", "start", "transcript", "correction", "reinforcement", "updates"])
+
+
 def stream_memory_debounce(updates: DataFrame, quiet: str = "30 seconds") -> DataFrame:
-    """Per (thread, user): after a quiet time, the newest transcript and the flags of all updates joined by or. A session is
-    put out once, when the watermark (a quiet time behind the newest event) has passed its end."""
-    u = updates.withWatermark("created_at", quiet)
-    s = u.groupBy(F.session_window("created_at", quiet), "thread_id", "user_id").agg(F.max_by("content", "created_at").alias("transcript"), F.bool_or("correction").alias("correction"), F.bool_or("reinforcement").alias("reinforcement"), F.count("*").alias("updates"))
-    return s.select("thread_id", "user_id", F.col("session_window.start").alias("start"), "transcript", "correction", "reinforcement", "updates")
-
-
-def _guard(window: int, warn: int, hard: int, tool_warn: int, tool_hard: int, idle_ms: int):
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.getCurrentWatermarkMs()
-        hashes, counts = (list(state.get[0]), dict(zip(state.get[1], state.get[2]))) if state.exists else ([], {})
-        for pdf in frames:
-            rows = []
-            last = max(last, int(pdf["created_at"].max().timestamp() * 1000))
-            for r in pdf.sort_values("turn").itertuples():
-                before = hashes[-window:].count(r.hash)
-                hashes = (hashes + [r.hash])[-window:]
-                now = hashes.count(r.hash)
-                counts[r.name] = counts.get(r.name, 0) + 1
-                call = "hard" if now >= hard else "warn" if now >= warn and (before < warn) else "ok"
-                tool = "hard" if counts[r.name] >= tool_hard else "warn" if counts[r.name] == tool_warn else "ok"
-                rows.append((key[0], r.turn, r.hash, r.name, call, tool))
-            yield pd.DataFrame(rows, columns=["thread_id", "turn", "hash", "name", "call_state", "tool_state"])
-        state.update((hashes, list(counts), list(counts.values())))
-        state.setTimeoutTimestamp(last + idle_ms)
-
-    return step
+    """Per (thread, user, agent): after a quiet time, the newest transcript (of equal times the greatest) and the flags of all
+    updates joined by or. An event-time timer puts a session out once, when the watermark (a quiet time behind the newest
+    event) has passed its end; later updates that arrive before that join it. A null agent is the lead agent's key. State
+    is the open sessions alone."""
+    ms = int(pd.Timedelta(quiet).total_seconds() * 1000)
+    u = updates.select("thread_id", "user_id", F.coalesce("agent", F.lit("")).alias("agent"), "content", "correction", "reinforcement", "created_at")
+    _rocksdb(updates)
+    shape = "thread_id string, user_id string, agent string, start timestamp, transcript string, correction boolean, reinforcement boolean, updates long"
+    return u.withWatermark("created_at", quiet).groupBy("thread_id", "user_id", "agent").transformWithStateInPandas(_Debounce(ms), shape, "append", "eventTime")
+
+
+class _Idle(StatefulProcessor):
+    """Base of the guards: a key's state goes once the watermark is an idle time past its last event. One timer a key, set anew
+    only when it fires too early, so an update writes no timer."""
+
+    def __init__(self, idle_ms: int):
+        self.idle = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last long")
+
+    def seen(self, until: int) -> None:
+        """Note the key's newest event time in milliseconds."""
+        if not self.last.exists():
+            self.handle.registerTimer(until + self.idle)
+            self.last.update((until,))
+        elif until > self.last.get()[0]:
+            self.last.update((until,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.last.get()[0] + self.idle
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.last.clear()
+            self.forget()
+        return iter(())
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+
+def _newest_ms(pdf: pd.DataFrame) -> int:
+    return int(pdf["created_at"].max().timestamp() * 1000)
+
+
+class _LoopGuard(_Idle):
+    def __init__(self, window: int, warn: int, hard: int, tool_warn: int, tool_hard: int, idle_ms: int):
+        super().__init__(idle_ms)
+        self.limits = window, warn, hard, tool_warn, tool_hard
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.hashes = handle.getValueState("hashes", "hashes array<string>")
+        self.tools = handle.getMapState("tools", "name string", "calls long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        window, warn, hard, tool_warn, tool_hard = self.limits
+        pdf = pd.concat(list(rows)).sort_values("turn", kind="stable")
+        hashes = list(self.hashes.get()[0]) if self.hashes.exists() else []
+        counts, out = {}, []
+        for turn, hash_, name in zip(pdf["turn"], pdf["hash"], pdf["name"]):
+            before = hashes[-window:].count(hash_)
+            hashes = (hashes + [hash_])[-window:]
+            now = hashes.count(hash_)
+            if name not in counts:
+                counts[name] = self.tools.getValue((name,))[0] if self.tools.containsKey((name,)) else 0
+            counts[name] += 1
+            call = "hard" if now >= hard else "warn" if now >= warn > before else "ok"
+            tool = "hard" if counts[name] >= tool_hard else "warn" if counts[name] == tool_warn else "ok"
+            out.append((key[0], turn, hash_, name, call, tool))
+        self.hashes.update((hashes,))
+        for name, n in counts.items():
+            self.tools.updateValue((name,), (n,))
+        self.seen(_newest_ms(pdf))
+        yield pd.DataFrame(out, columns=["thread_id", "turn", "hash", "name", "call_state", "tool_state"])
+
+    def forget(self) -> None:
+        self.hashes.clear()
+        self.tools.clear()
 
 
 def stream_loop_guard(calls: DataFrame, window: int = 20, warn: int = 3, hard: int = 5, tool_warn: int = 30, tool_hard: int = 50, idle_ms: int = 3_600_000) -> DataFrame:
     """Repeat and frequency states of tool calls (thread_id, turn, name, hash, created_at), live. State per thread: its last
-    ``window`` hashes and a count per tool; dropped once the watermark is an idle time past its last event."""
-    shape = "hashes array<string>, tools array<string>, counts array<long>"
-    return calls.withWatermark("created_at", "10 minutes").groupBy("thread_id").applyInPandasWithState(_guard(window, warn, hard, tool_warn, tool_hard, idle_ms), GUARD, shape, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _budget(limit: int, warn: float, hard: float, idle_ms: int):
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.getCurrentWatermarkMs()
-        seen, used = (dict(zip(state.get[0], state.get[1])), state.get[2]) if state.exists else ({}, 0)
-        for pdf in frames:
-            rows = []
-            last = max(last, int(pdf["created_at"].max().timestamp() * 1000))
-            for r in pdf.sort_values("pos").itertuples():
-                grown = max(0, int(r.total_tokens) - seen.get(r.message_id, 0))
-                seen[r.message_id] = int(r.total_tokens)
-                before, used = used, used + grown
-                rows.append((key[0], r.message_id, r.pos, used, "hard" if used >= hard * limit else "warn" if used >= warn * limit > before else "ok"))
-            yield pd.DataFrame(rows, columns=["run_id", "message_id", "pos", "used", "state"])
-        state.update((list(seen), list(seen.values()), used))
-        state.setTimeoutTimestamp(last + idle_ms)
-
-    return step
+    ``window`` hashes, and a map entry per tool, of which only those a batch names are read and written; dropped once the
+    watermark is an idle time past the thread's last event. A call without a tool name counts under the empty name."""
+    c = calls.select("thread_id", "turn", "hash", F.coalesce("name", F.lit("")).alias("name"), "created_at").withWatermark("created_at", "10 minutes")
+    _rocksdb(calls)
+    return c.groupBy("thread_id").transformWithStateInPandas(_LoopGuard(window, warn, hard, tool_warn, tool_hard, idle_ms), GUARD, "append", "eventTime")
+
+
+class _BudgetGuard(_Idle):
+    def __init__(self, limit: int, warn: float, hard: float, idle_ms: int):
+        super().__init__(idle_ms)
+        self.limits = limit, warn, hard
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.used = handle.getValueState("used", "used long")
+        self.tokens = handle.getMapState("tokens", "message_id string", "tokens long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        limit, warn, hard = self.limits
+        pdf = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        used = self.used.get()[0] if self.used.exists() else 0
+        tokens, out = {}, []
+        for message, pos, total in zip(pdf["message_id"], pdf["pos"], pdf["total_tokens"]):
+            if message not in tokens:
+                tokens[message] = self.tokens.getValue((message,))[0] if self.tokens.containsKey((message,)) else 0
+            before, used = used, used + max(0, int(total) - tokens[message])
+            tokens[message] = int(total)
+            out.append((key[0], message, pos, used, "hard" if used >= hard * limit else "warn" if used >= warn * limit > before else "ok"))
+        self.used.update((used,))
+        for message, n in tokens.items():
+            self.tokens.updateValue((message,), (n,))
+        self.seen(_newest_ms(pdf))
+        yield pd.DataFrame(out, columns=["run_id", "message_id", "pos", "used", "state"])
+
+    def forget(self) -> None:
+        self.used.clear()
+        self.tokens.clear()
 
 
 def stream_budget_guard(usage: DataFrame, limit: int, warn: float = 0.8, hard: float = 1.0, idle_ms: int = 3_600_000) -> DataFrame:
-    """Token budget states of runs (run_id, message_id, total_tokens, pos, created_at), live. State per run: tokens by message,
-    as any message's total may still grow; it goes once the watermark is an idle time past the run's last event."""
-    shape = "messages array<string>, tokens array<long>, used long"
-    return usage.withWatermark("created_at", "10 minutes").groupBy("run_id").applyInPandasWithState(_budget(limit, warn, hard, idle_ms), BUDGET, shape, "append", GroupStateTimeout.EventTimeTimeout)
+    """Token budget states of runs (run_id, message_id, total_tokens, pos, created_at), live. State per run: its sum, and a map
+    entry per message, as any message's total may still grow; a batch reads and writes the entries of its own messages only.
+    All of it goes once the watermark is an idle time past the run's last event. Null totals count 0, null ids as one empty id."""
+    u = usage.select("run_id", F.coalesce("message_id", F.lit("")).alias("message_id"), F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"), "pos", "created_at").withWatermark("created_at", "10 minutes")
+    _rocksdb(usage)
+    return u.groupBy("run_id").transformWithStateInPandas(_BudgetGuard(limit, warn, hard, idle_ms), BUDGET, "append", "eventTime")
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
