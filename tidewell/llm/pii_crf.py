@@ -457,6 +457,28 @@ def valid(text: str, span: tuple[int, int, int]) -> bool:
     return 14 <= len(digits) <= 19 and luhn(digits) if span[2] == 2 else 10 <= len(digits) <= 15
 
 
+def parts_of(text: str, span: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+    """Numbers written side by side that the field took for one: a rejected span of digits cut at white space into stretches
+    that each pass the check of cards, or open with a plus sign and pass that of phones. All of it must be covered so, as
+    any long row of digit groups holds some stretch that would pass; else only whole tokens that pass as cards are parts."""
+    at = [m.span() for m in _TOKEN.finditer(text, span[0], span[1])]
+    best: list[list[tuple[int, int, int]] | None] = [[]] + [None] * len(at)
+    for j in range(1, len(at) + 1):
+        for i in range(max(0, j - 8), j):  # nineteen digits in groups of three and more
+            if best[j] is None and best[i] is not None:
+                a, b = at[i][0], at[j - 1][1]
+                while b > a and text[b - 1] in _TRIM:
+                    b -= 1
+                kinds = [2] + [3] * (text[a] == "+") if CARD.fullmatch(text[a:b]) or text[a] == "+" else []
+                fit_ = next((k for k in kinds if valid(text, (a, b, k))), None)
+                if fit_ is not None:
+                    best[j] = [*best[i], (a, b, fit_)]
+    if len(at) < 2:
+        return []
+    cards = [(a, a + len(t), 2) for a, t in ((i, text[i:j].rstrip(_TRIM)) for i, j in at) if CARD.fullmatch(t)]
+    return best[-1] or [c for c in cards if valid(text, c)]
+
+
 def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """(base spans, all spans) per text, some hundred texts at a time; a field span that meets a base span is left out."""
     out = []
@@ -464,7 +486,8 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
         part = texts[lo : lo + 256]
         for text, extra in zip(part, field_spans(part, field)):
             base = base_spans(text)
-            more = [s for s in extra if valid(text, s) and not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+            extra = [s for x in extra for s in ([x] if valid(text, x) else parts_of(text, x) if x[2] > 1 else [])]
+            more = [s for s in extra if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
             out.append((base, sorted(base + more, key=lambda s: (s[0], s[2], s[1]))))
     return out
 
@@ -510,8 +533,10 @@ def masked(docs: DataFrame, field: Field) -> DataFrame:
             done = all_spans([t or "" for t in texts], field)
             yield pd.Series([mask(t, every) if every else None for t, (_, every) in zip(texts, done)], dtype=object)
 
-    new = bounded(docs).withColumn("__new", F.pandas_udf(replaced, T.StringType())(F.col("text").cast("string")))
+    # the row travels as one struct, so no name of its columns can meet one used here
+    new = bounded(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.pandas_udf(replaced, T.StringType())(F.col("text").cast("string")).alias("new"))
+    at = lambda c: F.col("row").getField(c)
+    made = {"text": F.coalesce("new", at("text").cast("string"))}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new = new.withColumn("n_chars", F.when(F.col("__new").isNotNull(), F.length("__new").cast(kind)).otherwise(F.col("n_chars")))
-    return new.withColumn("text", F.coalesce("__new", F.col("text").cast("string"))).select(*docs.columns)
+        made["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(at("n_chars"))
+    return new.select(*[made.get(c, at(c)).alias(c) for c in docs.columns])
