@@ -7,7 +7,8 @@ A document is a row of binned text statistics and of hashed word frequencies (:f
 2. the class prior is the best-bin estimate over that order: the least ratio of the unlabelled to the positive share above a
    threshold, less what chance may do to it;
 3. the weights minimise the non-negative unbiased risk pi R_p(+) + max(0, R_u(-) - pi R_p(-)) with the logistic loss;
-4. the intercept minimises the same risk over all documents.
+4. the cut is the middle of the thresholds whose balanced accuracy, as the positives, all documents and the prior give it,
+   is within ``flat`` of the best; the scale then brings the mean score of all documents as near to the prior as it can.
 
 The two weight vectors are fitted on bounded hash samples; bin edges, prior and intercept come from all documents. Half of
 the positives, by hash of their id, serve for the weights and the other half for prior and intercept, as a classifier
@@ -202,6 +203,22 @@ def best_intercept(values: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior:
     return float(grid[at])
 
 
+def best_cut(values: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float, flat: float = 0.02) -> tuple[float, float]:
+    """(scale, intercept) of scores, given counts of positive and unlabelled rows by score before both.
+
+    Above a threshold lie a share p of the positives and u of all rows, so (u - prior p) / (1 - prior) of the negatives. The
+    least risk of a flat score moves the cut into the negatives where good rows are many; the cut here weighs both kinds
+    the same. Scales are tried from 1 to 64."""
+    p, u = 1 - (np.cumsum(pos) - pos) / pos.sum(), 1 - (np.cumsum(unl) - unl) / unl.sum()
+    gain = p - np.clip((u - prior * p) / (1 - prior), 0, 1)
+    near = values[gain >= gain.max() - flat]
+    at = (near[0] + near[-1]) / 2
+    scales = np.geomspace(1, 64, 121)
+    miss = [abs(float(_sigmoid(k * (values - at)) @ unl) / unl.sum() - prior) for k in scales]
+    k = float(scales[int(np.argmin(miss))])
+    return k, -k * float(at)
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How often each statistic has each value in a task: feature, value, n."""
     count = [Counter() for _ in FEATURES]
@@ -258,7 +275,8 @@ def fit(rows: DataFrame, labels: DataFrame, prior: float | None = None, positive
         start = best_bin_prior(*rate_counts(rows, tested, replace(model, weights=order_fit(pos, unl))))
     weights, _ = nn_risk_fit(pos, unl, min(start, 0.99))
     model = replace(model, weights=weights, prior=start)
-    return replace(model, intercept=best_intercept(*rate_counts(rows, tested, model), start))
+    scale, intercept = best_cut(*rate_counts(rows, tested, model), min(start, 0.99))
+    return replace(model, weights=scale * weights, intercept=intercept)
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
