@@ -513,6 +513,13 @@ def test_quality_held_out(spark, large_dir):
     assert balanced(q.op10_quality_pu(spark, large_dir), truth) >= 0.95
 
 
+def test_quality_held_out_of_a_thousand(spark, large_dir):
+    """With a tenth of the rows: some hundred held-out labels, fourteen of them bad."""
+    small = os.path.join(os.path.dirname(large_dir), "sf0.01")
+    truth = q.labels(spark, small).select("doc_id", F.col("quality").alias("truth"))
+    assert balanced(q.op10_quality_pu(spark, small), truth) >= 0.94
+
+
 def test_language_held_out(spark, sf_dir):
     truth = q.documents(spark, sf_dir).select("doc_id", F.col("lang").alias("truth"))
     assert balanced(q.op9_language_kernel(spark, sf_dir), truth, "lang_pred") >= 0.95
@@ -603,8 +610,22 @@ def test_edges_prior_and_intercept_take_all_documents(spark):
     every = made.toPandas()
     z, good = np.round(model.rates(every) * 500) / 500, every["doc_id"].isin([r["doc_id"] for r in labels.where("quality = 1").collect()]).to_numpy()
     values, at = np.unique(z, return_inverse=True)
-    b = pu_quality.best_intercept(values, np.bincount(at, good, len(values)), np.bincount(at).astype(float), model.prior)
-    assert math.isclose(b, model.intercept, abs_tol=1e-6) and 0 < model.prior < 1
+    assert 0 < model.prior < 1 and len(values) > 10 and good.any()
+    p = 1 / (1 + np.exp(-np.clip(model.rates(every) + model.intercept, -30, 30)))
+    assert np.allclose([r["score"] for r in pu_quality.score(made, model).collect()], p)
+
+
+def test_cut_of_a_mixture():
+    """Whatever the share of good rows, the cut lies between the kinds and the mean score is the prior."""
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.6, 0.86, 0.97):
+        p, n = rng.normal(2, 0.7, 40_000), rng.normal(-2, 0.7, 40_000)
+        u = np.concatenate([p[: int(40_000 * prior)], n[int(40_000 * prior) :]])
+        values, at = np.unique(np.round(np.concatenate([rng.normal(2, 0.7, 40_000), u]), 2), return_inverse=True)
+        pos, unl = np.bincount(at[:40_000], minlength=len(values)).astype(float), np.bincount(at[40_000:], minlength=len(values)).astype(float)
+        scale, intercept = pu_quality.best_cut(values, pos, unl, prior)
+        assert abs(intercept / scale) < 0.6
+        assert abs((1 / (1 + np.exp(-scale * values - intercept)) @ unl) / unl.sum() - prior) < 0.01
 
 
 # ---- 8 personal data
@@ -740,6 +761,38 @@ def test_pii_awkward(spark):
     assert pii_crf.find(none(spark), f).count() == 0
 
 
+ADJACENT = ("7536784127813050 4845168114407329", "4465758382889437 4465758382889437", "2353820953013749 4550997810720808")
+
+
+def test_adjacent_cards_are_found_and_masked(spark):
+    """Texts of the given tables: cards side by side, which the pattern takes for one number; of the last only one passes Luhn."""
+    field = pii_crf.fit()
+    rows = [(i, f"Dirig card {t} and then some words", "en", "s") for i, t in enumerate(ADJACENT)]
+    cards = [[n for n in t.split() if pii_crf.luhn(n)] for t in ADJACENT]
+    assert list(map(len, cards)) == [2, 2, 1]
+    for (_, text, *_), want, (base, every) in zip(rows, cards, pii_crf.all_spans([r[1] for r in rows], field)):
+        assert not base and [(text[a:b], pii_crf.KINDS[k]) for a, b, k in every] == [(n, "card") for n in want]
+    for row in pii_crf.masked(docs_of(spark, rows), field).collect():
+        assert row["text"].count("[CARD]") == len(cards[row["doc_id"]]) and not any(n in row["text"] for n in cards[row["doc_id"]])
+    whole = "4111 1111 1111 1111 5555 5555 5555 4444"
+    assert pii_crf.parts_of(whole, (0, len(whole), 3)) == [(0, 19, 2), (20, 39, 2)] and pii_crf.parts_of("4111 1111 1111 1112 5555 5555 5555 4444", (0, 39, 2)) == []
+
+
+CLASHING = ("__mark", "__spot", "__bit", "__goes", "__n", "__new", "__copy", "__row", "__row2", "__whole", "__part", "__bit_w", "__bit_m", "row", "mark", "spot", "goes", "n", "new", "copy", "whole", "part", "hash_a", "hash_b", "word", "mask", "size", "key", "bucket", "i", "A.b")
+
+
+def test_columns_with_the_names_used_inside_come_back_as_they_were(spark):
+    field = pii_crf.fit()
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a"), (2, text + " x", "a"), (3, "mail a.b@c.org now", "b"), (4, None, None), (None, "lone words here", "b")]
+    df = spark.createDataFrame([(*r, *[f"{c}-{k}" for c in CLASHING]) for k, r in enumerate(rows)], ["doc_id", "text", "source", *CLASHING])
+    own = {r["doc_id"]: tuple(r)[3:] for r in df.collect()}
+    for made, n in ((ngram_join.keep_one(df), 4), (pii_crf.masked(df, field), 5), (mixing.apply_mix(df), None)):
+        assert made.columns == df.columns
+        got = made.collect()
+        assert got and all(tuple(r)[3:] == own[r["doc_id"]] for r in got) and n in (None, len(got))
+
+
 def test_field_learns_from_the_whole_table(monkeypatch):
     made, passes = pii_crf.labelled(), []
     runs = [sum(1 for a, b in zip(["O"] + tags, tags) if b != "O" and b[0] == "B") for _, tags in made]

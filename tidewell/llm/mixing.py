@@ -80,18 +80,22 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     none; rows equal in all columns are told apart only by their number. n_chars, where present, follows the text. Rows
     of which nothing is taken are dropped, by a bit array of the others, before texts are shuffled.
     """
-    row = ["__row", "__row2"]  # two hashes of all columns, as one of 64 bits is not enough for very many rows
-    rows = docs.select("*", F.xxhash64(*docs.columns).alias("__row"), F.xxhash64(F.lit(1), *docs.columns).alias("__row2"))
-    own = mix(rows, carry=tuple(row), **options)
-    whole = F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1)).cast("int").alias("__whole")
-    part = F.sum(F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)).alias("__part")  # a source is cut in one row
+    row = ["hash_a", "hash_b"]  # two hashes of all columns, as one of 64 bits is not enough for very many rows
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # the row travels as one struct, so no name of its columns can meet one used here
+    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(*names).alias("hash_a"), F.xxhash64(F.lit(1), *names).alias("hash_b"))
+    own = mix(docs.select("doc_id", "text", "source", F.xxhash64(*names).alias("hash_a"), F.xxhash64(F.lit(1), *names).alias("hash_b")), carry=tuple(row), **options)
+    whole = F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1)).cast("int").alias("whole")
+    part = F.sum(F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)).alias("part")  # a source is cut in one row
     own = checkpointed(own.where("taken > 0 or size = 0").groupBy(*row).agg(whole, part))
-    j = with_bit(rows, bit_array(own, "__row"), "__row").where("__bit").drop("__bit").dropDuplicates(row).join(own, row)
-    cut = F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<long>"))
-    j = j.withColumn("__copy", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole")), cut)))
-    words = F.regexp_extract_all("text", F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1))
-    head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__copy"), F.lit(1)).cast("int")), "")
-    j = j.withColumn("text", F.when(F.col("__copy") < 0, F.col("text")).otherwise(head))
+    j = with_bit(rows, bit_array(own, "hash_a"), "hash_a").where("__bit").drop("__bit").dropDuplicates(row).join(own, row)
+    cut = F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>"))
+    j = j.select("row", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole")), cut)).alias("copy"))
+    at = lambda c: F.col("row").getField(c)
+    words = F.regexp_extract_all(at("text"), F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("copy"), F.lit(1)).cast("int")), "")
+    j = j.withColumn("text", F.when(F.col("copy") < 0, at("text")).otherwise(head))
+    made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        j = j.withColumn("n_chars", F.when(F.col("__copy") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return j.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("copy") < 0, at("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return j.select(*[made.get(c, at(c)).alias(c) for c in docs.columns])

@@ -255,10 +255,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     m = members(docs, **options)
     goes = (F.col("n_grams") > 0) & ~(F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.mark") == F.col("mark")))
-    m = m.groupBy(F.coalesce("doc_id", "mark").alias("__spot"), F.col("mark").alias("__mark")).agg(F.max(goes).alias("__goes"), F.count("*").alias("__n"))
-    suspects = checkpointed(m.where("__goes or __n > 1"))
-    rows = docs.withColumn("__mark", F.xxhash64(F.col("text").cast("string"))).withColumn("__spot", F.coalesce(F.col("doc_id").cast("long"), "__mark"))
-    rows = with_bit(rows, bit_array(suspects, "__spot", "__mark"), "__spot", "__mark")
-    total = suspects.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    near = split_join(rows.where("__bit"), suspects, ["__spot", "__mark"], "__n", total, "left").where("not coalesce(__goes, false)")
-    return rows.where("not __bit").select(*docs.columns).unionByName(near.dropDuplicates(["__spot", "__mark"]).select(*docs.columns))
+    m = m.groupBy(F.coalesce("doc_id", "mark").alias("spot"), "mark").agg(F.max(goes).alias("goes"), F.count("*").alias("n"))
+    suspects = checkpointed(m.where("goes or n > 1"))
+    # the row travels as one struct, so no name of its columns can meet one used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    rows = rows.select("row", F.coalesce("id", "mark").alias("spot"), "mark")
+    rows = with_bit(rows, bit_array(suspects, "spot", "mark"), "spot", "mark")
+    total = suspects.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    near = split_join(rows.where("__bit"), suspects, ["spot", "mark"], "n", total, "left").where("not coalesce(goes, false)")
+    return rows.where("not __bit").select("row.*").unionByName(near.dropDuplicates(["spot", "mark"]).select("row.*"))
