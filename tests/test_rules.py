@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import helpers as h
 from tidewell.functions import text as tx
-from tidewell.operators import corpus, evals, events, messages, retrieval, tables
+from tidewell.operators import corpus, evals, events, messages, retrieval, scan, tables
 from tidewell.sources import files
 
 
@@ -407,6 +407,40 @@ def test_index_equals_scoring_every_chunk(spark):
     assert len({r["block"] for r in retrieval.best_chunks(terms, hits, tops, 2, 1.0, 0.0, first=1).collect()}) == 40  # ties with the second stay in
 
 
+def test_hot_keys_are_scanned_in_blocks(spark, monkeypatch):
+    """One key with nine tenths of the rows: same results as windows, and no block with more than a bounded part of it."""
+    rng = np.random.default_rng(4)
+    n = 6000
+    rows = [("hot" if i % 10 else (None if i % 20 else f"k{i % 7}"), int(d), float(a), i) for i, (d, a) in enumerate(zip(rng.integers(0, 900, n), rng.integers(1, 99, n)))]
+    df = spark.createDataFrame(rows, "k string, d int, a double, pos long").repartition(7)
+    seen, plain = [], scan.blocks
+    monkeypatch.setattr(scan, "blocks", lambda *x: seen.append(plain(*x)) or seen[-1])
+    want = {r["pos"]: tuple(r) for r in tables.running_total_and_rank(df, "k", "d", "a").collect()}
+    assert not seen
+    got = {r["pos"]: tuple(r) for r in tables.running_total_and_rank(df, "k", "d", "a", large=400).collect()}
+    assert got == want and len(got) == n and len(seen) == 2
+    assert max(r["count"] for r in seen[0].groupBy("block").count().collect()) <= 400
+    new = df.select(F.col("k").alias("thread_id"), F.col("pos"))
+    old = spark.createDataFrame([("hot", 41), ("hot", 7), ("k0", 3)], "thread_id string, seq long")
+    plain_seq = {r["pos"]: r["seq"] for r in events.assign_seq(new, old).collect()}
+    assert {r["pos"]: r["seq"] for r in events.assign_seq(new, old, large=500).collect()} == plain_seq and plain_seq[1] == 42 and len(plain_seq) == n
+    u = df.select(F.col("k").alias("run_id"), (F.col("pos") % 11).cast("string").alias("message_id"), F.col("a").cast("long").alias("total_tokens"), "pos")
+    as_set = lambda d: sorted(map(str, d.select("run_id", "message_id", "pos", "used", "state").collect()))
+    assert as_set(events.token_budget(u, 9_000)) == as_set(events.token_budget(u, 9_000, large=300))
+
+
+def test_split_ranks_only_the_cut_bucket(spark):
+    rows = [(i, "a" if i % 9 else "b") for i in range(2000)] + [(5000, None), (None, "a"), (None, "a"), (7, "a")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = evals.stratified_split(df, "s", "id", 0.3).collect()
+    digest = lambda i: hashlib.md5(f"42:{'' if i is None else i}".encode()).hexdigest()
+    assert len(got) == len(rows)
+    for stratum in ("a", "b", None):
+        of = sorted(((digest(r["id"]), str(r["id"]), r["is_test"]) for r in got if r["s"] == stratum), key=lambda x: (x[0], not x[2]))
+        k = max(1, len(of) * 3 // 10)
+        assert [x[2] for x in of] == [True] * k + [False] * (len(of) - k)
+
+
 def test_decimals_round_as_the_exact_value(spark):
     xs = [i / 80 for i in range(81)] + [0.0625, 0.3125, 0.56875, 1 / 3, 1.0, 0.0]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", retrieval.fixed(F.col("x"), 3).alias("a"), retrieval.fixed(F.col("x"), 4).alias("b")).collect()

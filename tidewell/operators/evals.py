@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators import scan
 from tidewell.functions import text as tx
 
 # The task statuses that a report lists even where none has them.
@@ -95,11 +96,11 @@ def best_iteration(history: DataFrame) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, holdout: float, seed: int = 42) -> DataFrame:
-    """rows with is_test: of each stratum, max(1, floor(n x holdout)) rows in a seeded hash order."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    w = Window.partitionBy(stratum)
-    r = rows.withColumns({"r": F.row_number().over(w.orderBy(digest, key)), "n": F.count("*").over(w)})
-    return r.withColumn("is_test", F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * holdout))).drop("r", "n")
+    """rows with is_test: of each stratum, max(1, floor(n x holdout)) rows in a seeded hash order. No stratum is sorted: counts
+    by hash range leave one small range of each to rank. Rows with equal keys are told apart by all their columns."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    spot = F.concat(digest, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return scan.first_of_strata(rows, stratum, spot, F.greatest(F.lit(1), F.floor(F.col("n") * holdout)), "is_test")
 
 
 def pod_report(top: DataFrame, pods: DataFrame, processes: DataFrame, k: int = 3) -> DataFrame:

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators import scan
+
 USAGE = "map<string,struct<input_tokens:bigint,output_tokens:bigint,total_tokens:bigint>>"
 
 
@@ -73,11 +75,19 @@ def thread_access(requests: DataFrame, threads: DataFrame, strict: bool = False)
     return requests.join(t, "thread_id", "left").select(*requests.columns, F.coalesce(ok, F.lit(False)).alias("allowed"))
 
 
-def assign_seq(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """seq of new rows (thread_id, pos): after the thread's highest one so far, in order of pos."""
+def assign_seq(new: DataFrame, existing: DataFrame, large: int = 1_000_000) -> DataFrame:
+    """seq of new rows (thread_id, pos): after the thread's highest one so far, in order of pos. Threads of over ``large``
+    new rows are numbered in blocks."""
     top = existing.groupBy("thread_id").agg(F.max("seq").alias("top"))
-    n = new.withColumn("n", _last(["thread_id"], "pos"))
-    return n.join(top, "thread_id", "left").withColumn("seq", F.coalesce("top", F.lit(0)) + F.col("n")).drop("n", "top")
+    n = scan.running(new, ["thread_id"], [F.col("pos")], {"n": F.lit(1).cast("long")}, large=large)
+    hot, rows = scan.large_keys(n, ["thread_id"], large)
+    if rows:  # the highest numbers of hot threads, at most a thousand, go to where their rows are
+        few = top.join(F.broadcast(hot), F.col("thread_id") == F.col("_thread_id"), "left_semi")
+        inside = n.join(F.broadcast(hot), F.col("thread_id") == F.col("_thread_id"), "left_semi").join(F.broadcast(few), "thread_id", "left")
+        j = n.join(F.broadcast(hot), F.col("thread_id") == F.col("_thread_id"), "left_anti").join(top, "thread_id", "left").unionByName(inside)
+    else:
+        j = n.join(top, "thread_id", "left")
+    return j.withColumn("seq", F.coalesce("top", F.lit(0)) + F.col("n")).drop("n", "top")
 
 
 def run_message_page(events: DataFrame, limit: int, after: int | None = None, before: int | None = None) -> DataFrame:
@@ -165,15 +175,14 @@ def run_durations(runs: DataFrame) -> DataFrame:
     return runs.where("created_at is not null and updated_at is not null").select("run_id", s.alias("seconds"))
 
 
-def token_budget(usage: DataFrame, limit: int, warn: float = 0.8, hard: float = 1.0) -> DataFrame:
+def token_budget(usage: DataFrame, limit: int, warn: float = 0.8, hard: float = 1.0, large: int = 1_000_000) -> DataFrame:
     """Running tokens of each run (rows: run_id, message_id, total_tokens, pos) against its limit.
 
     A later revision of a message adds only its increase. State is warn at the first row at or over ``warn`` of the
-    limit, hard at and after ``hard``, else ok."""
+    limit, hard at and after ``hard``, else ok. Runs of over ``large`` rows are summed in blocks."""
     was = F.lag("total_tokens").over(Window.partitionBy("run_id", "message_id").orderBy("pos"))
     grown = usage.withColumn("growth", F.greatest(F.col("total_tokens") - F.coalesce(was, F.lit(0)), F.lit(0)))
-    w = Window.partitionBy("run_id").orderBy("pos")
-    used = grown.withColumn("used", F.sum("growth").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    used = scan.running(grown, ["run_id"], [F.col("pos")], {"used": F.col("growth")}, large=large)
     share = F.col("used") / F.lit(float(limit))
     before = (F.col("used") - F.col("growth")) / F.lit(float(limit))
     return used.withColumn("state", F.when(share >= hard, "hard").when((share >= warn) & (before < warn), "warn").otherwise("ok")).drop("growth")

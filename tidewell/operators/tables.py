@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.operators import scan
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [c.name for c in df.schema if isinstance(c.dataType, T.NumericType)]
@@ -115,10 +117,11 @@ def value_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("lowest"), F.max(column).alias("highest"), F.count("*").alias("n"))
 
 
-def running_total_and_rank(df: DataFrame, key: str, order: str, amount: str) -> DataFrame:
-    """Running sum by date inside each key (rows of one date share it) and rank by amount, highest first."""
-    by = Window.partitionBy(key)
-    return df.withColumns({"running": F.round(F.sum(amount).over(by.orderBy(order)), 2), "rank": F.rank().over(by.orderBy(F.desc(amount)))})
+def running_total_and_rank(df: DataFrame, key: str, order: str, amount: str, large: int = 1_000_000) -> DataFrame:
+    """Running sum by date inside each key (rows of one date share it) and rank by amount, highest first. Keys of over
+    ``large`` rows are scanned in blocks."""
+    summed = scan.running(df, [key], [F.col(order)], {"running": F.col(amount)}, ties=True, large=large)
+    return scan.running(summed.withColumn("running", F.round("running", 2)), [key], [F.desc(amount)], rank="rank", large=large)
 
 
 def top_totals(df: DataFrame, name: str, amount: Column, k: int = 10) -> DataFrame:
