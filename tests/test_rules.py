@@ -5,6 +5,7 @@ import json
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import helpers as h
@@ -84,6 +85,44 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, files.load_csv(spark, [f"{tmp_path}/q.csv"])["q"].collect())) == [(1, 'say "hi", ok'), (2, "a\nb")]
 
 
+def test_csv_records_across_splits(spark, tmp_path):
+    """One file with quotes and line ends in its cells, cut into splits of some bytes: the same table, read by many tasks."""
+    import csv as plain
+    import random
+
+    from tidewell.sources import csv
+
+    rng = random.Random(3)
+    bits = ['"', "\n", ",", "a", "é", "", "\r\n", "\n\n", '""', "x y"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 9))) + "z", rng.choice(["q", "two\nlines", ""])) for i in range(300)]
+    with open(f"{tmp_path}/s.csv", "w", newline="") as f:
+        plain.writer(f).writerows([("id", "a,\nb", "c"), *rows])
+    want = sorted((i, a, c or None) for i, a, c in rows)
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("128m", "700b", "41b"):
+            spark.conf.set(key, size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            df = files.load_csv(spark, [f"{tmp_path}/s.csv"])["s"]
+            assert df.columns == ["id", "a,\nb", "c"] and dict(df.dtypes)["id"] == "int"
+            assert sorted(map(tuple, df.collect())) == want
+        assert csv.records(spark, f"{tmp_path}/s.csv").select("at").distinct().count() > 20
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    (tmp_path / "open.csv").write_text('a,b\n1,"x\n2,y\n')
+    with pytest.raises(ValueError, match="never closed"):
+        files.load_csv(spark, [f"{tmp_path}/open.csv"])
+    (tmp_path / "t.csv").write_text("i,l,d,day,at,f,s,n\n1,9999999999,1,2020-01-31,2020-01-31 10:00:00,true,1x,\n-2,3,2.5e3,2021-02-01,2020-01-31T10:00:00.5Z,FALSE,2,\n")
+    kinds = [t for _, t in files.load_csv(spark, [f"{tmp_path}/t.csv"])["t"].dtypes]
+    assert kinds == ["int", "bigint", "double", "date", "timestamp", "boolean", "string", "string"]
+    (tmp_path / "none.csv").write_text("")
+    assert files.load_csv(spark, [f"{tmp_path}/none.csv"])["none"].count() == 0
+    given = files.load_csv(spark, [f"{tmp_path}/s.csv"], {"s": "id long, a string, c string"})["s"]
+    assert given.dtypes[0] == ("id", "bigint") and given.count() == 300
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(2)
     rows = [("many", float(x)) for x in rng.normal(0, 1, 3000)] + [("ties", float(x)) for x in rng.integers(0, 3, 900)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("two", None)]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import urllib.parse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.text import summary_lines
+from tidewell.sources import csv
 
 EVENT_SCHEMA = "thread_id string, run_id string, user_id string, event_type string, category string, content string, metadata string, seq long, created_at timestamp"
 NOISE_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".vscode")
@@ -35,15 +37,19 @@ def table_names(names: list[str]) -> list[str]:
     return out
 
 
-def load_csv(spark: SparkSession, paths: list[str], schemas: dict[str, str] | None = None, multi_line: bool = True) -> dict[str, DataFrame]:
+def load_csv(spark: SparkSession, paths: list[str], schemas: dict[str, str] | None = None, line_ends: bool = True) -> dict[str, DataFrame]:
     """Every CSV as a table (and temporary view) named after its file stem. A schema saves the inference scan. Quotes in
-    cells are doubled, empty cells are null, quoted or not, and cells may hold line ends; where none do, ``multi_line=False`` reads a large file in splits."""
+    cells are doubled, empty cells are null, quoted or not, and cells may hold line ends; large files are read in splits all
+    the same. Where no cell holds any, ``line_ends=False`` saves the count of quotes."""
     stems = [p.rstrip("/").rpartition("/")[2].rpartition(".")[0] or p for p in paths]
     tables = {}
     for name, stem, path in zip(table_names(stems), stems, paths):
         given = (schemas or {}).get(stem)
-        reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
-        df = reader.schema(given).csv(path) if given else reader.option("inferSchema", True).csv(path)
+        reader = spark.read.options(header=True, **csv.OPTIONS)
+        if line_ends:
+            df = csv.read(spark, path, given)
+        else:
+            df = reader.schema(given).csv(path) if given else reader.option("inferSchema", True).csv(path)
         df.createOrReplaceTempView(name)
         tables[name] = df
     return tables
@@ -66,6 +72,26 @@ def export(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_named(rows: DataFrame, root: str) -> str:
+    """One text file under ``root`` for each row (path: its name with folders, value: its content), for layouts that other
+    programs prescribe. Spark writes the contents, the driver only gives the files their names: some thousands of files
+    are fine, for more a table is the better layout. Repeated paths keep the rows as lines of one file."""
+    spark = rows.sparkSession
+    rows.select("path", "value").repartition("path").write.partitionBy("path").text(f"{root}/.parts")
+    java = spark.sparkContext._jvm
+    place = lambda p: java.org.apache.hadoop.fs.Path(p)
+    fs = place(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(place(f"{root}/.parts")):
+        name = folder.getPath().getName()
+        if name.startswith("path="):
+            to = place(f"{root}/{urllib.parse.unquote(name[5:])}")
+            fs.mkdirs(to.getParent())
+            part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+            fs.rename(part, to)
+    fs.delete(place(f"{root}/.parts"), True)
+    return root
+
+
 def markdown_lines(df: DataFrame) -> DataFrame:
     """One text row per row of df as a Markdown table line, pipes escaped and line ends folded; the two head lines first.
 
