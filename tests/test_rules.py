@@ -480,6 +480,35 @@ def test_split_ranks_only_the_cut_bucket(spark):
         assert [x[2] for x in of] == [True] * k + [False] * (len(of) - k)
 
 
+def test_best_run_equals_all_runs():
+    rng = np.random.default_rng(5)
+    for _ in range(600):
+        x = rng.integers(-4, 5, rng.integers(0, 14)).tolist()
+        sums = {(i, j): sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        lo, hi = h.best_run(x)
+        top = max(sums.values(), default=0)
+        assert (lo, hi) == (0, 0) if top <= 0 else sum(x[lo:hi]) == top
+
+
+def test_main_content_of_all_pages(spark, sf_dir):
+    """Every given page against all runs of its blocks, and its article's paragraphs inside."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
+    got = {r["page_id"]: r["body"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", h.page_article("html").alias("a")).select("page_id", "a.body").collect()}
+    for page_id, html in pages:
+        page = h._Page()
+        page.feed(html or "")
+        page.close()
+        found = [b for b in page.blocks if b[1].strip()]
+        inside = [b for b in found if b[3]]
+        plain = lambda bs: sum(len(b[1].strip()) - b[2] for b in bs)
+        of = inside if inside and 4 * plain(inside) >= plain(found) else found
+        worth = [len(b[1].strip()) - 4 * b[2] for b in of]
+        upto = np.concatenate(([0], np.cumsum(worth)))
+        top = max((upto[j] - upto[:j].min() for j in range(1, len(upto))), default=0)
+        runs = {"\n\n".join(b[0] + b[1].strip() for b in of[i:j])[:4096] for j in range(1, len(upto)) for i in np.flatnonzero(upto[j] - upto[:j] == top)} if top > 0 else {"\n\n".join(b[0] + b[1].strip() for b in found)[:4096] or "No content could be extracted from this page"}
+        assert got[page_id] in runs
+
+
 def test_decimals_round_as_the_exact_value(spark):
     xs = [i / 80 for i in range(81)] + [0.0625, 0.3125, 0.56875, 1 / 3, 1.0, 0.0]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", retrieval.fixed(F.col("x"), 3).alias("a"), retrieval.fixed(F.col("x"), 4).alias("b")).collect()
