@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.operators import scan
+from tidewell.sources.shared import written
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -48,15 +49,15 @@ def quantiles(rows: DataFrame, key: str, value: str, at: tuple[float, ...] = (0.
 
     A first pass brackets each quantile between approximate ones; a second counts what lies below each bracket and the
     values inside it, of which there are a few ten-thousandths, and picks the two neighbours of the exact rank from their
-    counts. So no buffer ever holds all values. The brackets are broadcast if there are at most ``keys`` keys."""
+    counts. So no buffer ever holds all values. The brackets are written once, and broadcast if there are at most ``keys`` keys."""
     rows = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x"))
     near = [p for q in at for p in (max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy))]
     first = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", near, accuracy).alias("p"))
     rank = lambda q: F.lit(q) * (F.col("n") - 1)
     few = F.col("n") <= 4 * accuracy  # too few for a bracket to hold both neighbours of the rank for sure: all values are inside
     ends = F.array(*[F.struct(F.lit(i).alias("i"), rank(q).alias("rank"), F.when(few, F.col("least")).otherwise(F.col("p")[2 * i]).alias("a"), F.when(few, F.col("most")).otherwise(F.col("p")[2 * i + 1]).alias("b")) for i, q in enumerate(at)])
-    brackets = first.select(key, "n", F.inline(ends))
-    small = first.limit(keys + 1).count() <= keys
+    brackets = written(first.select(key, "n", F.inline(ends)))
+    small = brackets.count() <= keys * len(at)
     j = rows.join(F.broadcast(brackets) if small else brackets, key).where("x <= b")
     counts = j.groupBy(key, "i", F.when(F.col("x") >= F.col("a"), F.col("x")).alias("v")).agg(F.count("*").alias("c"))  # null: all below the bracket
     upto = F.sum("c").over(Window.partitionBy(key, "i").orderBy(F.asc_nulls_first("v")))
