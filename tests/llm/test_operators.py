@@ -167,6 +167,28 @@ def test_split_join_and_bit_array(spark):
 def test_bands():
     b, r = ngram_join.bands_for(0.8, 0.99999)
     assert 1 - (1 - 0.8**r) ** b >= 0.99999
+    assert 1 - (1 - 0.4**r) ** b < 0.08 and ngram_join.bands_for(0.8, 0.99999, 8_000) == (63, 8)  # half-alike texts rarely meet
+    for threshold in (0.05, 0.3, 0.5, 0.95, 1.0):
+        b, r = ngram_join.bands_for(threshold, 0.999)
+        assert 1 - (1 - threshold**r) ** b >= 0.999 and b * r <= 50_000
+
+
+def test_pairs_meet_as_often_as_their_similarity_says():
+    """Measured over random sets: near pairs are not missed, and half-alike ones meet as often as reckoned."""
+    b, r = ngram_join.bands_for(0.8, 0.99999)
+    rng = np.random.default_rng(8)
+    w, c = rng.integers(0, 2**32, b * r, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, b * r, dtype=np.uint32)
+
+    def met(share, size, trials):
+        common, n = round(2 * size * share / (1 + share)), 0
+        for _ in range(trials):
+            x = rng.integers(0, 2**63, 2 * size - common, dtype=np.uint64) * np.uint64(2)
+            one, other = (ngram_join.signature(np.sort(part), w, c, b) for part in (x[:size], x[size - common :]))
+            n += any(p == q for p, q in zip(one, other))
+        return n / trials
+
+    assert all(met(0.8, size, 300) >= 0.99 for size in (9, 45, 450))
+    assert abs(met(0.4, 280, 1500) - (1 - (1 - 0.4**r) ** b)) < 0.02
 
 
 def test_join_awkward(spark):

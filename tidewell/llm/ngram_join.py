@@ -28,9 +28,18 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[str, int] = {}
 
 
-def bands_for(threshold: float, recall: float, rows: int = 5) -> tuple[int, int]:
-    """(bands, rows): the fewest bands for which a pair at the threshold meets in one with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows
+def bands_for(threshold: float, recall: float, pair_cost: float = 3_000) -> tuple[int, int]:
+    """(bands, rows) of least cost among those by which a pair at the threshold meets in a band with probability ``recall``.
+
+    For each number of rows the fewest such bands count. The cost of a choice is its hash values, bands x rows, and
+    ``pair_cost`` times the probability that a pair of half the threshold, as shared passages make it, meets for nothing."""
+    choices = []
+    for rows in range(1, 33):
+        missed = math.log1p(-(threshold**rows)) if threshold < 1 else -math.inf
+        bands = max(1, math.ceil(math.log(1 - recall) / missed))
+        for_nothing = -math.expm1(bands * math.log1p(-((threshold / 2) ** rows)))
+        choices.append((bands * rows + pair_cost * for_nothing, bands, rows))
+    return min(choices)[1:]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,11 +69,13 @@ def gram_hashes(text: str | None, n: int) -> np.ndarray:
 
 
 def signature(grams: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) -> list[int]:
-    """One 64-bit key per band, the band's number mixed in. Works through long sets in slices."""
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(grams), 2048):
-        low = np.minimum(low, (grams[i : i + 2048, None] * a + b).min(axis=0))
-    rows = low.reshape(bands, -1)
+    """One 64-bit key per band, the band's number mixed in. Minima are taken over the upper halves of the hashes, in 32
+    bits, and by slices of a long set."""
+    upper = (grams >> np.uint64(32)).astype(np.uint32)
+    low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(upper), 128):  # a slice times all hash functions stays in the cache
+        low = np.minimum(low, (upper[i : i + 128, None] * a + b).min(axis=0))
+    rows = low.reshape(bands, -1).astype(np.uint64)
     key = np.arange(1, bands + 1, dtype=np.uint64)
     for k in range(rows.shape[1]):
         key = _mix(key * ODD + rows[:, k])
@@ -73,8 +84,8 @@ def signature(grams: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) -> li
 
 def _signer(n: int, bands: int, rows: int):
     rng = np.random.default_rng(20_011)
-    a = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+    a = rng.integers(0, 2**32, bands * rows, dtype=np.uint32) | np.uint32(1)
+    b = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
