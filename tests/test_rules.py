@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import helpers as h
 from tidewell.functions import text as tx
-from tidewell.operators import corpus, evals, events, messages, retrieval, scan, tables
+from tidewell.operators import corpus, evals, events, messages, nearest, retrieval, scan, tables
 from tidewell.sources import files
 
 
@@ -570,3 +570,60 @@ def test_facts_hold_the_whole_text(spark, tmp_path):
     ids = lambda name: sorted(r["id"] for r in registry.queries()[name](spark, str(tmp_path)).collect())
     assert ids("b8_search_facts_whole") == ["1"] and ids("i6_merge_facts_whole") == ["1", "3"]
     assert registry.queries()["c13_normalize_facts_whole"](spark, str(tmp_path)).where("id = '1'").first()["content"] == same + " the end"
+
+
+def test_streaks_and_turns_of_hot_threads_go_over_blocks(spark):
+    """Nine tenths of the rows in one thread, streaks longer than blocks, rows without a key: as a plain walk gives them."""
+    rng = np.random.default_rng(5)
+    kinds = [("a", 700), (None, 40), ("b", 1), ("b", 300), ("a", 3), (None, 1), (None, 2), ("c", 500)] + [(str(x), int(n)) for x, n in zip(rng.integers(0, 2, 200), rng.integers(1, 6, 200))]
+    values = [k for k, n in kinds for _ in range(n)]
+    rows = [("hot", i, v) for i, v in enumerate(values)] + [(None if i % 2 else "cold", i // 2, "x" if i % 20 < 12 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i int, v string").repartition(5)
+    expected = {}
+    for key in ("hot", "cold", None):
+        before, n = None, 0
+        for _, i, v in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            n = 0 if v is None else n + 1 if v == before else 1
+            before, expected[key, i] = v, n
+    for large in (1_000_000, 400, 90):
+        got = scan.streaks(df, ["k"], [F.col("i")], "v", "n", large)
+        assert got.columns == ["k", "i", "v", "n"] and {(r["k"], r["i"]): r["n"] for r in got.collect()} == expected
+    assert scan.streaks(df.limit(0), ["k"], [F.col("i")], "v", "n").count() == 0
+    e = df.selectExpr("k as thread_id", "i as turn", "v as blocker", "' t ' as text", "v is null as success", "1 as start", "2 as island")
+    as_rows = lambda d: sorted(map(str, d.collect()))
+    whole = messages.no_progress(e)
+    assert whole.columns == [*e.columns, "streak"] and as_rows(whole) == as_rows(messages.no_progress(e, large=300))
+    assert {(r["thread_id"], r["turn"]): r["streak"] for r in whole.collect()} == expected
+    m = df.selectExpr("k as thread_id", "i as turn", "case when v is null then null when i % 3 = 0 then 'human' else 'ai' end as type", "i as input_tokens", "1 as output_tokens")
+    assert as_rows(messages.turn_usage(m)) == as_rows(messages.turn_usage(m, large=300))
+
+
+def test_semantic_search_skips_blocks_and_loses_nothing(spark):
+    """Clustered vectors with a cluster of equal rows, several lengths, odd vectors: rows as by scoring all, few blocks scored."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    v = [(i, (centres[i % 12] + 0.05 * rng.normal(size=8)).tolist()) for i in range(3000)]
+    v += [(3000 + i, centres[0].tolist()) for i in range(1500)] + [(5000 + i, rng.normal(size=3).tolist()) for i in range(40)]
+    v += [(6000, None), (6001, [0.0] * 8), (6002, [1.0, None, 2.0]), (6003, [float("nan")] * 8), (6004, [float("inf")] + [1.0] * 7), (6005, [])]
+    vectors = spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumn("cell", F.lit("x")).repartition(4)
+    queries = vectors.where("vec_id % 97 = 0 or vec_id > 5030").selectExpr("vec_id as query_id", "embedding as q", "'y' as block")
+    usable = {i: np.array(x) for i, x in v if x and None not in x and np.isfinite(x).all() and any(x)}
+    asked = {r["query_id"] for r in queries.collect()} & usable.keys()
+
+    def brute(k):
+        for i in asked:
+            q = usable[i]
+            s = sorted((-round(float(np.clip(q @ x / np.sqrt((q @ q) * (x @ x)), 0, 1)), 6), j) for j, x in usable.items() if len(x) == len(q))
+            yield from ((i, n + 1, j, -score) for n, (score, j) in enumerate(s[:k]))
+
+    found = nearest.search(queries, vectors, 7, query_block=20, row_block=100)
+    got = found.hits.select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(7))
+    blocks = {(r["dim"], r["cell"], r["block"]): r["n"] for r in found.blocks.collect()}
+    assert sum(blocks.values()) == len(usable) and max(blocks.values()) < 400  # equal rows are cut as well
+    seen = [(r["qid"], r["dim"], r["cell"], r["block"]) for r in found.visits.collect()]
+    assert len(seen) == len(set(seen)) and sum(blocks[s[1:]] for s in seen) < 0.6 * len(asked) * len(usable)
+    everything = nearest.semantic_retrieve(queries, vectors, 5000, row_block=1000)
+    assert everything.where("query_id = 0").count() == 4500 and everything.where("query_id = 5031").count() == 40
+    for q, x in ((queries.limit(0), vectors), (queries, vectors.limit(0))):
+        assert nearest.semantic_retrieve(q, x).count() == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import helpers as h
 from tidewell.functions import text as tx
+from tidewell.operators import scan
 
 TOKENS = ("input_tokens", "output_tokens")
 
@@ -18,10 +19,11 @@ def message_usage(messages: DataFrame) -> DataFrame:
     return m.groupBy("thread_id").agg(*[F.sum(c).alias(c) for c in TOKENS], F.count("*").alias("messages"))
 
 
-def turn_usage(messages: DataFrame) -> DataFrame:
-    """Token sums of the responses between human messages: thread_id, turn_no (human messages so far)."""
-    w = Window.partitionBy("thread_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    m = messages.withColumn("turn_no", F.count_if(F.col("type") == "human").over(w)).where("type = 'ai'")
+def turn_usage(messages: DataFrame, large: int = 1_000_000) -> DataFrame:
+    """Token sums of the responses between human messages: thread_id, turn_no (human messages so far). Threads of over
+    ``large`` messages are numbered in blocks."""
+    human = F.coalesce((F.col("type") == "human").cast("long"), F.lit(0))
+    m = scan.running(messages.select("thread_id", "turn", "type", *TOKENS), ["thread_id"], [F.col("turn")], {"turn_no": human}, large=large).where("type = 'ai'")
     return m.groupBy("thread_id", "turn_no").agg(*[F.sum(c).alias(c) for c in TOKENS], F.count("*").alias("responses"))
 
 
@@ -103,15 +105,12 @@ def command_audit(commands: DataFrame) -> DataFrame:
     return commands.withColumn("verdict", h.classify_command("command")).groupBy("thread_id").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("block", "warn", "pass")])
 
 
-def no_progress(evaluations: DataFrame) -> DataFrame:
+def no_progress(evaluations: DataFrame, large: int = 1_000_000) -> DataFrame:
     """Length of the current streak of one progress key (thread_id, turn, blocker, text, success): blocker and digest of
-    the last visible text. A change or a success starts anew."""
+    the last visible text. A change or a success starts anew. Threads of over ``large`` rows are worked on in blocks."""
     key = F.when(~F.col("success"), F.sha2(F.concat_ws("\n", "blocker", tx.strip("text")), 256))
-    w = Window.partitionBy("thread_id").orderBy("turn")
-    e = evaluations.withColumn("key", key).withColumn("start", F.coalesce((F.lag("key").over(w) != F.col("key")) | F.lag("key").over(w).isNull(), F.lit(True)).cast("int"))
-    e = e.withColumn("island", F.sum("start").over(w))
-    n = F.row_number().over(Window.partitionBy("thread_id", "island").orderBy("turn"))
-    return e.withColumn("streak", F.when(F.col("key").isNotNull(), n).otherwise(0)).drop("key", "start", "island")
+    e = evaluations.withColumn("_progress", key)
+    return scan.streaks(e, ["thread_id"], [F.col("turn")], "_progress", "streak", large).drop("_progress")
 
 
 # ---- merges of agent state ---------------------------------------------------------------------------------------

@@ -67,6 +67,43 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     return cold.unionByName(done.withColumns(after).select(*cold.columns))
 
 
+def streaks(df: DataFrame, keys: list[str], order: list[Column], value: str, name: str, large: int = 1_000_000) -> DataFrame:
+    """df with ``name``: how many rows inside each key have followed one another by ``order`` with one ``value``, a row itself
+    included; 0 where the value is null, which also ends a streak. Keys with more than ``large`` rows are worked on in
+    blocks: a streak that ends a block goes on into the next one by the place of its first row."""
+    v = F.col(value)
+
+    def windows(d: DataFrame, part: list[str]) -> DataFrame:
+        """With _row, the row's number, and _first, that of its streak's first row."""
+        w = Window.partitionBy(*part).orderBy(*order)
+        d = d.withColumns({"_row": F.row_number().over(w), "_same": F.coalesce(F.lag(v).over(w) == v, F.lit(False))})
+        # by row number, as rows of equal order must not change places between the windows
+        by_row = Window.partitionBy(*part).orderBy("_row")
+        return d.withColumn("_first", F.max(F.when(~F.col("_same"), F.col("_row"))).over(by_row))
+
+    length = F.when(v.isNotNull(), F.col("_row") - F.col("_first") + 1).otherwise(0).cast("int").alias(name)
+    hot, rows = large_keys(df, keys, large)
+    if not rows:
+        return windows(df, keys).select(*df.columns, length)
+    cold = windows(df.join(F.broadcast(hot), _same(df, hot, keys), "left_anti"), keys).select(*df.columns, length)
+    inside = df.join(F.broadcast(hot), _same(df, hot, keys), "left_semi")
+    # rows of equal order must keep their places, so what the windows made is written
+    cut = written(windows(blocks(inside, keys, order, 1 + 4 * rows // large), [*keys, "block"]))
+    ends = cut.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("block").alias("_block")).agg(
+        F.count("*").alias("_rows"), F.min_by(v, "_row").alias("_head"), F.max_by(v, "_row").alias("_tail"), F.max("_first").alias("_last"))
+    # a key has as many rows here as blocks
+    w = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_block")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)), "_on": F.coalesce(F.lag("_tail").over(w) == F.col("_head"), F.lit(False))})
+    # a block that is one streak and goes on with the one before starts none of its own
+    ends = ends.withColumn("_begun", F.when(~(F.col("_on") & (F.col("_last") == 1)), F.col("_before") + F.col("_last")))
+    ends = written(ends.withColumn("_begun", F.max("_begun").over(earlier)).select(*[f"_{k}" for k in keys], "_block", "_before", "_on", "_begun"))
+    done = cut.join(ends, _same(cut, ends, keys) & (cut["block"] == ends["_block"]))
+    goes_on = F.col("_on") & (F.col("_first") == 1)
+    done = done.withColumn("_first", F.when(goes_on, F.col("_begun")).otherwise(F.col("_before") + F.col("_first"))).withColumn("_row", F.col("_before") + F.col("_row"))
+    return cold.unionByName(done.select(*df.columns, length))
+
+
 def first_of_strata(df: DataFrame, stratum: str, spot: Column, wanted: Column, flag: str, digits: int = 4) -> DataFrame:
     """df with ``flag``: whether a row is among the first of its stratum by ``spot`` (a hex text of even spread, such as a digest;
     ties by order of the rest of it), of which there are ``wanted`` (a function of the stratum's row count n).
