@@ -192,13 +192,13 @@ def _phrase_counts(lexicon: Lexicon):
     return count
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries: int = 2_000, candidates: int = 8_000) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000) -> Lexicon:
     """Learn a lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     At most ``sample`` labelled documents are used, those with the least hash of their id; that bound also bounds what
     is broadcast. Copies of a text count once; a beginning (of 4 to 7 letters, see :func:`entries`) counts for each distinct
-    word of a text that has it. The lexicon has at most ``most_entries`` entries, chosen among the ``candidates`` strongest,
-    and as many exceptions of either kind. An entry must be too strong for chance: its likelihood ratio must exceed the
+    word of a text that has it. Entries and exceptions have no limit of their own: all come from the sampled texts, and none
+    is taken that chance explains, so an entry stands in several toxic texts. An entry's likelihood ratio must exceed the
     logarithm of the number of candidates. A phrase is an exception if no toxic text has it and if, with the share of
     toxic texts among those with phrases of entries, as many clean ones in a row are too many for chance as well.
     """
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries:
     ratio = F.col("pos") * F.log(F.col("pos") / n / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / n / (1 - base))).otherwise(0)
     weight = F.log((F.col("pos") + 0.5) / (pos + 1) / ((F.col("neg") + 0.5) / (neg + 1)))
     strong = counts.where(F.col("pos") / n > base).withColumns({"ratio": ratio, "weight": weight}).where((F.col("ratio") > math.log(1 + counts.count())) & (F.col("weight") > 1.5))
-    best = strong.orderBy(F.desc("ratio"), F.desc(F.length("entry")), "entry").limit(candidates).collect()
+    best = strong.orderBy(F.desc("ratio"), F.desc(F.length("entry")), "entry").collect()
     place = {r["entry"]: i for i, r in enumerate(best)}
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,14 +228,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries:
     for i in explaining(texts, [r["neg"] for r in best], base, math.log(1 + counts.count())):
         e = best[i]["entry"]
         covered = any(e[:k] in weights for k in range(2, len(e) + 1)) or any(w.startswith(e) for w in weights)
-        if not covered and len(weights) < most_entries:
+        if not covered:
             weights[e] = best[i]["weight"]
     heads = sorted({e for e in weights if not e.endswith(" ")})
     like = F.lit(False)
     for k in {len(h) for h in heads}:
         like = like | F.substring("entry", 1, k).isin([h for h in heads if len(h) == k])
     spared = counts.where((F.col("pos") == 0) & (F.col("neg") > 2) & F.col("entry").endswith(" ") & like)
-    exceptions = tuple(sorted(r["entry"] for r in spared.orderBy(F.desc("neg"), "entry").limit(most_entries).collect()))
+    exceptions = tuple(sorted(r["entry"] for r in spared.collect()))
     found = Lexicon(weights, exceptions, 1.0, 0.0)
     held_phrases = checkpointed(train.mapInPandas(_phrase_counts(found), "entry string, n long, pos long").groupBy("entry").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")))
     kinds, n_all, n_toxic = held_phrases.agg(F.count("*"), F.sum("n"), F.sum("pos")).first()
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, most_entries:
         clean_share = max(1 - n_toxic / n_all, 1e-6)
         least = math.log(1 + kinds) / -math.log(clean_share) if clean_share < 1 else math.inf
         safe = held_phrases.where((F.col("pos") == 0) & (F.col("n") > max(2.0, least)))
-        exceptions += tuple(sorted(r["entry"] for r in safe.orderBy(F.desc("n"), "entry").limit(most_entries).collect()))
+        exceptions += tuple(sorted(r["entry"] for r in safe.collect()))
         found = Lexicon(weights, exceptions, 1.0, 0.0)
 
     def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
