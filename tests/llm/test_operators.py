@@ -525,6 +525,17 @@ def balanced(result, truth, column="predicted"):
     return sum(got) / len(got)
 
 
+def test_missed_toxic_texts_stay_missed_with_their_own_labels(spark, large_dir):
+    """The held-out toxic texts that score as clean do so as well by a lexicon learned from all labels, theirs included, and
+    most of them hold no entry of it."""
+    docs, labels = q.documents(spark, large_dir), q.labels(spark, large_dir)
+    lex = toxicity.fit(docs, labels)
+    toxic = labels.where("toxic = 1").select("doc_id")
+    missed = q.op7_toxicity_lexicon(spark, large_dir).where("held_out and predicted = 0").join(toxic, "doc_id").select("doc_id")
+    again = toxicity.score(docs, lex).join(missed, "doc_id").toPandas()
+    assert (again["predicted"] == 0).all() and (again["hits"] == 0).mean() > 0.5
+
+
 def test_toxicity_held_out(spark, large_dir):
     truth = q.labels(spark, large_dir).select("doc_id", F.col("toxic").alias("truth"))
     assert balanced(q.op7_toxicity_lexicon(spark, large_dir), truth) >= 0.95
@@ -621,6 +632,26 @@ def test_prior_and_intercept_of_a_mixture():
         assert risk(b) <= min(risk(x) for x in np.linspace(-30, 30, 6001)) + 1e-6
 
 
+def test_weights_take_steps_over_all_documents(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(("a", "tree", "houses", "1", "Wide.", "|")) * rng.randrange(1, 4) for _ in range(rng.randrange(0, 50))), "en", "s") for i in range(900)]
+    made = pu_quality.measured(docs_of(spark, rows)).repartition(5).cache()
+    every = made.toPandas().sort_values("doc_id", ignore_index=True)
+    x = np.stack(every["x"].to_numpy())
+    model = pu_quality.Model(np.quantile(x, [0.25, 0.5, 0.75], axis=0).T, np.zeros(len(pu_quality.FEATURES) * 4 + pu_quality.BUCKETS), 0.0, 0.6)
+    unl = model.matrix(every)
+    pos = unl[[i for i, r in enumerate(rows) if len(r[1]) > 90][:60]]
+    points = [np.random.default_rng(k).normal(0, 0.3, unl.shape[1] + 1) for k in range(3)]
+    for w, (loss, gradient) in zip(points, pu_quality.unlabelled_risk(made, model, points)):
+        dense, got = pu_quality.nn_risk(w, pos, unl, 0.6, 0.01), pu_quality.split_risk(w, pos, loss, gradient, 0.6, 0.01)
+        assert np.allclose(dense[:2], got[:2], atol=1e-5) and np.allclose(dense[2], got[2], atol=1e-5)
+    w = pu_quality.nn_risk_fit(pos, unl[:50], 0.6)
+    risk = lambda m: pu_quality.nn_risk(np.append(m.weights, m.intercept), pos, unl, 0.6, 1e-3)[0]
+    start = pu_quality.replace(model, weights=w[:-1], intercept=float(w[-1]))
+    risks = [risk(pu_quality.descend(made, start, pos, unl[:50], 0.6, passes)) for passes in (1, 2, 3)]
+    assert np.isclose(risks[0], risk(start)) and risks[2] <= risks[1] + 1e-6 and risks[1] < risks[0]
+
+
 def test_edges_prior_and_intercept_take_all_documents(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(("a", "tree", "houses", "1", "Wide.", "|")) * rng.randrange(1, 4) for _ in range(rng.randrange(1, 60))), "en", "s") for i in range(1200)]

@@ -10,8 +10,9 @@ A document is a row of binned text statistics and of hashed word frequencies (:f
 4. the cut is the middle of the thresholds whose balanced accuracy, as the positives, all documents and the prior give it,
    is within ``flat`` of the best; the scale then brings the mean score of all documents as near to the prior as it can.
 
-The two weight vectors are fitted on bounded hash samples; bin edges, prior and intercept come from all documents. Half of
-the positives, by hash of their id, serve for the weights and the other half for prior and intercept, as a classifier
+The first classifier and the start of the weights come from bounded hash samples. The weights then take steps down the risk
+over all documents, each summed by Spark in one pass (:func:`descend`); only the positives, which are labelled, stay bounded.
+Bin edges, prior and intercept come from all documents. Half of the positives, by hash of their id, serve for the weights and the other half for prior and intercept, as a classifier
 scores the positives that it was fitted on too high.
 
 :func:`score` returns doc_id, score (0 to 1, higher: better) and predicted (score of at least 0.5). Null and empty texts
@@ -138,16 +139,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _mean(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return np.append(r @ x, r.sum()) / len(x)
+
+
+def split_risk(w: np.ndarray, pos: np.ndarray, unl_loss: float, unl_gradient: np.ndarray, prior: float, ridge: float) -> tuple[float, float, np.ndarray]:
+    """As :func:`nn_risk`, the unlabelled rows given by their mean loss as negatives and its gradient."""
+    zp = pos @ w[:-1] + w[-1]
+    negative = unl_loss - prior * float(np.logaddexp(0, zp).mean())
+    risk = prior * float(np.logaddexp(0, -zp).mean()) + max(0.0, negative) + ridge / 2 * float(w[:-1] @ w[:-1])
+    g_neg = unl_gradient - prior * _mean(pos, _sigmoid(zp))
+    g = prior * _mean(pos, _sigmoid(zp) - 1) + g_neg if negative >= 0 else -g_neg
+    return risk, negative, g + ridge * np.append(w[:-1], 0)
+
+
 def nn_risk(w: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float) -> tuple[float, float, np.ndarray]:
     """The non-negative risk at w (intercept last), its negative part before the cut at zero, and the descent gradient:
     that of the risk, or, where the negative part is under zero, the reversed one of that part."""
-    zp, zu = pos @ w[:-1] + w[-1], unl @ w[:-1] + w[-1]
-    mean = lambda x, r: np.append(r @ x, r.sum()) / len(x)
-    negative = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
-    risk = prior * float(np.logaddexp(0, -zp).mean()) + max(0.0, negative) + ridge / 2 * float(w[:-1] @ w[:-1])
-    g_neg = mean(unl, _sigmoid(zu)) - prior * mean(pos, _sigmoid(zp))
-    g = prior * mean(pos, _sigmoid(zp) - 1) + g_neg if negative >= 0 else -g_neg
-    return risk, negative, g + ridge * np.append(w[:-1], 0)
+    zu = unl @ w[:-1] + w[-1]
+    return split_risk(w, pos, float(np.logaddexp(0, zu).mean()), _mean(unl, _sigmoid(zu)), prior, ridge)
 
 
 def adam(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
@@ -169,10 +179,58 @@ def order_fit(pos: np.ndarray, unl: np.ndarray, steps: int = 200, ridge: float =
     return adam(gradient, pos.shape[1] + 1, steps)[:-1]
 
 
-def nn_risk_fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Minimise the non-negative risk; weights and intercept."""
-    w = adam(lambda w: nn_risk(w, pos, unl, prior, ridge)[2], pos.shape[1] + 1, steps)
-    return w[:-1], float(w[-1])
+def nn_risk_fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, ridge: float = 1e-3) -> np.ndarray:
+    """Minimise the non-negative risk; weights, intercept last."""
+    return adam(lambda w: nn_risk(w, pos, unl, prior, ridge)[2], pos.shape[1] + 1, steps)
+
+
+def unlabelled_risk(rows: DataFrame, model: Model, at: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+    """Mean loss of all measured ``rows`` as negatives and its gradient, at each of the points ``at`` (weights, intercept last),
+    in one pass. A task hands on one sum for each point and weight, so what is shuffled grows with the tasks alone."""
+    w = np.stack(at, axis=1)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gradient, loss, n = np.zeros(w.shape), np.zeros(w.shape[1]), 0
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):
+                x = model.matrix(pdf.iloc[i : i + 256])
+                z = x @ w[:-1] + w[-1]
+                r = _sigmoid(z)
+                gradient += np.vstack([x.T @ r, r.sum(0)])
+                loss, n = loss + np.logaddexp(0, z).sum(0), n + len(x)
+        total = np.concatenate([gradient.ravel(), loss, [n]])
+        yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "total": total})
+
+    sums = rows.mapInPandas(summed, "i int, total double").groupBy("i").agg(F.sum("total").alias("total")).toPandas().sort_values("i")["total"].to_numpy()
+    mean = np.round(sums[:-1] / sums[-1], 10)  # the order in which tasks are added does not count
+    return list(zip(mean[w.size :].tolist(), mean[: w.size].reshape(w.shape).T))
+
+
+def descend(rows: DataFrame, model: Model, pos: np.ndarray, unl: np.ndarray, prior: float, passes: int, ridge: float = 1e-3) -> Model:
+    """``model`` after steps down the non-negative risk of positives and all measured ``rows``, the start being one pass and
+    each step another.
+
+    Risks and gradients are exact, over all rows; the curvature that bends the direction is that of the sample ``unl``
+    (sub-sampled Newton; with the logistic loss the positives' part is linear and has none). A pass tries ten lengths of a
+    step, and the point of least risk so far is where the next starts, so the result is never worse than the sample's."""
+    w = np.append(model.weights, model.intercept)
+    z = unl @ model.weights + model.intercept
+    x = np.hstack([unl, np.ones((len(unl), 1))])
+    curve = (x * (_sigmoid(z) * _sigmoid(-z))[:, None]).T @ x / len(x) + np.diag(np.full(len(w), ridge))
+    tried, least, slope = [w], np.inf, None
+    for _ in range(passes):
+        better = False
+        for v, (loss, gradient) in zip(tried, unlabelled_risk(rows, model, tried)):
+            risk, negative, _ = split_risk(v, pos, loss, gradient, prior, ridge)
+            if risk < least:
+                zp = _sigmoid(pos @ v[:-1] + v[-1])
+                slope = prior * _mean(pos, zp - 1) + ridge * np.append(v[:-1], 0)
+                slope = slope + gradient - prior * _mean(pos, zp) if negative > 0 else slope
+                w, least, better = v, risk, True
+        far = 1.0 if better else far / 1024  # nothing gained: shorter steps along the same line
+        step = np.linalg.solve(curve, slope)
+        tried = [w - far * step / 2**k for k in range(10)]
+    return replace(model, weights=w[:-1], intercept=float(w[-1]))
 
 
 def best_bin_prior(values: np.ndarray, pos: np.ndarray, unl: np.ndarray, gamma: float = 0.01, delta: float = 0.1) -> float:
@@ -251,11 +309,12 @@ def rate_counts(rows: DataFrame, good: DataFrame, model: Model, slices: int = 50
     return got["z"].to_numpy() / slices, got["pos"].to_numpy(float), got["unl"].to_numpy(float)
 
 
-def fit(rows: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 10_000, unlabelled: int = 10_000, bins: int = 10) -> Model:
+def fit(rows: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 10_000, unlabelled: int = 10_000, bins: int = 10, passes: int = 3) -> Model:
     """Fit on measured ``rows`` (best written before) and ``labels`` (doc_id, quality); see the module docstring.
 
-    The weights come from at most ``positives`` rows labelled good and ``unlabelled`` of all documents, those with the
-    least hash of their id. The prior is estimated unless it is given.
+    At most ``positives`` rows labelled good are used, those with the least hash of their id. The weights start from as
+    many of all documents as ``unlabelled`` says and then take ``passes`` - 1 steps over all of them. The prior is estimated
+    unless it is given.
     """
     good = labels.where("doc_id is not null and quality > 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     half = good.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)))
@@ -273,10 +332,10 @@ def fit(rows: DataFrame, labels: DataFrame, prior: float | None = None, positive
     pos, unl = model.matrix(x[x["kind"] == 1]), model.matrix(x[x["kind"] == 0])
     if prior is None:
         start = best_bin_prior(*rate_counts(rows, tested, replace(model, weights=order_fit(pos, unl))))
-    weights, _ = nn_risk_fit(pos, unl, min(start, 0.99))
-    model = replace(model, weights=weights, prior=start)
+    w = nn_risk_fit(pos, unl, min(start, 0.99))
+    model = descend(rows, replace(model, weights=w[:-1], intercept=float(w[-1]), prior=start), pos, unl, min(start, 0.99), passes)
     scale, intercept = best_cut(*rate_counts(rows, tested, model), min(start, 0.99))
-    return replace(model, weights=scale * weights, intercept=intercept)
+    return replace(model, weights=scale * model.weights, intercept=intercept)
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
