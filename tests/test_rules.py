@@ -446,6 +446,21 @@ def test_index_equals_scoring_every_chunk(spark):
     assert len({r["block"] for r in retrieval.best_chunks(terms, hits, tops, 2, 1.0, 0.0, first=1).collect()}) == 40  # ties with the second stay in
 
 
+def test_retrieval_writes_no_row_for_each_query_and_chunk(spark, monkeypatch):
+    """A symbol of every chunk that lies in the term of every query, and texts alike: what is written grows with each side alone."""
+    from tidewell.operators import products
+
+    made = []
+    keep = retrieval.written
+    for module in (retrieval, products):
+        monkeypatch.setattr(module, "written", lambda df: made.append(keep(df)) or made[-1])
+    chunks = spark.range(400).select(F.format_string("f%03d", "id").alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit("same words").alias("text"), F.array(F.lit("que")).alias("symbols"))
+    q = spark.range(60).select(F.col("id").alias("query_id"), F.array(F.concat(F.lit("query"), F.col("id").cast("string")), F.lit("same")).alias("terms"))
+    got = corpus.hybrid_retrieve(q, chunks, 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["path"], r["score"]) for r in got) == [(i, k + 1, f"f{k:03d}", 1.0) for i in range(60) for k in range(3)]
+    assert len(made) > 5 and max(df.count() for df in made) < 60 * 400 / 8
+
+
 def test_hot_keys_are_scanned_in_blocks(spark, monkeypatch):
     """One key with nine tenths of the rows: same results as windows, and no block with more than a bounded part of it."""
     rng = np.random.default_rng(4)

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.shared import BATCH_LIMITS, bounded  # noqa: F401
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 WORDS = re.compile(r"[^\x20\t-\r]+")
 
@@ -35,22 +37,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# What a batch sent to a Python worker holds at most, unless the session sets limits of its own: a worker keeps a few
-# copies of a batch, and texts can be long.
-BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """df, its session's Arrow batches bounded by BATCH_LIMITS where neither the session nor its start-up configuration
-    sets them. They stay set, as df may be evaluated at any time."""
-    conf = df.sparkSession.conf
-    given = conf.getAll
-    for key, most in BATCH_LIMITS.items():
-        if key not in given:
-            conf.set(key, most)
-    return df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
