@@ -270,6 +270,13 @@ def test_python_over_whole_texts_gets_bounded_batches(spark, sf_dir):
     assert [r["f"] for r in got] == [None if x is None else x.strip().casefold() for x in texts]
 
 
+def test_csv_records_are_put_together_once(spark, tmp_path):
+    (tmp_path / "o.csv").write_text('k,v\n1,"a\nb"\n2,c\n')
+    df = files.load_csv(spark, [f"{tmp_path}/o.csv"])["o"]
+    assert sorted(map(tuple, df.collect())) == [(1, "a\nb"), (2, "c")]
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_grep_folds_letters_of_all_scripts(spark):
     f = spark.createDataFrame([("a.md", "Über ÄRGER\nnichts\nnaïve\rx")], "path string, text string")
     hits = lambda p, **k: [r["line_number"] for r in corpus.grep(f, p, **k).collect()]

@@ -65,8 +65,9 @@ def inferred(df: DataFrame) -> T.StructType:
 
 def read(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """The table of CSV files under path, each with the same header. Without a schema the types are inferred from all values.
-    Quotes in cells are doubled; empty cells are null, quoted or not; cells may hold line ends."""
-    r = records(spark, path)
+    Quotes in cells are doubled; empty cells are null, quoted or not; cells may hold line ends. The records are put together
+    once and written: heads, inference and the table itself read them back."""
+    r = written(records(spark, path))
     heads = r.where("at = 0").groupBy("file").agg(F.min("id").alias("first"), F.min_by("record", "id").alias("head"))
     heads = written(heads)
     one = heads.agg(F.min("head")).first()[0]
