@@ -747,3 +747,9 @@ def test_normalized_facts_keep_blank_texts_as_their_sql_does(spark, tmp_path):
     plain, kept = messages.normalize_facts(f), messages.normalize_facts(f, " \n", blank=True)
     assert [tuple(r) for r in plain.collect()] == [("2", "b", "x", 0.5)]
     assert sorted(map(tuple, kept.collect())) == [("1", "\xa0", None, 1.0), ("2", "\tb", "x", 0.5), ("3", "c", "y", None)]
+
+
+def test_page_articles_of_odd_texts_are_as_their_sql_says(spark, tmp_path):
+    got, want = _as_sql(spark, tmp_path, "c20_page_article", BLANKS)
+    assert got == want and len(got) == len(BLANKS) * 60
+    assert h.page_of("<title>a\xa0 b </title><p> x\xa0 \n y\u3000</p><p> </p>")[:2] == ("a\xa0 b", "x\xa0 y")
