@@ -753,3 +753,37 @@ def test_page_articles_of_odd_texts_are_as_their_sql_says(spark, tmp_path):
     got, want = _as_sql(spark, tmp_path, "c20_page_article", BLANKS)
     assert got == want and len(got) == len(BLANKS) * 60
     assert h.page_of("<title>a\xa0 b </title><p> x\xa0 \n y\u3000</p><p> </p>")[:2] == ("a\xa0 b", "x\xa0 y")
+
+
+def test_retrieval_keeps_texts_where_they_lie(spark, monkeypatch):
+    """No row for each word of a text is written, texts cross no shuffle, and chunks dealt anyhow, over many packed rows with ties
+    across them, give what plain counts give."""
+    from tidewell.operators import products
+
+    rng = np.random.default_rng(11)
+    made, keep = [], retrieval.written
+    for module in (retrieval, products):
+        monkeypatch.setattr(module, "written", lambda df: made.append(keep(df)) or made[-1])
+    rows = [(f"d{i % 3}/f{i:03d}", 1, " ".join(["tie"] + [f"w{x}" for x in rng.integers(0, 4000, 60)])) for i in range(120)]
+    chunks = spark.createDataFrame(rows, "path string, start_line int, text string").repartition(9, "text")
+    asks = {0: ["tie"], 1: ["tie", "w12"], 2: ["w7", "d1/f0", "e w"], 3: ["w3", "w39"]}
+    got = corpus.lexical_retrieve(spark.createDataFrame(list(asks.items()), "query_id long, terms array<string>"), chunks, 4).collect()
+    want = []
+    for i, terms in asks.items():
+        sums = {r[:2]: sum(3 * (t in r[0]) + min(5, r[2].count(t)) for t in terms) for r in rows}
+        best = sorted((-round(n / max(sums.values()), 6), *key) for key, n in sums.items() if n)[:4]
+        want += [(i, n + 1, *x) for n, x in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], -r["score"], r["path"], r["start_line"]) for r in got) == want
+    assert max(df.count() for df in made) <= len(rows)
+
+
+def test_terms_in_texts_are_counted_as_plain_search_counts_them():
+    from tidewell.operators import products
+
+    rng = np.random.default_rng(2)
+    pieces = ["a", "ab", "aba", "abab", "été", "漢字", "_", "9", ".", "->", " ", "(", "b.a", "longer_name"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 40))) for _ in range(150)]
+    terms = {t: i for i, t in enumerate(sorted({"".join(rng.choice(pieces, rng.integers(1, 4))) for _ in range(200)}))}
+    found = products.Terms(terms)
+    for text in texts * 2:
+        assert found.counts(text) == {i: text.count(t) for t, i in terms.items() if t in text}
