@@ -442,6 +442,13 @@ def test_topk_awkward(spark):
     assert hamming.top_k(rows.where("1 = 0"), rows.where("1 = 0")).count() == 0
 
 
+def test_top_k_broadcasts_no_table_that_grows_with_the_rows(spark):
+    """Small as they are here, codes and answers meet by sorting: broadcast, they would fill the driver at size."""
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.xxhash64("id").alias("code"))
+    got = hamming.top_k(df, df.where("vec_id % 50 = 0"), k=3)
+    assert got.count() == 18 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- 6 chat
 
 

@@ -57,6 +57,12 @@ def _ordered(by: str, *order: str):
     return Window.partitionBy(by).orderBy(*order)
 
 
+def _met(df: DataFrame) -> DataFrame:
+    """A side of a join by sorting: the tables here grow with the input, and Spark would broadcast them, over the driver, where their
+    compressed files seem small."""
+    return df.hint("merge")
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, chunk: int = 4096) -> DataFrame:
     """Nearest ``k`` of ``rows`` (vec_id, code) for each of ``queries`` (vec_id, code); see the module docstring.
 
@@ -84,24 +90,24 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, chun
         probe = probes(waiting, parts, low, s).join(F.broadcast(hot), ["seg", "value"], "left")
         probe = probe.withColumn("part", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("cuts")
         close = F.filter("bucket", lambda c: F.bit_count(F.col("q").bitwiseXOR(c)) <= F.col("bound"))
-        near = probe.join(index, ["seg", "value", "part"]).select("q", F.explode(close).alias("code"))
+        near = probe.join(_met(index), ["seg", "value", "part"]).select("q", F.explode(close).alias("code"))
         near = near.select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), "code")
-        near = (near if best is None else near.unionByName(best.drop("upto").join(waiting, "q", "left_semi"))).distinct().join(codes, "code")
+        near = (near if best is None else near.unionByName(best.drop("upto").join(_met(waiting), "q", "left_semi"))).distinct().join(_met(codes), "code")
         sums = {c: F.sum(F.size("ids")).over(_ordered("q", "distance").rangeBetween(Window.unboundedPreceding, r)) for c, r in (("before", -1), ("upto", 0))}
         near = near.withColumns(sums).where(F.coalesce("before", F.lit(0)) <= k)  # ties at the last distance all stay
         best = checkpointed(near.select("q", "distance", "code", "upto"))
         proven = len(parts) * (s + 1) - 1
-        state = waiting.join(best.groupBy("q").agg(F.max(F.when(F.col("distance") <= proven, F.col("upto"))).alias("sure"), F.max("upto").alias("have"), F.max("distance").alias("last")), "q", "left")
+        state = waiting.join(_met(best.groupBy("q").agg(F.max(F.when(F.col("distance") <= proven, F.col("upto"))).alias("sure"), F.max("upto").alias("have"), F.max("distance").alias("last"))), "q", "left")
         state = checkpointed(state.withColumn("ready", (F.coalesce("sure", F.lit(0)) > k) | F.lit(proven >= bits)))
-        found.append(best.select("q", "distance", "code").join(state.where("ready").select("q"), "q", "left_semi"))
+        found.append(best.select("q", "distance", "code").join(_met(state.where("ready").select("q")), "q", "left_semi"))
         waiting = state.where("not ready").select("q", F.when(F.col("have") > k, F.col("last")).otherwise(F.lit(bits)).alias("bound"))
         if waiting.isEmpty():
             break
     answers = found[0]
     for more in found[1:]:
         answers = answers.unionByName(more)
-    answers = answers.join(codes, "code").select("q", "distance", F.explode("ids").alias("vec_id"))
+    answers = answers.join(_met(codes), "code").select("q", "distance", F.explode("ids").alias("vec_id"))
     asks = queries.where("vec_id is not null and code is not null").select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")).distinct()
-    hits = answers.join(asks, "q").where("query_id <> vec_id")
+    hits = answers.join(_met(asks), "q").where("query_id <> vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(_ordered("query_id", "distance", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("distance").cast("int").alias("distance"))
